@@ -47,10 +47,9 @@ def union_alerts(*detectors: DataFrame) -> DataFrame:
     return out
 
 
-def all_alerts(
-    rules: DataFrame, anomaly: DataFrame, forecast: DataFrame, ml: DataFrame
-) -> DataFrame:
-    return prong_maxima(union_alerts(rules, anomaly, forecast, ml))
+def all_alerts(*detectors: DataFrame) -> DataFrame:
+    """All detectors' alerts, the supervised ones with the day's maxima."""
+    return prong_maxima(union_alerts(*detectors))
 
 
 def prong_maxima(alerts: DataFrame) -> DataFrame:

@@ -49,50 +49,68 @@ def personal_baseline(scores: DataFrame, min_prior: int = 14) -> DataFrame:
     ).drop("__mean", "__std")
 
 
-def group_baseline(
-    scores: DataFrame, group: str, min_windows: int | None = None, prefix: str | None = None
-) -> DataFrame:
-    """Mean and sample deviation of all scores of the group on strictly earlier days.
-
-    Scores are first reduced to count, mean and squared spread per (group, day); running
-    sums over those days follow, so a group holding a third of all users costs as many rows
-    as it has days. The within-day spread is kept apart, so sums of squares do not cancel.
+def group_baselines(scores: DataFrame, minimum: dict[str, int] | None = None) -> DataFrame:
+    """Mean and sample deviation of all scores of each group on strictly earlier days.
+
+    Scores are first reduced to count, mean and squared spread per (group, day), all kinds of
+    groups in one aggregation; running sums over those days follow, so a group holding a
+    third of all users costs as many rows as it has days. The within-day spread is kept
+    apart, so sums of squares do not cancel. The results are joined back by (group, day);
+    Spark broadcasts them where their measured size allows.
     """
-    need = GROUP_MINIMUM.get(group, 30) if min_windows is None else min_windows
-    p = prefix or GROUP_PREFIX.get(group, group)
+    minimum = GROUP_MINIMUM if minimum is None else minimum
     score = F.col("base_score")
+    kinds = F.array(
+        *[F.struct(F.lit(g).alias("kind"), F.col(g).cast("string").alias("value")) for g in minimum]
+    )
     daily = (
-        scores.where(F.col(group).isNotNull())
-        .groupBy(group, "end_day")
+        scores.select("end_day", "base_score", F.inline(kinds))
+        .where(F.col("value").isNotNull())
+        .groupBy("kind", "value", "end_day")
         .agg(
             F.count(score).alias("n"),
             F.avg(score).alias("m"),
             (F.var_pop(score) * F.count(score)).alias("within"),
         )
     )
-    prior = Window.partitionBy(group).orderBy("end_day").rowsBetween(Window.unboundedPreceding, -1)
+    prior = (
+        Window.partitionBy("kind", "value")
+        .orderBy("end_day")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    n, s1, s2 = F.col("n_prior"), F.col("s1"), F.col("s2")
     run = daily.select(
-        group,
+        "kind",
+        "value",
         "end_day",
-        F.coalesce(F.sum("n").over(prior), F.lit(0)).alias(f"{p}_n"),
-        F.sum(F.col("n") * F.col("m")).over(prior).alias("__s1"),
-        F.sum(F.col("within") + F.col("n") * F.col("m") * F.col("m")).over(prior).alias("__s2"),
+        F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("n_prior"),
+        F.sum(F.col("n") * F.col("m")).over(prior).alias("s1"),
+        F.sum(F.col("within") + F.col("n") * F.col("m") * F.col("m")).over(prior).alias("s2"),
     )
-    n = F.col(f"{p}_n")
-    enough = n >= need
-    spread = F.greatest(F.lit(0.0), F.col("__s2") - F.try_divide(F.col("__s1") * F.col("__s1"), n))
-    variance = F.try_divide(spread, n - 1)
+    variance = F.try_divide(F.greatest(F.lit(0.0), s2 - F.try_divide(s1 * s1, n)), n - 1)
     std = F.when(variance < 1e-15, F.lit(0.0)).otherwise(F.sqrt(variance))
-    base = run.select(
-        group,
-        "end_day",
-        f"{p}_n",
-        F.when(enough, F.try_divide(F.col("__s1"), n)).alias(f"{p}_mean"),
-        F.when(enough, std).alias(f"{p}_std"),
-    )
-    joined = scores.join(base, [group, "end_day"], "left")
-    z = F.try_divide(score - F.col(f"{p}_mean"), F.col(f"{p}_std"))
-    return joined.withColumn(f"z_{p}", z)
+    base = run.select("kind", "value", "end_day", "n_prior", F.try_divide(s1, n).alias("mean"), std.alias("std"))
+    out = scores
+    for group, need in minimum.items():
+        p = GROUP_PREFIX.get(group, group)
+        enough = F.col("n_prior") >= need
+        side = base.where(F.col("kind") == group).select(
+            F.col("value").alias("__value"),
+            F.col("end_day").alias("__day"),
+            F.col("n_prior").alias(f"{p}_n"),
+            F.when(enough, F.col("mean")).alias(f"{p}_mean"),
+            F.when(enough, F.col("std")).alias(f"{p}_std"),
+        )
+        match = (F.col(group).cast("string") == F.col("__value")) & (F.col("end_day") == F.col("__day"))
+        z = F.try_divide(score - F.col(f"{p}_mean"), F.col(f"{p}_std"))
+        out = out.join(side, match, "left").withColumn(f"z_{p}", z).drop("__value", "__day")
+    return out
+
+
+def group_baseline(scores: DataFrame, group: str, min_windows: int | None = None) -> DataFrame:
+    """`group_baselines` for one kind of group."""
+    need = GROUP_MINIMUM.get(group, 30) if min_windows is None else min_windows
+    return group_baselines(scores, {group: need})
 
 
 def max_z(scores: DataFrame, columns: tuple[str, ...] = Z_COLUMNS) -> DataFrame:
@@ -103,9 +121,7 @@ def all_baselines(
     scores: DataFrame, min_prior: int = 14, minimum: dict[str, int] | None = None
 ) -> DataFrame:
     """Personal, role and organisation baselines with `z_max`; `scores` carries the groups."""
-    df = personal_baseline(scores, min_prior)
-    for group, need in (minimum or GROUP_MINIMUM).items():
-        df = group_baseline(df, group, need)
+    df = group_baselines(personal_baseline(scores, min_prior), minimum)
     return max_z(df)
 
 

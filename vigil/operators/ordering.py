@@ -33,7 +33,8 @@ def running_totals(
     )
     probs = [i / ranges for i in range(1, ranges)]
     cuts = per_value.agg(F.percentile_approx(value, probs, F.lit(20 * ranges))).scalar()
-    slot = F.size(F.filter(cuts, lambda cut: cut < F.col(value)))
+    # Position of the value among the sorted cuts: the number of cuts below it.
+    slot = F.array_position(F.sort_array(F.array_append(cuts, F.col(value))), F.col(value))
     placed = per_value.withColumn("__slot", -slot if descending else slot)
     totals = placed.groupBy("__slot").agg(*[F.sum(n).alias(f"__sum_{n}") for n in measures])
     before = Window.partitionBy(F.lit(1)).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -94,9 +94,9 @@ def densify(daily: DataFrame, measures: Sequence[str]) -> DataFrame:
     The rolling columns do not need it. Each row fills the gap up to the user's next one, so
     no list of days per user is built and no join is needed.
     """
-    following = F.lead("day").over(by_user())
-    gap = F.sequence(F.col("day"), F.coalesce(F.date_sub(following, 1), F.col("day")))
-    filled = daily.select("user_key", F.col("day").alias("__row"), F.explode(gap).alias("day"), *measures)
+    linked = daily.withColumn("__next", F.lead("day").over(by_user()))
+    gap = F.sequence(F.col("day"), F.coalesce(F.date_sub("__next", 1), F.col("day")))
+    filled = linked.select("user_key", F.col("day").alias("__row"), F.explode(gap).alias("day"), *measures)
     real = F.col("day") == F.col("__row")
     return filled.select(
         "user_key", "day",

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from vigil.functions import times
 from vigil.operators import alerts as alert_ops
 from vigil.operators import anomaly, baselines, daily, enrich, labels, machines, rolling, rules
+from vigil.session import scratch_path
 from vigil.sources import driver_tables as tables
+from vigil.sources.driver_tables import remember_plan
 
 RULES = rules.RuleParams(min_events_per_domain=1, min_combined_events=1)
 BASELINE_DAYS = 14
@@ -22,12 +24,20 @@ SHARED = {"lo": 3, "hi": 5, "top": 3}
 AS_OF = "2024-01-28"
 
 
-def logons(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.activity(spark, sf, "logon")
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once to the cluster's shared folder and read back.
+
+    For tables several branches of a query use: user-days and window scores are small next
+    to the events, and a lost executor costs no recomputation from the events.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@remember_plan
 def non_admin_logons(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.exclude_admins(logons(spark, sf), tables.event_users(spark, sf))
+    return enrich.exclude_admins(tables.logons(spark, sf), tables.event_users(spark, sf))
 
 
 def shared_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,9 +45,10 @@ def shared_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assigned(spark: SparkSession, sf: str) -> DataFrame:
-    return machines.assigned_pc(logons(spark, sf), shared_list(spark, sf))
+    return machines.assigned_pc(tables.logons(spark, sf), shared_list(spark, sf))
 
 
+@remember_plan
 def counts(spark: SparkSession, sf: str, domain: str | None = None) -> DataFrame:
     """Additive measures per (user, day, domain, machine) with the context flags.
 
@@ -48,20 +59,23 @@ def counts(spark: SparkSession, sf: str, domain: str | None = None) -> DataFrame
     df = daily.pc_day_counts(tables.activity(spark, sf, domain))
     df = df.withColumn("event_month", times.month_start(F.col("day")))
     df = enrich.flag_shared_pc(df, shared)
-    df = enrich.flag_unassigned_pc(df, machines.assigned_pc(logons(spark, sf), shared))
+    df = enrich.flag_unassigned_pc(df, machines.assigned_pc(tables.logons(spark, sf), shared))
     return enrich.flag_active(enrich.join_bounds(df, tables.event_users(spark, sf)))
 
 
+@remember_plan
 def daily_user(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_user_tall(counts(spark, sf))
 
 
+@remember_plan
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The wide user-day table with rolling columns."""
     base = daily.ah_rate_1d(daily_user(spark, sf))
     return rolling.add_rolling(base, baseline_days=BASELINE_DAYS)
 
 
+@remember_plan
 def keys(spark: SparkSession, sf: str) -> DataFrame:
     """Just the active user-days."""
     events = tables.table(spark, sf, "events")
@@ -70,6 +84,7 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
+@remember_plan
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
     return tables.ranges(keys(spark, sf))
 
@@ -110,39 +125,37 @@ def scored_days(feats: DataFrame) -> DataFrame:
     ).where(F.col("__rows") == 14).drop("__rows")
 
 
-def _window_scores(spark: SparkSession, sf: str) -> DataFrame:
-    days = scored_days(features(spark, sf))
+def window_scores(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> DataFrame:
+    """(user_key, end_day, base_score, forecast, organisation)."""
+    days = staged(scored_days(features(spark, sf) if feats is None else feats), "scores")
     span = days.agg(F.struct(F.min("raw").alias("lo"), F.max("raw").alias("hi"))).scalar()
     base = F.round((F.col("raw") - span["lo"]) / (span["hi"] - span["lo"]), 6)
-    return days.withColumn("base_score", base)
+    return baselines.attach_org(days.withColumn("base_score", base), tables.event_org(spark, sf))
 
 
-def window_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """(user_key, end_day, base_score, forecast, organisation)."""
-    return baselines.attach_org(_window_scores(spark, sf), tables.event_org(spark, sf))
+def zscores(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> DataFrame:
+    return baselines.all_baselines(window_scores(spark, sf, feats), MIN_PRIOR, GROUP_MINIMUM)
 
 
-def zscores(spark: SparkSession, sf: str) -> DataFrame:
-    return baselines.all_baselines(window_scores(spark, sf), MIN_PRIOR, GROUP_MINIMUM)
+def score_alerts(z: DataFrame) -> DataFrame:
+    """Forecast and supervised alerts of scored windows, both from one pass over them."""
+    ml = F.round(1.0 / (1.0 + F.exp(-(8.0 * F.col("base_score") - 4.4))), 6)
+    found = F.array(
+        F.struct(F.lit("forecast").alias("detector"), F.lit("forecast:s1_exfil_7d").alias("reason"), F.col("forecast").alias("score")),
+        F.struct(F.lit("ml").alias("detector"), F.lit("ml:supervised_s1").alias("reason"), ml.alias("score")),
+    )
+    rows = z.select("user_key", F.col("end_day").alias("day"), F.inline(found))
+    return rows.where(F.col("score") >= 0.5)
 
 
 def raw_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts of all four detectors: rules on the features, the others on the stand-in scores."""
-    z = zscores(spark, sf)
-    ml = F.round(1.0 / (1.0 + F.exp(-(8.0 * F.col("base_score") - 4.4))), 6)
-    scored = z.select("user_key", "end_day", "forecast", ml.alias("ml"))
-    forecast = scored.where(F.col("forecast") >= 0.5).select(
-        F.col("end_day").alias("day"), "user_key", F.lit("forecast").alias("detector"),
-        F.lit("forecast:s1_exfil_7d").alias("reason"), F.col("forecast").alias("score"),
-    )
-    supervised = scored.where(F.col("ml") >= 0.5).select(
-        F.col("end_day").alias("day"), "user_key", F.lit("ml").alias("detector"),
-        F.lit("ml:supervised_s1").alias("reason"), F.col("ml").alias("score"),
-    )
-    fired = rules.rule_alerts(features(spark, sf), RULES)
-    hot = anomaly.anomaly_alerts(z)
-    return alert_ops.all_alerts(fired, hot, forecast, supervised)
+    feats = staged(features(spark, sf), "features")
+    z = staged(zscores(spark, sf, feats), "zscores")
+    fired = rules.rule_alerts(feats, RULES)
+    return alert_ops.all_alerts(fired, anomaly.anomaly_alerts(z), score_alerts(z))
 
 
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return alert_ops.normalize_alerts(raw_alerts(spark, sf))
+    """Canonical alerts, staged: reports read them more than once."""
+    return staged(alert_ops.normalize_alerts(raw_alerts(spark, sf)), "alerts")

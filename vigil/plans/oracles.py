@@ -1 +1,532 @@
+"""DuckDB twins of the registered queries, put together from named common table expressions.
+
+They follow the definitions directly (joins, correlated conditions, plain window frames),
+not the way the Spark operators compute the same thing.
+"""
+
+from __future__ import annotations
+
+import re
+
+CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
+
+
+def cte(name: str, sql: str) -> None:
+    CTES[name] = sql.strip()
+
+
+def _needed(sql: str) -> list[str]:
+    """Names of the expressions `sql` rests on, in an order in which each can be defined."""
+    want: set[str] = set()
+    todo = [sql]
+    while todo:
+        words = set(re.findall(r"\b[a-z_0-9]+\b", todo.pop()))
+        for name in words & CTES.keys() - want:
+            want.add(name)
+            todo.append(CTES[name])
+    return [n for n in CTES if n in want]
+
+
+def oracle(name: str, sql: str, recursive: str = "") -> None:
+    head = [f"{n} AS ({CTES[n]})" for n in _needed(sql + " " + recursive)]
+    if recursive:
+        head.append(recursive)
+    kind = "WITH RECURSIVE " if recursive else "WITH "
+    ORACLES[name] = (kind + ",\n".join(head) + "\n" if head else "") + sql.strip()
+
+
+def r(expr: str, name: str | None = None) -> str:
+    """Six places, and no negative zero."""
+    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name or expr.split('.')[-1]}"
+
+
+def b(expr: str, name: str | None = None) -> str:
+    return f"CAST({expr} AS BIGINT) AS {name or expr.split('.')[-1]}"
+
+
+# --- inputs -------------------------------------------------------------------------------
+
+cte("ev_k", """
+SELECT event_id, user_id, ts, 'u' || user_id AS user_key,
+  CASE event_type WHEN 'signup' THEN 'logon' WHEN 'error' THEN 'device' WHEN 'click' THEN 'file'
+       WHEN 'view' THEN 'http' WHEN 'purchase' THEN 'email' END AS domain,
+  CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k,
+  CAST(ts AS DATE) AS day, CAST(date_trunc('month', ts) AS DATE) AS event_month,
+  (extract(hour FROM ts) < 7 OR extract(hour FROM ts) >= 19) AS ah
+FROM events""")
+cte("ev", """
+SELECT *,
+  CASE WHEN k >= 90 THEN 'lab-' || (k % 3) WHEN k < 70 THEN 'pc-' || user_id
+       ELSE 'pc-' || ((user_id + k) % 15) END AS pc,
+  length('https://' || CASE WHEN k % 11 = 0 THEN 'www.wikileaks.org'
+      WHEN k % 13 = 0 THEN 'dl.dropboxusercontent.com' WHEN k % 17 = 0 THEN 'jobs.hirepath.com'
+      ELSE 'intra.corp.example' END || '/'
+    || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'a/' ELSE 'a/b.html' END) AS url_length,
+  k % 3 AS url_depth,
+  k % 11 = 0 AS wiki,
+  k % 13 = 0 AND k % 11 <> 0 AS dropbox,
+  k % 17 = 0 AND k % 11 <> 0 AND k % 13 <> 0 AS job,
+  k % 4 = 0 AND k % 7 <> 0 AS int_only,
+  k % 4 = 1 OR (k % 4 = 0 AND k % 7 = 0) AS int_ext,
+  k % 4 = 2 AS ext_int,
+  k % 4 = 3 AS ext_only,
+  k % 7 = 0 AS personal
+FROM ev_k""")
+cte("people", """
+SELECT 'u' || c_custkey AS user_key, DATE '2023-01-01' AS first_seen,
+  CASE WHEN c_custkey % 7 = 0 THEN DATE '2023-12-01' ELSE DATE '2024-06-01' END AS last_seen,
+  c_name AS employee_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'ITAdmin' ELSE c_mktsegment END AS role_id,
+  r_name AS business_unit, 'fu-' || (c_custkey % 6) AS functional_unit, n_name AS department,
+  'team-' || (c_custkey % 10) AS team_id
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+cte("lg", "SELECT * FROM ev WHERE domain = 'logon'")
+cte("lna", "SELECT * FROM lg WHERE user_key NOT IN (SELECT user_key FROM people WHERE role_id = 'ITAdmin')")
+cte("pcm", """
+SELECT pc, max(u) AS m FROM (
+  SELECT pc, event_month, count(DISTINCT user_key) AS u FROM lna GROUP BY ALL) GROUP BY pc""")
+cte("dom", """
+SELECT pc, max(n) / sum(n) AS share FROM (SELECT pc, user_key, count(*) AS n FROM lna GROUP BY ALL) GROUP BY pc""")
+cte("pck", """
+SELECT max(m) AS kk FROM (SELECT m, (SELECT count(*) FROM pcm y WHERE y.m >= x.m) AS c FROM pcm x)
+WHERE c BETWEEN 3 AND 5""")
+cte("shr", """
+SELECT pc, m FROM (SELECT pc, m, row_number() OVER (ORDER BY m DESC, pc) AS rn FROM pcm), pck
+WHERE CASE WHEN kk IS NULL THEN rn <= 3 ELSE m >= kk END""")
+cte("upd", """
+SELECT user_key, pc, count(DISTINCT day) AS d FROM lg
+WHERE NOT ah AND pc NOT IN (SELECT pc FROM shr) GROUP BY ALL""")
+cte("asg", """
+SELECT user_key, CASE WHEN tot >= 5 AND d / tot >= 0.5 THEN pc END AS assigned_pc, d, tot, d / tot AS share FROM (
+  SELECT user_key, pc, d, sum(d) OVER (PARTITION BY user_key) AS tot,
+    row_number() OVER (PARTITION BY user_key ORDER BY d DESC, pc) AS rn FROM upd) WHERE rn = 1""")
+cte("e", """
+SELECT ev.*, ev.pc IN (SELECT pc FROM shr) AS on_shared,
+  coalesce(ev.pc <> asg.assigned_pc, FALSE) AS on_unassigned,
+  coalesce(event_month BETWEEN first_seen AND last_seen, FALSE) AS active
+FROM ev LEFT JOIN asg USING (user_key) LEFT JOIN people USING (user_key)""")
+
+_TAIL = """avg(ah::INT) AS after_hours_rate, max(active::INT) AS is_active_employee_day,
+  count(*) FILTER (NOT active) AS n_events_post_departure"""
+cte("d_logon", f"""
+SELECT user_key, day, count(*) AS n_logon, count(DISTINCT pc) AS n_pc_used,
+  avg(on_shared::INT) AS on_shared_pc_rate, avg(on_unassigned::INT) AS on_unassigned_pc_rate, {_TAIL}
+FROM e WHERE domain = 'logon' GROUP BY user_key, day""")
+cte("d_device", f"""
+SELECT user_key, day, count(*) AS n_device_events, count(DISTINCT pc) AS n_unique_pcs,
+  count(*) FILTER (event_id % 2 = 0) AS n_usb_connects, count(*) FILTER (event_id % 2 <> 0) AS n_usb_disconnects,
+  avg(on_shared::INT) AS usb_on_shared_pc_rate, {_TAIL}
+FROM e WHERE domain = 'device' GROUP BY user_key, day""")
+cte("d_file", f"""
+SELECT user_key, day, count(*) AS n_file_events, count(*) FILTER (k % 2 = 0) AS n_file_open,
+  count(*) FILTER (k % 2 = 1) AS n_file_write, count(*) FILTER (k % 3 = 0) AS n_to_removable,
+  count(*) FILTER (k % 5 = 0) AS n_from_removable, count(*) FILTER (k = 7) AS n_is_keylogger,
+  count(DISTINCT pc) AS n_unique_pcs, {_TAIL}
+FROM e WHERE domain = 'file' GROUP BY user_key, day""")
+cte("d_http", f"""
+SELECT user_key, day, count(*) AS n_http, avg(url_length) AS avg_url_length, avg(url_depth) AS avg_url_depth,
+  count(*) FILTER (wiki) AS n_wikileaks, count(*) FILTER (dropbox) AS n_dropbox, count(*) FILTER (job) AS n_job_sites, {_TAIL}
+FROM e WHERE domain = 'http' GROUP BY user_key, day""")
+cte("d_email", f"""
+SELECT user_key, day, count(*) AS n_email_sent, avg(k % 4) AS avg_attachment_count,
+  count(*) FILTER (int_only) AS n_internal_only, count(*) FILTER (int_ext) AS n_internal_to_external,
+  count(*) FILTER (ext_int) AS n_external_to_internal, count(*) FILTER (ext_only) AS n_external_only,
+  count(*) FILTER (personal) AS n_any_personal_recipient, count(*) FILTER (ah) AS n_after_hours, {_TAIL}
+FROM e WHERE domain = 'email' GROUP BY user_key, day""")
+
+# Column name -> whether it is a whole number.
+_DAILY = {
+    "logon": "n_logon n_pc_used after_hours_rate on_shared_pc_rate on_unassigned_pc_rate is_active_employee_day n_events_post_departure",
+    "device": "n_device_events n_unique_pcs n_usb_connects n_usb_disconnects after_hours_rate usb_on_shared_pc_rate is_active_employee_day n_events_post_departure",
+    "file": "n_file_events n_file_open n_file_write n_to_removable n_from_removable n_is_keylogger n_unique_pcs after_hours_rate is_active_employee_day n_events_post_departure",
+    "http": "n_http avg_url_length avg_url_depth n_wikileaks n_dropbox n_job_sites after_hours_rate is_active_employee_day n_events_post_departure",
+    "email": "n_email_sent avg_attachment_count n_internal_only n_internal_to_external n_external_to_internal n_external_only n_any_personal_recipient n_after_hours after_hours_rate is_active_employee_day n_events_post_departure",
+}
+
+
+def _typed(column: str, name: str) -> str:
+    return r(column, name) if column.endswith("_rate") or column.split(".")[-1].startswith("avg_") else b(column, name)
+
+
+for _d, _cols in _DAILY.items():
+    oracle(f"{_d}_daily", f"SELECT user_key, day, {', '.join(_typed(c, c) for c in _cols.split())} FROM d_{_d}")
+
+cte("dk", " UNION ".join(f"SELECT user_key, day FROM d_{d}" for d in _DAILY))
+_wide = ", ".join(f"d_{d}.{c} AS {d}_{c}" for d, cols in _DAILY.items() for c in cols.split())
+_joins = " ".join(f"LEFT JOIN d_{d} USING (user_key, day)" for d in _DAILY)
+cte("wide", f"SELECT dk.user_key, dk.day, {_wide} FROM dk {_joins}")
+_wide_out = ", ".join(
+    _typed(f"wide.{d}_{c}" if not c.startswith("avg_") else f"wide.{d}_{c}", f"{d}_{c}").replace("BIGINT", "DOUBLE" if False else "BIGINT")
+    for d, cols in _DAILY.items() for c in cols.split() if not c.startswith("avg_")
+) + ", " + ", ".join(r(f"{d}_{c}", f"{d}_{c}") for d, cols in _DAILY.items() for c in cols.split() if c.startswith("avg_"))
+for _n in ("daily_user_wide", "daily_user_tall_equal"):
+    oracle(_n, f"SELECT user_key, day, {_wide_out} FROM wide")
+
+_TOTALS = {"logon": "logon_n_logon", "device": "device_n_device_events", "file": "file_n_file_events",
+           "http": "http_n_http", "email": "email_n_email_sent"}
+_n_all = " + ".join(f"coalesce({c}, 0)" for c in _TOTALS.values())
+_n_ah = " + ".join(f"coalesce({c}, 0) * coalesce({d}_after_hours_rate, 0)" for d, c in _TOTALS.items())
+cte("one", f"""
+SELECT *, CASE WHEN {_n_all} > 0 THEN ({_n_ah}) / ({_n_all}) ELSE 0 END AS ah_rate_1d,
+  coalesce(device_n_usb_connects, 0) AS usb_count_1d FROM wide""")
+oracle("after_hours_rate_1d", f"SELECT user_key, day, {r('ah_rate_1d')}, {b('usb_count_1d')} FROM one")
+
+# The calendar with a row for every day between a user's first and last.
+cte("cal", """
+SELECT u.user_key, CAST(g.d AS DATE) AS day, coalesce(o.ah_rate_1d, 0) AS r, coalesce(o.usb_count_1d, 0) AS c,
+  o.user_key IS NOT NULL AS real
+FROM (SELECT user_key, min(day) AS lo, max(day) AS hi FROM one GROUP BY user_key) u,
+  LATERAL (SELECT unnest(generate_series(u.lo::TIMESTAMP, u.hi::TIMESTAMP, INTERVAL 1 DAY)) AS d) g
+LEFT JOIN one o ON o.user_key = u.user_key AND o.day = CAST(g.d AS DATE)""")
+oracle("densified_days", f"SELECT user_key, day, {r('r', 'ah_rate_1d')}, {b('c', 'usb_count_1d')} FROM cal")
+
+
+def _frame(a: int, z: int) -> str:
+    low = f"{a} PRECEDING"
+    high = "CURRENT ROW" if z == 0 else f"{z} PRECEDING"
+    return f"OVER (PARTITION BY user_key ORDER BY day ROWS BETWEEN {low} AND {high})"
+
+
+def _rolled(source: str, span: int) -> str:
+    """Means over the densified calendar, so row frames are day frames."""
+    long = span + 7
+    return f"""
+SELECT user_key, day, real, r, c,
+  least(1, greatest(0, avg(r) {_frame(7, 0)})) AS tr,
+  least(1, greatest(0, ({long}.0 * avg(r) {_frame(long, 1)} - 7.0 * avg(r) {_frame(7, 1)}) / {span}.0)) AS bl0,
+  count(*) {_frame(long, 1)} AS prior,
+  sum(c) {_frame(7, 0)} AS ut,
+  sum(c) {_frame(long, 1)} - sum(c) {_frame(7, 1)} AS ub
+FROM {source}"""
+
+
+cte("roll", _rolled("cal", 14))
+_ROLLED = """SELECT user_key, day, r AS ah_rate_1d, tr AS ah_rate_trend, CASE WHEN prior > 0 THEN bl0 END AS ah_rate_baseline,
+  c AS usb_count_1d, ut AS usb_count_trend, ub AS usb_count_baseline,
+  (tr > CASE WHEN prior > 0 THEN bl0 ELSE 0 END + 1e-6)::INT AS ah_novel, (ut > coalesce(ub, 0))::INT AS usb_novel
+FROM {} WHERE real"""
+cte("roll2", _ROLLED.format("roll"))
+_roll_out = ", ".join(
+    [r(c) for c in ("ah_rate_1d", "ah_rate_trend", "ah_rate_baseline", "usb_count_trend", "usb_count_baseline")]
+    + [b(c) for c in ("usb_count_1d", "ah_novel", "usb_novel")]
+)
+oracle("rolling_trend_baseline", f"SELECT user_key, day, {_roll_out} FROM roll2")
+cte("rolldoc", f"""
+SELECT user_key, day, real, r AS ah_rate_1d, c AS usb_count_1d,
+  avg(r) {_frame(6, 0)} AS ah_rate_trend, avg(r) {_frame(21, 8)} AS ah_rate_baseline0, avg(r) {_frame(20, 7)} AS x,
+  sum(c) {_frame(6, 0)} AS usb_count_trend,
+  CASE WHEN count(*) {_frame(21, 1)} > 0 THEN coalesce(sum(c) {_frame(21, 8)}, 0) END AS usb_count_baseline
+FROM cal""")
+oracle("rolling_trend_documented", f"""
+SELECT user_key, day, {r('ah_rate_1d')}, {r('ah_rate_trend')}, {r('ah_rate_baseline0', 'ah_rate_baseline')},
+  {b('usb_count_1d')}, {r('usb_count_trend')}, {r('usb_count_baseline')},
+  {b('ah_rate_trend > coalesce(ah_rate_baseline0, 0) + 1e-6', 'ah_novel')},
+  {b('usb_count_trend > coalesce(usb_count_baseline, 0)', 'usb_novel')} FROM rolldoc WHERE real""")
+cte("od", """
+SELECT 'u' || o_custkey AS user_key, CAST(o_orderdate AS DATE) AS day,
+  count(*) FILTER (o_orderstatus = 'F') AS usb_count_1d, avg(o_orderkey % 2) AS ah_rate_1d FROM orders GROUP BY 1, 2""")
+cte("odcal", """
+SELECT u.user_key, CAST(g.d AS DATE) AS day, coalesce(o.ah_rate_1d, 0) AS r, coalesce(o.usb_count_1d, 0) AS c,
+  o.user_key IS NOT NULL AS real
+FROM (SELECT user_key, min(day) AS lo, max(day) AS hi FROM od GROUP BY user_key) u,
+  LATERAL (SELECT unnest(generate_series(u.lo::TIMESTAMP, u.hi::TIMESTAMP, INTERVAL 1 DAY)) AS d) g
+LEFT JOIN od o ON o.user_key = u.user_key AND o.day = CAST(g.d AS DATE)""")
+cte("odroll", _rolled("odcal", 30))
+cte("odroll2", _ROLLED.format("odroll"))
+oracle("rolling_long_history", f"SELECT user_key, day, {_roll_out} FROM odroll2")
+
+# The feature table: wide columns plus rolling ones.
+cte("feat", """
+SELECT one.*, x.ah_rate_trend, x.ah_rate_baseline, x.usb_count_trend, x.usb_count_baseline, x.ah_novel, x.usb_novel
+FROM one JOIN roll2 x ON x.user_key = one.user_key AND x.day = one.day""")
+
+_W14 = "(PARTITION BY user_key ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)"
+_wc = ("ah_rate_1d", "usb_count_1d", "http_n_http", "logon_n_logon", "file_n_file_events")
+_feats = ", ".join(
+    f"round({fn}(coalesce({c}, 0)::DOUBLE) OVER w, 6) + 0.0 AS {p}_{c}"
+    for p, fn in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")) for c in _wc
+)
+oracle("window14_features", f"""
+SELECT * EXCLUDE (n) FROM (SELECT user_key, day AS end_day, count(*) OVER w AS n, {_feats} FROM feat WINDOW w AS {_W14}) WHERE n = 14""")
+cte("numbered", "SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY day) AS rn FROM feat")
+oracle("window14_rows", f"""
+SELECT a.user_key, a.day AS end_day, p.day, {b('p.usb_count_1d')}, {r('p.ah_rate_1d')}
+FROM numbered a JOIN numbered p ON p.user_key = a.user_key AND p.rn BETWEEN a.rn - 13 AND a.rn WHERE a.rn >= 14""")
+oracle("window14_calendar", f"""
+SELECT a.user_key, a.day, {b('count(*)', 'n_rows')}, {b('sum(p.usb_count_1d)', 'usb')}, {r('avg(p.ah_rate_1d)', 'ah')}
+FROM one a JOIN one p ON p.user_key = a.user_key AND p.day BETWEEN a.day - 13 AND a.day GROUP BY a.user_key, a.day""")
+
+# --- rules --------------------------------------------------------------------------------
+
+_sig = " + ".join(
+    f"CASE WHEN coalesce({c}, 0) >= 1 AND coalesce({d}_after_hours_rate, 0) >= 0.5 THEN "
+    + ("CASE WHEN coalesce(email_n_after_hours, 0) > 0 THEN email_n_after_hours ELSE coalesce(email_n_email_sent, 0) * email_after_hours_rate END"
+       if d == "email" else f"{c} * {d}_after_hours_rate") + " ELSE 0 END"
+    for d, c in _TOTALS.items()
+)
+_post = " + ".join(f"coalesce({d}_n_events_post_departure, 0)" for d in _TOTALS)
+cte("sg", f"""
+SELECT *, ({_sig}) >= 1 AS ah_sig, coalesce(device_n_usb_connects, 0) AS usb, coalesce(http_n_wikileaks, 0) AS leak, ({_post}) AS post FROM feat""")
+cte("rm", """
+SELECT a.user_key, a.day, any_value(a.ah_sig) AS ah_sig, count(*) AS active_days,
+  count(*) FILTER (p.ah_sig) AS ah_days, count(*) FILTER (p.usb > 0) AS usb_days, sum(p.usb) AS usb_total,
+  count(*) FILTER (p.ah_sig AND p.usb > 0) AS same_day, sum(p.ah_novel) AS ah_nov, sum(p.usb_novel) AS usb_nov,
+  any_value(a.usb) AS usb, any_value(a.leak) AS leak, any_value(a.post) AS post
+FROM sg a JOIN sg p ON p.user_key = a.user_key AND p.day BETWEEN a.day - 6 AND a.day GROUP BY a.user_key, a.day""")
+cte("ws14", f"SELECT user_key, day, min(day) OVER {_W14} AS window_start FROM feat")
+cte("rm2", """
+SELECT rm.*, window_start, active_days >= 3 AND (same_day > 0 OR (ah_days >= 2 AND usb_days >= 2)) AND ah_nov > 0 AND usb_nov > 0 AS base
+FROM rm JOIN ws14 USING (user_key, day)""")
+cte("rc", """
+SELECT *, base AND leak > 0 AS has_chain, base AND usb_total >= 4 AND usb > 0 AND leak = 0 AS near_miss,
+  base AND leak > 0 AND post > 0 AS has_chain_post FROM rm2""")
+oracle("rule_measures_7d", f"""
+SELECT user_key, day, ah_sig, window_start, {b('active_days')}, {b('ah_days', 'ah_sig_days_7d')}, {b('usb_days', 'usb_days_7d')},
+  {b('usb_total', 'usb_total_7d')}, {b('same_day', 'same_day_ah_usb_7d')}, {b('leak > 0', 'wikileaks_days_N')},
+  {b('ah_nov', 'ah_novel_7d')}, {b('usb_nov', 'usb_novel_7d')}, {b('usb', 'latest_usb')}, {r('post', 'post_departure_events_today')} FROM rm2""")
+oracle("rule_cases", "SELECT user_key, day, has_chain, near_miss, has_chain_post FROM rc")
+cte("ra", """
+SELECT *, 'rules:' || kase AS reason, CASE kase WHEN 's1_chain_post_departure' THEN 0.95 WHEN 's1_chain' THEN 0.8 ELSE 0.3 END::DOUBLE AS score,
+  CASE kase WHEN 's1_chain_post_departure' THEN 'Post-departure data theft pattern over the last 7 days. After-hours logins, USB activity, and traffic to a known data-leak site continue after the user left the organization.'
+    WHEN 's1_chain' THEN 'Likely data theft over the last 7 days. Heavy after-hours activity on ' || ah_days || ' day(s). USB device use on ' || usb_days || ' day(s), ' || usb_total || ' total connections. Same-day after-hours + USB on ' || same_day || ' day(s). Traffic to a known data-leak site on ' || (leak > 0)::INT || ' day(s).'
+    ELSE 'Possible preparation for data theft. After-hours activity and USB use have increased in the last 7 days. USB used ' || usb_total || ' times across ' || usb_days || ' day(s). No traffic to known data-leak sites has been observed yet.' END AS human_summary
+FROM (SELECT *, CASE WHEN has_chain_post THEN 's1_chain_post_departure' WHEN has_chain THEN 's1_chain' WHEN near_miss THEN 's1_near_miss' END AS kase FROM rc)
+WHERE kase IS NOT NULL""")
+oracle("rule_alerts", f"""
+SELECT user_key, day, reason, {r('score')}, human_summary, {b('ah_days', 'ah_sig_days_7d')}, {b('usb_days', 'usb_days_7d')},
+  {b('usb_total', 'usb_total_7d')}, {b('same_day', 'same_day_ah_usb_7d')}, {b('leak > 0', 'wikileaks_days_N')},
+  {b('1', 'wl_lookback_days')}, window_start, day AS window_end, {b('3', 'min_window_days')},
+  'combined(rate*count, domain mins)' AS ah_method, {b('ah_nov', 'ah_novel_7d')}, {b('usb_nov', 'usb_novel_7d')},
+  post > 0 AS post_departure_today, {r('post', 'post_departure_events_today')} FROM ra""")
+cte("tl", """
+SELECT user_key, alert_day, day, kind, message FROM (
+  SELECT ra.user_key, ra.day AS alert_day, s.day, unnest([
+    CASE WHEN s.ah_sig THEN {'kind': 'after_hours', 'message': 'After-hours activity above normal levels.'} END,
+    CASE WHEN s.usb > 0 THEN {'kind': 'usb', 'message': 'USB device connected (' || s.usb || ' events) during this day.'} END,
+    CASE WHEN s.leak > 0 THEN {'kind': 'leak_site', 'message': 'Traffic to a known data-leak site (wikileaks.org).'} END]) AS m,
+    m.kind AS kind, m.message AS message
+  FROM ra JOIN sg s ON s.user_key = ra.user_key AND s.day BETWEEN ra.day - 6 AND ra.day)
+WHERE kind IS NOT NULL
+UNION ALL SELECT user_key, day, day, 'post_departure_chain', 'Data-theft pattern continues after the user left the organization.'
+FROM ra WHERE has_chain_post""")
+oracle("rule_timeline", "SELECT user_key, alert_day, day, kind, message FROM tl")
+oracle("top_rule_alerts", f"""
+SELECT user_key, day, reason, {r('score')}, {b('usb_total', 'usb_total_7d')}, {b('ah_days', 'ah_sig_days_7d')} FROM ra
+ORDER BY ra.score DESC, usb_total DESC, day, user_key LIMIT 20""")
+
+# --- directory ----------------------------------------------------------------------------
+
+cte("snap", """
+SELECT DISTINCT 'u' || o_custkey AS user_key, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_date, c_custkey,
+  c_name AS employee_name, lower(c_name) || '@corp.example' AS email, c_mktsegment AS role, r_name AS business_unit,
+  'fu-' || (c_custkey % 6) AS functional_unit, n_name AS department, 'team-' || (c_custkey % 10) AS team,
+  '  CUSTOMER#' || lpad(CAST(c_custkey - c_custkey % 10 AS VARCHAR), 9, '0') AS supervisor, 'corp.example' AS email_domain
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+LEFT JOIN region ON n_regionkey = r_regionkey""")
+cte("bnd", "SELECT user_key, min(snapshot_date) AS first_seen, max(snapshot_date) AS last_seen FROM snap GROUP BY user_key")
+cte("sup", """
+SELECT s.*, (SELECT min(t.user_key) FROM snap t WHERE t.snapshot_date = s.snapshot_date
+  AND lower(t.employee_name) = lower(trim(s.supervisor))) AS supervisor_key FROM snap s""")
+_attrs = "employee_name, email, role, business_unit, functional_unit, department, team, supervisor"
+oracle("directory_snapshots", f"SELECT user_key, snapshot_date, {_attrs}, email_domain FROM snap")
+oracle("directory_bounds", "SELECT user_key, first_seen, last_seen FROM bnd")
+oracle("supervisor_map", "SELECT user_key, snapshot_date AS event_month, supervisor, supervisor_key FROM sup")
+oracle("directory_asof", f"""
+SELECT user_key, snapshot_date AS event_month, {_attrs}, supervisor_key, first_seen, last_seen FROM sup JOIN bnd USING (user_key)""")
+oracle("user_org", """
+SELECT user_key, role AS role_id, business_unit, functional_unit, department, team AS team_id
+FROM snap JOIN bnd USING (user_key) WHERE snapshot_date = last_seen""")
+oracle("termination_map", """
+SELECT user_key, last_seen, last_seen < (SELECT max(last_seen) FROM bnd) AS is_terminated FROM bnd""")
+cte("ship", """
+SELECT 'u' || o_custkey AS user_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS event_month
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+cte("shipx", """
+SELECT ship.*, snap.department, snap.business_unit, snap.user_key IS NOT NULL AS joined_ldap, first_seen, last_seen,
+  coalesce(event_month BETWEEN first_seen AND last_seen, FALSE) AS active
+FROM ship LEFT JOIN snap ON snap.user_key = ship.user_key AND snap.snapshot_date = ship.event_month
+LEFT JOIN bnd ON bnd.user_key = ship.user_key""")
+oracle("asof_month_enrich", f"""
+SELECT department, business_unit, joined_ldap, active AS user_is_active_employee, {b('count(*)', 'n')},
+  {b('count(DISTINCT user_key)', 'users')} FROM shipx GROUP BY ALL""")
+oracle("join_reason", f"""
+SELECT user_key, event_month, CASE WHEN first_seen IS NULL THEN 'not_in_ldap' WHEN event_month < first_seen THEN 'pre_hire'
+  WHEN event_month > last_seen THEN 'post_departure' ELSE 'matched' END AS join_reason, {b('count(*)', 'n')} FROM shipx GROUP BY ALL""")
+_pd = ", ".join(b(f"{d}_n_events_post_departure", f"{d}_n_events_post_departure") for d in _TOTALS)
+oracle("post_departure_flag", f"""
+SELECT w.user_key, w.day, coalesce(w.day > p.last_seen, FALSE) AS is_post_departure,
+  coalesce(w.day > p.last_seen, FALSE) OR ({_post}) > 0 AS is_post_departure_window, {_pd}
+FROM wide w LEFT JOIN people p ON p.user_key = w.user_key AND p.last_seen < (SELECT max(last_seen) FROM people)""")
+
+# --- machines -----------------------------------------------------------------------------
+
+oracle("shared_pcs", f"SELECT pc, {b('m', 'distinct_non_admin_users')}, {r('share', 'top_user_share')}, TRUE AS shared_pc FROM shr JOIN dom USING (pc)")
+oracle("pc_dominance", f"SELECT pc, {r('share', 'top_user_share')} FROM dom")
+oracle("pc_sharedness", f"SELECT pc, {b('m', 'distinct_non_admin_users')} FROM pcm")
+oracle("assigned_pc", f"SELECT user_key, assigned_pc, {b('d', 'days_on_pc')}, {b('tot', 'user_days')}, {r('share')} FROM asg")
+oracle("pc_flags", f"SELECT user_key, domain, on_shared AS on_shared_pc, on_unassigned AS on_unassigned_pc, {b('count(*)', 'n')} FROM e GROUP BY ALL")
+
+# --- web and text -------------------------------------------------------------------------
+
+cte("pg", """
+SELECT *, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host,
+  regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path FROM pages""")
+oracle("url_metrics", f"""
+SELECT page_id, {b('length(url)', 'url_length')}, {b("len(list_filter(string_split(path, '/'), x -> x <> ''))", 'url_depth')},
+  host, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS registrable FROM pg""")
+oracle("destination_flags", f"""
+SELECT user_key, wiki AS is_wikileaks, dropbox AS is_dropbox, job AS is_job_site, {b('count(*)', 'n')},
+  {b('sum(url_length)', 'url_length')}, {b('sum(url_depth)', 'url_depth')} FROM ev WHERE domain = 'http' GROUP BY ALL""")
+cte("td", r"""
+SELECT domain, count(*) AS n FROM (
+  SELECT regexp_extract(lower(regexp_extract(u, '^https?://([^/?#:]+)', 1)), '([^.]+[.][^.]+)$', 1) AS domain
+  FROM (SELECT unnest(regexp_extract_all(url || ' ' || html, 'https?://\S+')) AS u FROM pages)) GROUP BY domain""")
+oracle("top_domains", f"SELECT domain, {b('n')} FROM td ORDER BY td.n DESC, domain LIMIT 50")
+oracle("listed_host_flags", """
+SELECT page_id, regexp_extract(host, '([^.]+[.][^.]+)$', 1) = (SELECT domain FROM td ORDER BY n DESC, domain LIMIT 1) AS is_listed FROM pg""")
+cte("cv", r"""
+SELECT conv_id, turn, role || '@corp.example' AS from_key,
+  list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')[1:6], w -> w <> '') AS ws FROM conversations""")
+oracle("recipient_counts", f"SELECT conv_id, turn, {b('len(ws)', 'to_count')} FROM cv")
+oracle("recipient_edges", f"""
+SELECT from_key, w || '@x.example' AS to_key, {b('count(*)', 'n')} FROM (SELECT from_key, unnest(ws) AS w FROM cv) GROUP BY ALL""")
+_dirs = {
+    "dir_internal_only": "int_only", "dir_internal_to_external": "int_ext", "dir_external_to_internal": "ext_int",
+    "dir_external_only": "ext_only", "any_personal_recipient": "personal", "email_to_ext_domain": "k % 2 = 1 OR k % 7 = 0",
+    "internal_to_external": "int_ext", "external_to_internal": "ext_int", "external_to_personal": "k % 4 >= 2 AND k % 7 = 0",
+}
+oracle("direction_flags", "SELECT user_key, " + ", ".join(b(f"count(*) FILTER ({c})", n) for n, c in _dirs.items())
+       + " FROM ev WHERE domain = 'email' GROUP BY user_key")
+oracle("name_normalise", """
+SELECT c_custkey, replace(lower(c_name), '#', ' # ') AS name, CASE WHEN c_custkey % 10 <> 9 THEN lower(c_name) END AS user_key,
+  'mail.example' AS email_domain, c_name AS handle FROM customer""")
+oracle("keylogger_stem", "SELECT p_partkey, p_partkey % 5 IN (0, 2) AS is_keylogger FROM part")
+oracle("timestamp_parsing", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 7 THEN CAST(o_orderdate AS DATE) END AS day,
+  CASE WHEN o_orderkey % 10 <> 7 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS month,
+  o_orderkey % 10 <> 7 AND (extract(hour FROM o_orderdate) < 7 OR extract(hour FROM o_orderdate) >= 19) AS after_hours FROM orders""")
+oracle("dedupe_events", f"""
+SELECT user_key, domain, {b('count(*)', 'n')}, {b('count(*) FILTER (event_id % 3 <> 0)', 'with_id')} FROM ev GROUP BY ALL""")
+
+# --- labels -------------------------------------------------------------------------------
+
+cte("ky", "SELECT DISTINCT user_key, day FROM ev_k")
+cte("rg", """
+SELECT user_key, d + o.s AS exfil_start, d + o.e AS exfil_end FROM (
+  SELECT user_key, min(day) AS d FROM ky WHERE CAST(substr(user_key, 2) AS BIGINT) % 10 = 3 GROUP BY user_key),
+  (VALUES (18, 22), (25, 25)) o(s, e)""")
+oracle("exfil_ranges", """
+SELECT user_key, min(day) AS exfil_start, max(day) AS exfil_end, 'SCENARIO_1' AS scenario_id FROM ev WHERE domain = 'http' AND wiki GROUP BY user_key""")
+oracle("exfil_start", "SELECT user_key, min(exfil_start) AS exfil_start FROM rg GROUP BY user_key")
+cte("lb", """
+SELECT ky.*, EXISTS (SELECT 1 FROM rg WHERE rg.user_key = ky.user_key AND ky.day BETWEEN exfil_start AND exfil_end) AS is_exfil_day,
+  (SELECT min(exfil_start - ky.day) FROM rg WHERE rg.user_key = ky.user_key AND exfil_start > ky.day) AS days_until FROM ky""")
+oracle("label_interval", f"SELECT user_key, day, {b('is_exfil_day', 'label')} FROM lb")
+cte("lf", "SELECT *, CASE WHEN is_exfil_day THEN NULL WHEN days_until BETWEEN 1 AND 7 THEN 1 ELSE 0 END AS lab FROM lb")
+oracle("label_forecast", f"""
+SELECT user_key, day, is_exfil_day, {b('days_until', 'days_until_exfil')}, {b('7', 'forecast_horizon_days')}, {b('lab', 'label_forecast_day')} FROM lf""")
+oracle("label_audit", f"""
+SELECT {b('count(*)', 'total_rows')}, {b('count(*) FILTER (lab = 1)', 'positive_labels')}, {b('count(*) FILTER (lab = 0)', 'negative_labels')},
+  {b('count(*) FILTER (lab IS NULL)', 'null_labels')}, {b('count(DISTINCT user_key)', 'total_users')},
+  {b('count(DISTINCT CASE WHEN lab = 1 THEN user_key END)', 'users_with_positives')} FROM lf""")
+oracle("probe_users", f"""
+SELECT user_key, day, {b('lab', 'label_forecast_day')}, is_exfil_day, {b('days_until', 'days_until_exfil')} FROM lf
+WHERE lab = 1 AND user_key IN (SELECT user_key FROM rg)""")
+oracle("class_weight", f"""
+SELECT {b('count(*) FILTER (lab = 0)', 'neg')}, {b('count(*) FILTER (lab = 1)', 'pos')},
+  {r('count(*) FILTER (lab = 0) / count(*) FILTER (lab = 1)', 'weight')} FROM lf""")
+cte("sp", """
+SELECT user_key, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT user_key, CAST('0x' || substr(md5('42|' || user_key), 1, 8) AS BIGINT) % 100 AS h FROM (SELECT DISTINCT user_key FROM ky))""")
+oracle("user_split", "SELECT user_key, split FROM sp")
+cte("fw", """
+SELECT user_key, day AS end_day, lab, split FROM (
+  SELECT lf.*, split, row_number() OVER (PARTITION BY lf.user_key ORDER BY day) AS rn FROM lf JOIN sp USING (user_key) WHERE lab IS NOT NULL) WHERE rn >= 14""")
+oracle("forecast_windows", f"SELECT user_key, end_day, {b('lab', 'label')}, split FROM fw")
+oracle("windows_join_split", f"""
+SELECT split, {b('count(*)', 'n_windows')}, {b('sum(lab)', 'n_pos')}, {r('avg(lab)', 'pos_rate')} FROM fw
+JOIN (SELECT user_key, day AS end_day, row_number() OVER (PARTITION BY user_key ORDER BY day) AS rn FROM ky) x USING (user_key, end_day)
+WHERE rn >= 14 GROUP BY split""")
+
+# --- scores -------------------------------------------------------------------------------
+
+cte("sraw", f"""
+SELECT user_key, day AS end_day, count(*) OVER w AS n,
+  round(0.45 * avg(ah_rate_1d) OVER w + 0.35 * least(1.0, sum(usb_count_1d) OVER w / 14.0)
+    + 0.2 * least(1.0, avg(coalesce(http_n_http, 0)) OVER w / 3.0), 6) AS raw,
+  round(least(1.0, 0.6 * ah_rate_trend + 0.6 * usb_count_trend / (usb_count_trend + 3.0)), 6) AS fc
+FROM feat WINDOW w AS {_W14}""")
+cte("sraw14", "SELECT * FROM sraw WHERE n = 14")
+cte("sc", """
+SELECT s.user_key, s.end_day, fc, round((raw - (SELECT min(raw) FROM sraw14)) / ((SELECT max(raw) FROM sraw14) - (SELECT min(raw) FROM sraw14)), 6) AS base_score,
+  role_id, business_unit, functional_unit, department, team_id FROM sraw14 s LEFT JOIN people USING (user_key)""")
+_P = "(PARTITION BY user_key ORDER BY end_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+cte("pz", f"""
+SELECT *, count(*) OVER p AS prior_n, avg(base_score) OVER p AS pm, stddev_samp(base_score) OVER p AS ps FROM sc WINDOW p AS {_P}""")
+cte("pz2", """
+SELECT *, CASE WHEN prior_n >= 5 THEN pm END AS personal_mean, CASE WHEN prior_n >= 5 THEN ps END AS personal_std,
+  CASE WHEN prior_n >= 5 THEN (base_score - pm) / nullif(ps, 0) END AS z_personal FROM pz""")
+oracle("personal_zscore", f"""
+SELECT user_key, end_day, {r('base_score')}, {b('prior_n', 'prior_window_count')}, {r('personal_mean')}, {r('personal_std')}, {r('z_personal')} FROM pz2""")
+_GROUPS = {"role_id": "role", "business_unit": "business_unit", "functional_unit": "functional_unit", "department": "department", "team_id": "team_id"}
+for _g, _p in _GROUPS.items():
+    cte(f"gz_{_p}", f"""
+SELECT a.user_key, a.end_day, count(x.base_score) AS n, CASE WHEN count(x.base_score) >= 20 THEN avg(x.base_score) END AS m,
+  CASE WHEN count(x.base_score) >= 20 THEN stddev_samp(x.base_score) END AS s
+FROM sc a LEFT JOIN sc x ON x.{_g} = a.{_g} AND x.end_day < a.end_day GROUP BY a.user_key, a.end_day""")
+cte("zs", "SELECT pz2.*, " + ", ".join(
+    f"gz_{p}.m AS {p}_m, gz_{p}.s AS {p}_s, gz_{p}.n AS {p}_n, (base_score - gz_{p}.m) / nullif(gz_{p}.s, 0) AS z_{p}" for p in _GROUPS.values())
+    + " FROM pz2 " + " ".join(f"JOIN gz_{p} USING (user_key, end_day)" for p in _GROUPS.values()))
+_ZC = ["z_personal", *[f"z_{p}" for p in _GROUPS.values()]]
+cte("zx", f"SELECT *, greatest({', '.join(_ZC)}) AS z_max FROM zs")
+oracle("group_zscore", "SELECT user_key, end_day, " + ", ".join(
+    f"{r(f'{p}_m', f'{p}_mean')}, {r(f'{p}_s', f'{p}_std')}, {b(f'{p}_n', f'{p}_n')}, {r(f'z_{p}')}" for p in ("role", "department")) + " FROM zs")
+oracle("zmax", "SELECT user_key, end_day, " + ", ".join(r(c) for c in [*_ZC, "z_max"]) + " FROM zx")
+cte("zb", """
+SELECT *, least(0.9, greatest(0.0, base_score * (1 + boost))) AS score FROM (
+  SELECT *, CASE WHEN z_max >= 3.5 THEN 0.3 WHEN z_max >= 3.0 THEN 0.2 WHEN z_max >= 2.5 THEN 0.1 WHEN z_max < 1.0 THEN -0.5 ELSE 0 END::DOUBLE AS boost
+  FROM zx WHERE NOT (base_score < 0.5 AND (z_max IS NULL OR z_max < 2.0)))""")
+oracle("zboost", f"SELECT user_key, end_day, {r('base_score')}, {r('z_max')}, {r('boost', 'boost_pct')}, {r('zb.score', 'score')} FROM zb WHERE zb.score >= 0.4")
+oracle("score_distribution", f"""
+SELECT {b('count(*)', 'total_windows')}, {b('count(DISTINCT user_key)', 'unique_users')}, min(end_day) AS first_day, max(end_day) AS last_day,
+  {r('min(base_score)', 'min_score')}, {r('max(base_score)', 'max_score')}, {r('avg(base_score)', 'mean_score')},
+  {r('quantile_cont(base_score, 0.5)', 'median_score')}, {r('quantile_cont(base_score, 0.25)', 'p25')}, {r('quantile_cont(base_score, 0.75)', 'p75')} FROM sc""")
+cte("rs", """
+SELECT role_id, count(*) AS n, avg(base_score) AS a, stddev_samp(base_score) AS s, min(base_score) AS lo, max(base_score) AS hi FROM sc WHERE role_id IS NOT NULL GROUP BY role_id""")
+oracle("role_score_stats", f"""
+SELECT role_id, {b('n', 'num_windows')}, {r('a', 'avg_score')}, {r('s', 'std_score')}, {r('lo', 'min_score')}, {r('hi', 'max_score')} FROM rs ORDER BY a DESC, role_id LIMIT 20""")
+cte("uvr", """
+SELECT u.user_key, u.role_id, ua, rs.a, (ua - rs.a) / rs.s AS z, un FROM (
+  SELECT user_key, role_id, avg(base_score) AS ua, count(*) AS un FROM sc WHERE role_id IS NOT NULL GROUP BY ALL) u JOIN rs USING (role_id) WHERE rs.s > 0""")
+_uvr = f"SELECT user_key, role_id, {r('ua', 'user_avg_score')}, {r('a', 'role_avg_score')}, {r('z', 'z_score_vs_role')}, {b('un', 'num_windows')} FROM uvr"
+oracle("user_vs_role", _uvr)
+oracle("top_outliers", _uvr + " ORDER BY uvr.z DESC NULLS LAST, user_key LIMIT 15")
+_PF = {"avg_logons": "logon_n_logon", "avg_usb": "device_n_usb_connects", "avg_wikileaks": "http_n_wikileaks", "avg_files": "file_n_file_events",
+       "avg_emails": "email_n_email_sent", "avg_after_hours": "logon_after_hours_rate", "avg_device_after_hours": "device_after_hours_rate"}
+for _g, _cond in (("HIGH_SCORE", ">= (SELECT quantile_cont(base_score, 0.9) FROM sc)"), ("LOW_SCORE", "<= (SELECT quantile_cont(base_score, 0.1) FROM sc)")):
+    cte(f"dp_{_g.lower()}", f"SELECT '{_g}' AS group_type, " + ", ".join(f"avg({c}) AS {n}" for n, c in _PF.items()) + f"""
+FROM (SELECT user_key, end_day FROM sc WHERE base_score {_cond}) h JOIN feat d ON d.user_key = h.user_key AND d.day <= h.end_day AND d.day > h.end_day - 14""")
+cte("dp", "SELECT * FROM dp_high_score UNION ALL SELECT * FROM dp_low_score")
+oracle("high_low_deciles", "SELECT group_type, " + ", ".join(r(n) for n in _PF) + " FROM dp")
+oracle("decile_differences", " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, {r(f'h.{n} - l.{n}', 'diff')}, {r(f'CASE WHEN l.{n} > 0 THEN (h.{n} - l.{n}) / l.{n} * 100 ELSE 0 END', 'pct_change')} FROM dp_high_score h, dp_low_score l" for n in _PF))
+oracle("top_windows", f"SELECT user_key, end_day, {r('base_score')}, role_id FROM sc ORDER BY sc.base_score DESC, user_key, end_day LIMIT 20")
+oracle("top_users_overlap", """
+SELECT DISTINCT user_key, user_key IN (SELECT user_key FROM rg) AS is_insider FROM (
+  SELECT user_key FROM sc ORDER BY base_score DESC, user_key, end_day LIMIT 100)""")
+oracle("insider_score_stats", f"""
+SELECT rg.user_key, '1' AS scenario, exfil_start AS "start", exfil_end AS "end", {b('count(base_score)', 'num_windows')}, {r('avg(base_score)', 'avg_score')},
+  {r('max(base_score)', 'max_score')}, {r('min(base_score)', 'min_score')},
+  {b('count(base_score) FILTER (end_day BETWEEN exfil_start AND exfil_end)', 'attack_windows')},
+  {r('avg(base_score) FILTER (end_day BETWEEN exfil_start AND exfil_end)', 'attack_avg_score')},
+  {r('max(base_score) FILTER (end_day BETWEEN exfil_start AND exfil_end)', 'attack_max_score')}
+FROM rg LEFT JOIN sc USING (user_key) GROUP BY rg.user_key, exfil_start, exfil_end""")
+cte("t20", "SELECT user_key, end_day, base_score FROM sc ORDER BY base_score DESC, user_key, end_day LIMIT 20")
+oracle("alert_windows", f"""
+SELECT d.user_key, d.day, {r('d.ah_rate_1d')}, {b('d.usb_count_1d')}, t.end_day FROM t20 t JOIN one d ON d.user_key = t.user_key AND d.day BETWEEN t.end_day - 13 AND t.end_day""")
+oracle("window_indicators", f"""
+SELECT t.user_key, t.end_day, {b('coalesce(sum(device_n_usb_connects), 0)', 'total_usb')}, {b('coalesce(sum(http_n_wikileaks), 0)', 'total_wikileaks')},
+  {b('coalesce(sum(file_n_file_events), 0)', 'total_files')}, {b('coalesce(sum(email_n_email_sent), 0)', 'total_emails')},
+  {r('avg(logon_after_hours_rate)', 'avg_after_hours')},
+  coalesce(sum(http_n_wikileaks), 0) > 0 OR coalesce(sum(device_n_usb_connects), 0) > 10 AS possible_exfiltration
+FROM t20 t JOIN wide d ON d.user_key = t.user_key AND d.day <= t.end_day AND d.day > t.end_day - 14 GROUP BY t.user_key, t.end_day""")

@@ -308,17 +308,22 @@ def destination_flags(spark, sf):
     )
 
 
+def _page_texts(spark, sf):
+    pages = tables.table(spark, sf, "pages")
+    return pages.select(F.concat_ws(" ", "url", "html").alias("text"))
+
+
 @query
 def top_domains(spark, sf):
-    """Most frequent registrable domains among the links of all pages."""
-    return enrich.top_domains(tables.table(spark, sf, "pages").select(F.col("html").alias("text")), 50)
+    """Most frequent registrable domains among the URLs of all pages, address and content."""
+    return enrich.top_domains(_page_texts(spark, sf), 50)
 
 
 @query
 def listed_host_flags(spark, sf):
-    """Pages whose own host is among the ten domains most linked to."""
+    """Pages whose own host is the most frequent one."""
     pages = tables.table(spark, sf, "pages")
-    hosts = enrich.top_domains(pages.select(F.col("html").alias("text")), 10)
+    hosts = enrich.top_domains(_page_texts(spark, sf), 1)
     flagged = enrich.flag_listed_hosts(pages.select("page_id", "url"), hosts, "is_listed")
     return flagged.select("page_id", "is_listed")
 
@@ -495,8 +500,7 @@ def personal_zscore(spark, sf):
 
 @query
 def group_zscore(spark, sf):
-    df = baselines.group_baseline(frames.window_scores(spark, sf), "role_id", 20)
-    df = baselines.group_baseline(df, "department", 20)
+    df = baselines.group_baselines(frames.window_scores(spark, sf), {"role_id": 20, "department": 20})
     return df.select(
         "user_key", "end_day", "role_mean", "role_std", "role_n", "z_role",
         "department_mean", "department_std", "department_n", "z_department",
