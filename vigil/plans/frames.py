@@ -115,13 +115,13 @@ def scored_days(feats: DataFrame) -> DataFrame:
     ah = F.avg("ah_rate_1d").over(frame)
     raw = 0.45 * ah + 0.35 * F.least(F.lit(1.0), usb / 14.0) + 0.2 * F.least(F.lit(1.0), web / 3.0)
     trend = F.col("usb_count_trend")
-    forecast = F.least(F.lit(1.0), 0.6 * F.col("ah_rate_trend") + 0.6 * trend / (trend + 3.0))
+    forecast = F.least(F.lit(1.0), 0.712347 * F.col("ah_rate_trend") + 0.733391 * trend / (trend + 3.0))
     return feats.select(
         "user_key",
         F.col("day").alias("end_day"),
         rows.alias("__rows"),
         F.round(raw, 6).alias("raw"),
-        F.round(forecast, 6).alias("forecast"),
+        F.round(forecast, 9).alias("forecast"),
     ).where(F.col("__rows") == 14).drop("__rows")
 
 
@@ -129,7 +129,7 @@ def window_scores(spark: SparkSession, sf: str, feats: DataFrame | None = None)
     """(user_key, end_day, base_score, forecast, organisation)."""
     days = staged(scored_days(features(spark, sf) if feats is None else feats), "scores")
     span = days.agg(F.struct(F.min("raw").alias("lo"), F.max("raw").alias("hi"))).scalar()
-    base = F.round((F.col("raw") - span["lo"]) / (span["hi"] - span["lo"]), 6)
+    base = F.round((F.col("raw") - span["lo"]) / (span["hi"] - span["lo"]), 9)
     return baselines.attach_org(days.withColumn("base_score", base), tables.event_org(spark, sf))
 
 
@@ -139,7 +139,7 @@ def zscores(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> Dat
 
 def score_alerts(z: DataFrame) -> DataFrame:
     """Forecast and supervised alerts of scored windows, both from one pass over them."""
-    ml = F.round(1.0 / (1.0 + F.exp(-(8.0 * F.col("base_score") - 4.4))), 6)
+    ml = F.round(1.0 / (1.0 + F.exp(-(8.0 * F.col("base_score") - 4.4))), 9)
     found = F.array(
         F.struct(F.lit("forecast").alias("detector"), F.lit("forecast:s1_exfil_7d").alias("reason"), F.col("forecast").alias("score")),
         F.struct(F.lit("ml").alias("detector"), F.lit("ml:supervised_s1").alias("reason"), ml.alias("score")),

@@ -298,15 +298,11 @@ SELECT user_key, day, reason, {r('score')}, human_summary, {b('ah_days', 'ah_sig
   {b('1', 'wl_lookback_days')}, window_start, day AS window_end, {b('3', 'min_window_days')},
   'combined(rate*count, domain mins)' AS ah_method, {b('ah_nov', 'ah_novel_7d')}, {b('usb_nov', 'usb_novel_7d')},
   post > 0 AS post_departure_today, {r('post', 'post_departure_events_today')} FROM ra""")
-cte("tl", """
-SELECT user_key, alert_day, day, kind, message FROM (
-  SELECT ra.user_key, ra.day AS alert_day, s.day, unnest([
-    CASE WHEN s.ah_sig THEN {'kind': 'after_hours', 'message': 'After-hours activity above normal levels.'} END,
-    CASE WHEN s.usb > 0 THEN {'kind': 'usb', 'message': 'USB device connected (' || s.usb || ' events) during this day.'} END,
-    CASE WHEN s.leak > 0 THEN {'kind': 'leak_site', 'message': 'Traffic to a known data-leak site (wikileaks.org).'} END]) AS m,
-    m.kind AS kind, m.message AS message
-  FROM ra JOIN sg s ON s.user_key = ra.user_key AND s.day BETWEEN ra.day - 6 AND ra.day)
-WHERE kind IS NOT NULL
+_WEEK = "FROM ra JOIN sg s ON s.user_key = ra.user_key AND s.day BETWEEN ra.day - 6 AND ra.day"
+cte("tl", f"""
+SELECT ra.user_key, ra.day AS alert_day, s.day, 'after_hours' AS kind, 'After-hours activity above normal levels.' AS message {_WEEK} WHERE s.ah_sig
+UNION ALL SELECT ra.user_key, ra.day, s.day, 'usb', 'USB device connected (' || s.usb || ' events) during this day.' {_WEEK} WHERE s.usb > 0
+UNION ALL SELECT ra.user_key, ra.day, s.day, 'leak_site', 'Traffic to a known data-leak site (wikileaks.org).' {_WEEK} WHERE s.leak > 0
 UNION ALL SELECT user_key, day, day, 'post_departure_chain', 'Data-theft pattern continues after the user left the organization.'
 FROM ra WHERE has_chain_post""")
 oracle("rule_timeline", "SELECT user_key, alert_day, day, kind, message FROM tl")
@@ -372,7 +368,7 @@ cte("pg", """
 SELECT *, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host,
   regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path FROM pages""")
 oracle("url_metrics", f"""
-SELECT page_id, {b('length(url)', 'url_length')}, {b("len(list_filter(string_split(path, '/'), x -> x <> ''))", 'url_depth')},
+SELECT page_id, {b('length(url)', 'url_length')}, {b("len([x FOR x IN string_split(path, '/') IF x <> ''])", 'url_depth')},
   host, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS registrable FROM pg""")
 oracle("destination_flags", f"""
 SELECT user_key, wiki AS is_wikileaks, dropbox AS is_dropbox, job AS is_job_site, {b('count(*)', 'n')},
@@ -386,7 +382,7 @@ oracle("listed_host_flags", """
 SELECT page_id, regexp_extract(host, '([^.]+[.][^.]+)$', 1) = (SELECT domain FROM td ORDER BY n DESC, domain LIMIT 1) AS is_listed FROM pg""")
 cte("cv", r"""
 SELECT conv_id, turn, role || '@corp.example' AS from_key,
-  list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')[1:6], w -> w <> '') AS ws FROM conversations""")
+  [w FOR w IN regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')[1:6] IF w <> ''] AS ws FROM conversations""")
 oracle("recipient_counts", f"SELECT conv_id, turn, {b('len(ws)', 'to_count')} FROM cv")
 oracle("recipient_edges", f"""
 SELECT from_key, w || '@x.example' AS to_key, {b('count(*)', 'n')} FROM (SELECT from_key, unnest(ws) AS w FROM cv) GROUP BY ALL""")
@@ -454,11 +450,11 @@ cte("sraw", f"""
 SELECT user_key, day AS end_day, count(*) OVER w AS n,
   round(0.45 * avg(ah_rate_1d) OVER w + 0.35 * least(1.0, sum(usb_count_1d) OVER w / 14.0)
     + 0.2 * least(1.0, avg(coalesce(http_n_http, 0)) OVER w / 3.0), 6) AS raw,
-  round(least(1.0, 0.6 * ah_rate_trend + 0.6 * usb_count_trend / (usb_count_trend + 3.0)), 6) AS fc
+  round(least(1.0, 0.712347 * ah_rate_trend + 0.733391 * usb_count_trend / (usb_count_trend + 3.0)), 9) AS fc
 FROM feat WINDOW w AS {_W14}""")
 cte("sraw14", "SELECT * FROM sraw WHERE n = 14")
 cte("sc", """
-SELECT s.user_key, s.end_day, fc, round((raw - (SELECT min(raw) FROM sraw14)) / ((SELECT max(raw) FROM sraw14) - (SELECT min(raw) FROM sraw14)), 6) AS base_score,
+SELECT s.user_key, s.end_day, fc, round((raw - (SELECT min(raw) FROM sraw14)) / ((SELECT max(raw) FROM sraw14) - (SELECT min(raw) FROM sraw14)), 9) AS base_score,
   role_id, business_unit, functional_unit, department, team_id FROM sraw14 s LEFT JOIN people USING (user_key)""")
 _P = "(PARTITION BY user_key ORDER BY end_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 cte("pz", f"""
@@ -530,3 +526,256 @@ SELECT t.user_key, t.end_day, {b('coalesce(sum(device_n_usb_connects), 0)', 'tot
   {r('avg(logon_after_hours_rate)', 'avg_after_hours')},
   coalesce(sum(http_n_wikileaks), 0) > 0 OR coalesce(sum(device_n_usb_connects), 0) > 10 AS possible_exfiltration
 FROM t20 t JOIN wide d ON d.user_key = t.user_key AND d.day <= t.end_day AND d.day > t.end_day - 14 GROUP BY t.user_key, t.end_day""")
+
+# --- alerts -------------------------------------------------------------------------------
+
+cte("al", """
+SELECT user_key, day, 1 AS dr, 'rules' AS detector, reason, score, human_summary, usb_total, usb_nov, (leak > 0)::INT AS wl,
+  NULL::DOUBLE AS e_raw, NULL::DOUBLE AS e_boosted, NULL::DOUBLE AS e_boost, NULL::DOUBLE AS e_zp, NULL::DOUBLE AS e_zr, NULL::DOUBLE AS e_zm FROM ra
+UNION ALL SELECT user_key, end_day, 2, 'anomaly', 'anomaly:isolation_forest', score, NULL, NULL, NULL, NULL,
+  round(base_score, 4), round(score, 4), round(boost * 100, 1), round(z_personal, 2), round(z_role, 2), round(z_max, 2) FROM zb WHERE score >= 0.4
+UNION ALL SELECT user_key, end_day, 3, 'forecast', 'forecast:s1_exfil_7d', fc, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sc WHERE fc >= 0.5
+UNION ALL SELECT user_key, end_day, 4, 'ml', 'ml:supervised_s1', m, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM (SELECT *, round(1.0 / (1.0 + exp(-(8.0 * base_score - 4.4))), 9) AS m FROM sc) WHERE m >= 0.5""")
+cte("al2", "SELECT *, " + ", ".join(
+    f"CASE WHEN detector = 'ml' THEN coalesce(max(score) FILTER (detector = '{d}') OVER (PARTITION BY user_key, day), 0.0) END AS {d}_score"
+    for d in ("rules", "anomaly", "ml", "forecast")) + " FROM al")
+oracle("raw_alert_scores", "SELECT user_key, day, detector, reason, " + ", ".join(
+    r(f"al2.{c}", c) for c in ("score", "rules_score", "anomaly_score", "ml_score", "forecast_score")) + " FROM al2")
+cte("cn0", """
+SELECT sha256(CAST(day AS VARCHAR) || '|' || user_key || '|' || detector || '|' || reason) AS alert_id, user_key, day, dr, detector, human_summary,
+  CASE WHEN detector = 'rules' THEN substr(reason, 7) ELSE '' END AS hit,
+  CASE WHEN detector = 'rules' THEN score ELSE coalesce(rules_score, 0.0) END AS rules_score,
+  CASE WHEN detector = 'ml' THEN score ELSE 0.0 END AS ml_score,
+  CASE WHEN detector = 'anomaly' THEN score ELSE anomaly_score END AS anomaly_score,
+  CASE WHEN detector = 'forecast' THEN score ELSE forecast_score END AS forecast_score FROM al2""")
+cte("cn1", """
+SELECT *, 1.0 / (1.0 + exp(-(-3.634722125361524 + 2.553178 * (hit IN ('s1_chain', 's1_chain_post_departure'))::INT - 1.092871 * (hit = 's1_near_miss')::INT
+  + 4.776795 * ml_score + 1.240133 * coalesce(anomaly_score, 0.0) + 1.117140 * coalesce(forecast_score, 0.0)))) AS p FROM cn0""")
+cte("cn2", "SELECT *, CASE hit WHEN 's1_chain_post_departure' THEN 1.0 WHEN 's1_chain' THEN greatest(p, 0.95) ELSE p END::DOUBLE AS ens FROM cn1")
+cte("cn3", """
+SELECT *, CASE WHEN hit IN ('s1_chain', 's1_chain_post_departure') OR ens >= 0.7 THEN 'critical' WHEN ens >= 0.5 THEN 'high' WHEN ens >= 0.3 THEN 'medium' ELSE 'low' END AS severity FROM cn2""")
+cte("cn", """
+SELECT *, severity IN ('high', 'critical') AS escalated, CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END AS sr,
+  CASE WHEN hit <> '' THEN hit WHEN coalesce(forecast_score, 0) >= greatest(ml_score, coalesce(anomaly_score, 0)) THEN 'forecast'
+    WHEN coalesce(anomaly_score, 0) >= greatest(ml_score, coalesce(forecast_score, 0)) THEN 'anomaly' ELSE 'ML' END AS driver FROM cn3""")
+_SC = "rules_score ml_score anomaly_score forecast_score".split()
+oracle("ensemble_scores", "SELECT alert_id, user_key, day, hit AS rule_hits, " + ", ".join(r(f"cn.{c}", c) for c in _SC)
+       + f", {r('ens', 'ensemble_score')}, severity, escalated, driver FROM cn")
+oracle("alert_explanations", """
+SELECT alert_id, CASE WHEN hit IN ('s1_chain', 's1_chain_post_departure') THEN 1.0 WHEN hit = 's1_near_miss' THEN 0.5 ELSE 0.0 END::DOUBLE AS rule_weight,
+  'Rule case: ' || CASE WHEN hit = '' THEN 'none' ELSE hit END AS rule_text, printf('Raw ML score: %.4f', ml_score) AS ml_text,
+  CASE WHEN anomaly_score IS NULL THEN 'No anomaly score' ELSE printf('Anomaly score: %.4f', anomaly_score) END AS anomaly_text,
+  CASE WHEN forecast_score IS NULL THEN 'No forecast score' ELSE printf('Forecast score: %.4f', forecast_score) END AS forecast_text,
+  printf('Ensemble %.2f (%s). Driven by %s.', ens, CASE WHEN escalated THEN 'Escalated' ELSE 'Non-escalated' END, driver) AS summary FROM cn""")
+cte("ru", """
+SELECT user_key, day, coalesce(max(nullif(hit, '')), '') AS rule_hits, max(rules_score) AS rules_score, max(ml_score) AS ml_score,
+  max(anomaly_score) AS anomaly_score, max(forecast_score) AS forecast_score, max(ens) AS ens, max(sr) AS sr, bool_or(escalated) AS escalated,
+  first(alert_id ORDER BY ens DESC, dr) AS alert_id FROM cn GROUP BY user_key, day""")
+_SEV = "CASE {} WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END"
+oracle("user_day_rollup", "SELECT user_key, day, rule_hits, " + ", ".join(r(f"ru.{c}", c) for c in _SC)
+       + f", {r('ens', 'ensemble_score')}, escalated, {_SEV.format('sr')} AS severity, alert_id FROM ru")
+oracle("same_day_max", "SELECT alert_id, " + ", ".join(
+    r(f"max(cn.{c}) OVER (PARTITION BY user_key, day)", c) for c in ("ml_score", "anomaly_score", "forecast_score"))
+    + f", {r('ens', 'ensemble_score')}, severity FROM cn")
+
+
+def _users(where: str) -> str:
+    return f"""
+SELECT user_key, count(*) AS n, count(*) FILTER (escalated) AS n_esc, max(ens) AS me, coalesce(max(forecast_score), 0.0) AS mf,
+  min(day) FILTER (forecast_score >= 0.6) AS ffd, min(day) FILTER (escalated) AS fed, count(DISTINCT day) FILTER (sr >= 2) AS hd,
+  first(severity ORDER BY day DESC, dr DESC) AS last_sev, bool_or(escalated) AS esc FROM cn {where} GROUP BY user_key"""
+
+
+_RANKS = """
+SELECT *, CASE WHEN me >= 0.9 THEN 3 WHEN me >= 0.75 THEN 2 WHEN me >= 0.5 THEN 1 ELSE 0 END AS s1,
+  CASE WHEN mf >= 0.7 THEN 3 WHEN mf >= 0.5 THEN 1 ELSE 0 END AS s2 FROM {}"""
+cte("us0", _users("WHERE day <= DATE '2024-01-28'"))
+cte("us", _RANKS.format("us0"))
+cte("usall0", _users(""))
+cte("usall", _RANKS.format("usall0"))
+_people = "(SELECT user_key, employee_name, role_id, last_seen, last_seen < (SELECT max(last_seen) FROM people) AS gone FROM people)"
+_rank_cols = (f"{b('n', 'total_alerts')}, {b('n_esc', 'escalated_alerts')}, {r('me', 'max_ensemble')}, {_SEV.format('greatest(s1, s2)')} AS severity_bucket, "
+              f"{r('greatest(me, mf)', 'priority_score')}, {r('CASE WHEN mf > 0 THEN mf END', 'max_forecast')}")
+oracle("user_ranking", f"""
+SELECT user_key, {_rank_cols}, coalesce(employee_name, user_key) AS name, coalesce(role_id, '') AS user_role, coalesce(gone, FALSE) AS is_terminated,
+  CASE WHEN gone THEN last_seen END AS termination_day FROM us LEFT JOIN {_people} USING (user_key)""")
+oracle("watchlist", f"SELECT user_key, {_rank_cols} FROM us WHERE mf >= 0.75")
+oracle("top_risk", f"SELECT user_key, {_rank_cols} FROM usall ORDER BY greatest(s1, s2) DESC, greatest(me, mf) DESC, user_key LIMIT 10")
+_capped = "CASE WHEN s2 > s1 THEN CASE WHEN me < 0.3 AND s2 = 3 THEN 1 ELSE s2 END ELSE s1 END"
+oracle("risk_meta", f"""
+SELECT user_key, {r('me', 'max_ensemble')}, ffd AS first_forecast_day, fed AS first_escalation_day, {b('hd', 'days_high_or_above')}, last_sev AS last_severity,
+  esc AS ever_escalated, {_SEV.format(_capped)} AS severity_bucket, {r('greatest(me, mf)', 'priority_score')}, {r('CASE WHEN mf > 0 THEN mf END', 'max_forecast')},
+  CASE WHEN gone THEN last_seen END AS termination_day FROM us LEFT JOIN {_people} USING (user_key)""")
+cte("nt", """
+SELECT user_key, max(day) AS ld, first(severity ORDER BY day DESC, dr DESC) AS ls, count(DISTINCT day) FILTER (sr >= 2) AS hd, max(ens) AS me, bool_or(escalated) AS esc,
+  bool_or(hit <> '') AS hr, coalesce(bool_or(forecast_score >= 0.75), FALSE) AS hf, bool_or(anomaly_score IS NOT NULL) AS han,
+  min(day) FILTER (hit = 's1_near_miss') AS near, min(day) FILTER (hit = 's1_chain') AS chain, min(day) FILTER (hit = 's1_chain_post_departure') AS post,
+  min(day) FILTER (forecast_score >= 0.6) AS spike, first(forecast_score ORDER BY day, dr) FILTER (forecast_score >= 0.6) AS spike_score FROM cn GROUP BY user_key""")
+oracle("analyst_notes", """
+SELECT user_key, spike AS day, 'forecast_spike' AS kind, printf('Forecast model first predicted elevated exfil risk (%.2f%% likelihood).', spike_score * 100) AS message FROM nt WHERE spike IS NOT NULL
+UNION ALL SELECT user_key, near, 'near_miss', 'Possible preparation for data theft after-hours activity and USB use increased but no data-leak site access yet.' FROM nt WHERE near IS NOT NULL
+UNION ALL SELECT user_key, chain, 'full_chain', 'Pre-departure data theft detected.' FROM nt WHERE chain IS NOT NULL
+UNION ALL SELECT user_key, post, 'post_departure_chain', 'Post-departure data theft detected.' FROM nt WHERE post IS NOT NULL
+UNION ALL SELECT DISTINCT user_key, day, 'rule_' || kind, message FROM tl
+UNION ALL SELECT user_key, ld, 'summary', printf('Last Rule-based alert on %s (%s).', CAST(ld AS VARCHAR), ls) || ' '
+  || CASE WHEN hd > 0 THEN printf('%d day(s) with high/critical alerts; max ensemble %.2f.', hd, me) ELSE printf('Max ensemble %.2f so far.', me) END
+  || CASE WHEN esc THEN ' Has at least one escalated alert.' ELSE '' END
+  || CASE WHEN hr OR hf OR han THEN ' Signals: ' || concat_ws(', ', CASE WHEN hr THEN 'rule chain activity' END, CASE WHEN hf THEN 'elevated forecast scores' END,
+     CASE WHEN han THEN 'anomalous behavior' END) || '.' ELSE '' END FROM nt""")
+cte("vis", "SELECT * FROM cn WHERE day <= DATE '2024-01-28'")
+cte("rd", "SELECT DISTINCT day FROM vis ORDER BY day DESC LIMIT 7")
+_pulse = ", ".join([b("count(vis.user_key)", "count"), b("count(*) FILTER (escalated)", "escalated_count"), b("count(*) FILTER (hit <> '')", "rule_count"),
+                    b("count(*) FILTER (ml_score > 0.5)", "ml_count"), b("count(*) FILTER (anomaly_score > 0.5)", "anomaly_count")])
+oracle("heartbeat_global", f"SELECT day, {_pulse} FROM vis JOIN rd USING (day) GROUP BY day")
+oracle("heartbeat_user", f"""
+SELECT rd.day, {_pulse}, {r('coalesce(max(forecast_score), 0.0)', 'forecast_max')} FROM rd LEFT JOIN vis ON vis.day = rd.day AND vis.user_key = 'u3' GROUP BY rd.day""")
+oracle("heartbeat_watchlist", f"""
+SELECT rd.day, {b('count(v.user_key)', 'count')}, {b('count(*) FILTER (escalated)', 'escalated_count')},
+  {b('count(DISTINCT v.user_key) FILTER (forecast_score >= 0.75)', 'forecast_hit_count')}
+FROM rd LEFT JOIN (SELECT * FROM vis WHERE user_key IN (SELECT user_key FROM vis WHERE forecast_score >= 0.75)) v ON v.day = rd.day GROUP BY rd.day""")
+oracle("detector_day_pivot", f"""
+SELECT day, {b("count(*) FILTER (detector = 'rules')", 'rules')}, {b("count(*) FILTER (detector = 'anomaly')", 'anomaly')}, {b("count(*) FILTER (detector = 'ml')", 'ml')}
+FROM al WHERE detector <> 'forecast' AND day IN (SELECT DISTINCT day FROM al WHERE detector <> 'forecast' ORDER BY day DESC LIMIT 60) GROUP BY day""")
+oracle("recent_alerts", f"""
+SELECT user_key, day, detector, {r('al.score', 'score')} FROM al WHERE detector <> 'forecast' ORDER BY day DESC, user_key DESC, dr DESC LIMIT 200""")
+
+# Watch windows: from each possible start follow to the next one; a resolved window stays.
+cte("hits", "SELECT user_key, day, max(forecast_score) AS fs, min(dr) AS dr FROM cn WHERE forecast_score >= 0.75 GROUP BY user_key, day")
+cte("wst", """
+SELECT h.user_key, h.day AS start_day, h.day + 7 AS expiry_day,
+  (SELECT min(x.day) FROM cn x WHERE x.user_key = h.user_key AND x.escalated AND (x.day > h.day AND x.day <= h.day + 7 OR x.day = h.day AND x.dr >= h.dr)) AS escalation_day,
+  (SELECT min(n.day) FROM hits n WHERE n.user_key = h.user_key AND n.day > h.day + 7) AS next_start FROM hits h""")
+_REC = """
+ww AS (SELECT w.* FROM wst w JOIN (SELECT user_key, min(day) AS start_day FROM hits GROUP BY user_key) USING (user_key, start_day)
+  UNION ALL SELECT n.* FROM ww JOIN wst n ON n.user_key = ww.user_key AND n.start_day = ww.next_start WHERE ww.escalation_day IS NULL),
+wf AS (SELECT ww.user_key, start_day, expiry_day, escalation_day, escalation_day IS NOT NULL AS resolved, escalation_day - start_day AS lead,
+  (SELECT max(fs) FROM hits h WHERE h.user_key = ww.user_key AND h.day >= ww.start_day AND (ww.escalation_day IS NOT NULL OR h.day <= ww.expiry_day)) AS max_score FROM ww)"""
+oracle("watch_windows", f"""
+SELECT user_key, start_day, expiry_day, {r('max_score')}, resolved, escalation_day, {b('lead', 'lead_time_days')} FROM wf""", _REC)
+oracle("forecast_summary", f"""
+SELECT {b('(SELECT count(DISTINCT user_key) FROM wf)', 'total_forecasted_users')}, {b('(SELECT count(*) FROM ld)', 'correct_forecasts')},
+  {b('coalesce((SELECT max(lead) FROM ld), 0)', 'best_lead_time_days')}, (SELECT user_key FROM ld ORDER BY lead DESC, user_key LIMIT 1) AS best_lead_time_user,
+  (SELECT start_day FROM ld ORDER BY lead DESC, user_key LIMIT 1) AS best_lead_time_first_forecast,
+  (SELECT escalation_day FROM ld ORDER BY lead DESC, user_key LIMIT 1) AS best_lead_time_escalation,
+  {r('coalesce((SELECT median(lead) FROM ld), 0)', 'median_lead_time_days')},
+  {b('coalesce((SELECT max(lead) FROM ew), 0)', 'best_early_warning_lead_days')}, (SELECT user_key FROM ew ORDER BY lead DESC, user_key LIMIT 1) AS best_early_warning_user,
+  (SELECT fd FROM ew ORDER BY lead DESC, user_key LIMIT 1) AS best_early_warning_first_forecast,
+  (SELECT ed FROM ew ORDER BY lead DESC, user_key LIMIT 1) AS best_early_warning_escalation,
+  {r('coalesce((SELECT median(lead) FROM ew), 0)', 'median_early_warning_lead_days')}""", _REC + """,
+ld AS (SELECT user_key, lead, start_day, escalation_day FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY lead DESC, start_day) AS rn FROM wf WHERE resolved) WHERE rn = 1),
+ew AS (SELECT user_key, fd, ed, ed - fd AS lead FROM (SELECT user_key, min(day) FILTER (forecast_score >= 0.75) AS fd, min(day) FILTER (escalated) AS ed FROM cn GROUP BY user_key) WHERE fd <= ed)""")
+
+# --- evaluation ---------------------------------------------------------------------------
+
+cte("tr", "SELECT user_key, day FROM lb WHERE is_exfil_day")
+oracle("severity_breakdown", f"SELECT severity, {b('count(*)', 'n')}, {r('count(*) * 100.0 / (SELECT count(*) FROM cn)', 'pct')} FROM cn GROUP BY severity")
+oracle("confusion_by_severity", f"""
+SELECT label, {b('alerts')}, {b('tp')}, {b('fp')}, {b('fn')}, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 'precision')}, {r('coalesce(tp / nullif(tp + fn, 0), 0)', 'recall')},
+  {r('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')}, {r('fp / nullif(tp, 0)', 'fp_per_tp')}
+FROM (SELECT label, (SELECT count(*) FROM cn WHERE sr >= m) AS alerts,
+  (SELECT count(*) FROM (SELECT DISTINCT user_key, day FROM cn WHERE sr >= m INTERSECT SELECT user_key, day FROM tr)) AS tp,
+  (SELECT count(*) FROM (SELECT DISTINCT user_key, day FROM cn WHERE sr >= m EXCEPT SELECT user_key, day FROM tr)) AS fp,
+  (SELECT count(*) FROM (SELECT user_key, day FROM tr EXCEPT SELECT user_key, day FROM cn WHERE sr >= m)) AS fn
+  FROM (VALUES ('ALL', 0), ('critical', 3), ('critical+high', 2), ('critical+high+medium', 1)) v(label, m))""")
+oracle("user_day_sets", f"""
+SELECT {b('(SELECT count(*) FROM (SELECT user_key, day FROM cn INTERSECT SELECT user_key, day FROM tr))', 'both')},
+  {b('(SELECT count(*) FROM (SELECT user_key, day FROM cn EXCEPT SELECT user_key, day FROM tr))', 'alert_only')},
+  {b('(SELECT count(*) FROM (SELECT user_key, day FROM tr EXCEPT SELECT user_key, day FROM cn))', 'truth_only')}""")
+oracle("user_depth", f"""
+SELECT user_key, {b('t', 'total_days')}, {b('d', 'detected_days')}, {b('n', 'alerts')}, {r('d / t', 'rate')},
+  CASE WHEN d = t THEN 'perfect' WHEN d / t >= 0.8 THEN 'high' WHEN d / t >= 0.5 THEN 'partial' ELSE 'low' END AS depth
+FROM (SELECT user_key, count(*) AS t, count(*) FILTER ((user_key, day) IN (SELECT (user_key, day) FROM cn)) AS d FROM tr GROUP BY user_key)
+JOIN (SELECT user_key, count(*) AS n FROM cn GROUP BY user_key) USING (user_key)""")
+oracle("monthly_counts", f"""
+SELECT CAST(month AS DATE) AS month, {b('coalesce(m, 0)', 'malicious')}, {b('coalesce(n, 0)', 'alerts')}
+FROM (SELECT date_trunc('month', day) AS month, count(*) AS m FROM tr GROUP BY 1) FULL JOIN (SELECT date_trunc('month', day) AS month, count(*) AS n FROM cn GROUP BY 1) USING (month)""")
+cte("an", "SELECT * FROM al WHERE detector = 'anomaly'")
+oracle("score_boost_stats", f"""
+SELECT {b('count(*)', 'n')}, {r('avg(e_raw)', 'raw_mean')}, {r('min(e_raw)', 'raw_min')}, {r('max(e_raw)', 'raw_max')}, {r('avg(e_boosted)', 'boosted_mean')},
+  {r('avg(e_boost)', 'boost_mean')}, {b('count(*) FILTER (e_boost > 0)', 'n_boosted')}, {r('median(e_raw)', 'raw_median')}, {r('median(e_boosted)', 'boosted_median')},
+  {r('count(*) FILTER (e_boost > 0) * 100.0 / count(*)', 'pct_boosted')} FROM an""")
+oracle("pattern_coverage", " UNION ALL ".join(
+    f"SELECT '{p}' AS pattern, {b(f'count(*) FILTER ({c} > 0)', 'n')}, {r(f'count(*) FILTER ({c} > 0) * 100.0 / count(*)', 'pct')} FROM al"
+    for p, c in (("wikileaks_days_N", "wl"), ("usb_novel_7d", "usb_nov"), ("usb_total_7d", "usb_total"))))
+oracle("z_coverage", f"""
+SELECT {b('count(*)', 'n')}, {b('count(*) FILTER (e_zp IS NOT NULL OR e_zr IS NOT NULL OR e_zm IS NOT NULL)', 'n_with_z')}, {b('count(*) FILTER (e_boost <> 0)', 'n_boosted')} FROM an""")
+cte("sd", "SELECT toxic AS label, round(n_chars / (SELECT max(n_chars) FROM documents), 6) AS score FROM labels JOIN documents USING (doc_id)")
+cte("cu0", "SELECT score AS threshold, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM sd GROUP BY score")
+cte("cu", """
+SELECT *, sum(pos) OVER (ORDER BY threshold DESC) AS tp, sum(neg) OVER (ORDER BY threshold DESC) AS fp, (SELECT sum(pos) FROM cu0) AS np FROM cu0""")
+cte("cu2", "SELECT *, tp / (tp + fp) AS prec, tp / np AS rec FROM cu")
+oracle("score_curve", f"SELECT {r('cu2.threshold', 'threshold')}, {b('pos')}, {b('neg')}, {b('tp')}, {b('fp')}, {r('prec', 'precision')}, {r('rec', 'recall')} FROM cu2")
+oracle("roc_auc", f"""
+SELECT {r('avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END)', 'roc_auc')}
+FROM (SELECT score FROM sd WHERE label = 1) p, (SELECT score FROM sd WHERE label = 0) n""")
+oracle("average_precision", f"SELECT {r('sum(pos / np * prec)', 'average_precision')} FROM cu2")
+oracle("precision_at_recall", f"""
+SELECT {r('t.target', 'target')}, {r('max(prec)', 'precision')}, {r('first(threshold ORDER BY prec DESC, threshold DESC)', 'threshold')},
+  {r('(SELECT prec FROM cu2 ORDER BY threshold LIMIT 1)', 'full_precision')} FROM (VALUES (0.1), (0.2), (0.5), (0.8), (0.9)) t(target) JOIN cu2 ON rec >= t.target GROUP BY t.target""")
+oracle("percentile_volume", f"""
+SELECT {r('pct')}, {r('c', 'threshold')}, {b('a', 'alerts')}, {b('tp')}, {r('coalesce(tp / nullif(a, 0), 0)', 'precision')}, {r('coalesce(tp / nullif(np, 0), 0)', 'recall')}
+FROM (SELECT pct, c, count(*) FILTER (score >= c) AS a, count(*) FILTER (score >= c AND label = 1) AS tp, count(*) FILTER (label = 1) AS np FROM sd,
+  (SELECT 90.0 AS pct, quantile_cont(score, 0.9) AS c FROM sd UNION ALL SELECT 95.0, quantile_cont(score, 0.95) FROM sd
+   UNION ALL SELECT 99.0, quantile_cont(score, 0.99) FROM sd UNION ALL SELECT 99.5, quantile_cont(score, 0.995) FROM sd) GROUP BY pct, c)""")
+oracle("class_report", f"""
+SELECT {b('c', 'class')}, {r('coalesce(tp / nullif(tp + fp, 0), 0)', 'precision')}, {r('coalesce(tp / nullif(tp + fn, 0), 0)', 'recall')},
+  {r('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)', 'f1')}, {b('tp + fn', 'support')}
+FROM (SELECT c, count(*) FILTER (label = c AND pr = c) AS tp, count(*) FILTER (label <> c AND pr = c) AS fp, count(*) FILTER (label = c AND pr <> c) AS fn
+  FROM (SELECT label, (score >= 0.02)::INT AS pr FROM sd), (VALUES (0), (1)) v(c) GROUP BY c)""")
+cte("lt", """
+SELECT s.user_key, s.exfil_start, (SELECT min(end_day) FROM sc WHERE sc.user_key = s.user_key AND end_day <= s.exfil_start AND fc >= 0.6) AS first_flag
+FROM (SELECT user_key, min(exfil_start) AS exfil_start FROM rg WHERE user_key IN (SELECT user_key FROM sc) GROUP BY user_key) s""")
+oracle("lead_times", f"SELECT user_key, exfil_start, first_flag, {b('exfil_start - first_flag', 'lead_time_days')}, first_flag IS NOT NULL AS detected FROM lt")
+oracle("lead_time_stats", f"""
+SELECT {b('count(*)', 'n_users')}, {b('count(first_flag)', 'n_detected')}, {b('min(exfil_start - first_flag)', 'lead_min')}, {b('max(exfil_start - first_flag)', 'lead_max')},
+  {r('avg(exfil_start - first_flag)', 'lead_mean')}, {r('count(first_flag) / count(*)', 'detection_rate')}, {r('median(exfil_start - first_flag)', 'lead_median')} FROM lt""")
+
+# --- quality ------------------------------------------------------------------------------
+
+
+def _checks(table: str, source: str, columns: list[str]) -> list[str]:
+    rules = [("unique_key", "user_key+day", "count(*) - count(DISTINCT (user_key, day))"),
+             ("null_key", "user_key", "count(*) FILTER (user_key IS NULL OR user_key = '')"), ("null_key", "day", "count(*) FILTER (day IS NULL)")]
+    for c in columns:
+        if c.startswith("n_") or "_n_" in c:
+            rules.append(("nonnegative", c, f"count(*) FILTER ({c} < 0)"))
+        if c.endswith("_rate"):
+            rules.append(("rate_bounds", c, f"count(*) FILTER ({c} < 0 OR {c} > 1)"))
+            rules.append(("rate_null", c, f"count(*) FILTER ({c} IS NULL)"))
+        if c.endswith("is_active_employee_day"):
+            rules.append(("flag_01", c, f"count(*) FILTER ({c} NOT IN (0, 1))"))
+    return [f"""SELECT '{k}' AS "check", '{table}' AS "table", '{c}' AS "column", {b(x, 'bad')}, {b('count(*)', 'total')} FROM {source}""" for k, c, x in rules]
+
+
+oracle("quality_report", " UNION ALL ".join(
+    _checks("daily_user", "wide", [f"{d}_{c}" for d, cols in _DAILY.items() for c in cols.split()])
+    + _checks("email_daily", "d_email", _DAILY["email"].split())))
+oracle("quality_profile", f"SELECT {b('count(*)', 'rows')}, {b('count(DISTINCT user_key)', 'users')}, min(day) AS min_day, max(day) AS max_day FROM wide")
+_OC = "o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice"
+_OT = "o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string,o_totalprice:double"
+_SIG = "CAST(sum(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT)) AS VARCHAR)"
+cte("trial", "SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'")
+oracle("dataset_diff", f"""
+SELECT "check", base, trial, base = trial AS equal FROM (
+  SELECT 'rows' AS "check", (SELECT CAST(count(*) AS VARCHAR) FROM orders) AS base, (SELECT CAST(count(*) AS VARCHAR) FROM trial) AS trial
+  UNION ALL SELECT 'columns', '{_OC}', '{_OC}' UNION ALL SELECT 'types', '{_OT}', '{_OT}'
+  UNION ALL SELECT 'key_signature', (SELECT {_SIG} FROM orders), (SELECT {_SIG} FROM trial))""")
+
+# --- streams ------------------------------------------------------------------------------
+
+cte("wm", "SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events")
+oracle("stream_daily", f"""
+SELECT user_key, day, {b("count(*) FILTER (domain = 'logon')", 'n_logon')}, {b("count(*) FILTER (domain = 'device')", 'n_device_events')},
+  {b("count(*) FILTER (domain = 'file')", 'n_file_events')}, {b("count(*) FILTER (domain = 'http')", 'n_http')}, {b("count(*) FILTER (domain = 'email')", 'n_email_sent')},
+  {b("count(DISTINCT pc) FILTER (domain = 'logon')", 'n_pc_used')}, {b("count(*) FILTER (domain = 'device' AND event_id % 2 = 0)", 'n_usb_connects')},
+  {b("count(*) FILTER (domain = 'http' AND wiki)", 'n_wikileaks')}, {b('count(*) FILTER (ah)', 'n_after_hours')}, {b('count(*)', 'n_events')}
+FROM ev, wm WHERE day + 1 <= mark GROUP BY user_key, day""")
+oracle("stream_trend", f"""
+SELECT user_key, CAST(f AS DATE) AS first_day, CAST(f AS DATE) + 6 AS last_day, {b('count(*)', 'n_events')}, {b('count(*) FILTER (ah)', 'n_after_hours')},
+  {b("count(*) FILTER (domain = 'device' AND event_id % 2 = 0)", 'n_usb_connects')}
+FROM (SELECT *, unnest(generate_series((day - 6)::TIMESTAMP, day::TIMESTAMP, INTERVAL 1 DAY)) AS f FROM ev), wm WHERE f + INTERVAL 7 DAY <= mark GROUP BY user_key, f""")
+oracle("stream_enrich", f"""
+SELECT role_id AS role, domain, people.user_key IS NOT NULL AS joined_ldap, CASE WHEN first_seen IS NULL THEN 'not_in_ldap' WHEN event_month > last_seen THEN 'post_departure'
+  ELSE 'matched' END AS join_reason, {b('count(*)', 'n')} FROM ev LEFT JOIN people USING (user_key) GROUP BY ALL""")
+oracle("stream_rules", f"SELECT user_key, day, reason, {r('ra.score', 'score')} FROM ra")

@@ -338,7 +338,7 @@ def _mail(spark, sf):
         "conv_id",
         "turn",
         F.concat(F.col("role"), F.lit("@corp.example")).alias("from_key"),
-        F.when(F.col("turn") % 3 == 0, F.concat(to, F.lit(", nan;;"))).otherwise(to).alias("to"),
+        F.when(F.col("turn") % 3 == 0, F.concat(to, F.lit(",nan;;"))).otherwise(to).alias("to"),
     )
 
 
