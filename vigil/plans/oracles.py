@@ -779,3 +779,10 @@ oracle("stream_enrich", f"""
 SELECT role_id AS role, domain, people.user_key IS NOT NULL AS joined_ldap, CASE WHEN first_seen IS NULL THEN 'not_in_ldap' WHEN event_month > last_seen THEN 'post_departure'
   ELSE 'matched' END AS join_reason, {b('count(*)', 'n')} FROM ev LEFT JOIN people USING (user_key) GROUP BY ALL""")
 oracle("stream_rules", f"SELECT user_key, day, reason, {r('ra.score', 'score')} FROM ra")
+_REOPEN = """
+wo AS (SELECT w.* FROM wst w JOIN (SELECT user_key, min(day) AS start_day FROM hits GROUP BY user_key) USING (user_key, start_day)
+  UNION ALL SELECT n.* FROM wo JOIN wst n ON n.user_key = wo.user_key AND n.start_day = wo.next_start)"""
+oracle("stream_watch", f"""
+SELECT wo.user_key, start_day, expiry_day, {r('(SELECT max(fs) FROM hits h WHERE h.user_key = wo.user_key AND h.day BETWEEN start_day AND expiry_day)', 'max_score')},
+  escalation_day IS NOT NULL AS resolved, escalation_day, {b('escalation_day - start_day', 'lead_time_days')}
+FROM wo WHERE expiry_day + 1 <= (SELECT max(day) FROM cn WHERE escalated OR forecast_score >= 0.75)""", _REOPEN)
