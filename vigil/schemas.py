@@ -28,8 +28,8 @@ RAW_EVENTS = {
 RAW_INSIDERS = ("dataset", "scenario", "details", "user", "start", "end")
 
 
-def raw_events_schema(domain: str) -> T.StructType:
-    return _strings(*RAW_EVENTS[domain])
+def raw_events_schema(domain: str, columns: tuple[str, ...] | list[str] | None = None) -> T.StructType:
+    return _strings(*(columns or RAW_EVENTS[domain]))
 
 
 DIRECTORY_ATTRS = (

@@ -57,7 +57,8 @@ def read_events(spark: SparkSession, path: str, domain: str, by_name: bool = Tru
     if by_name:
         return _by_header(spark, path, RAW_EVENTS[domain])
     reader = spark.read.schema(raw_events_schema(domain)).option("header", True)
-    return reader.option("mode", "PERMISSIVE").option("escape", '"').csv(path)
+    reader = reader.option("mode", "PERMISSIVE").option("enforceSchema", False)
+    return reader.option("escape", '"').csv(path)
 
 
 def read_daily(

@@ -36,11 +36,17 @@ def stream_events(
     personal: Sequence[str] = (),
     job_sites: Sequence[str] = (),
     delay: str = WATERMARK,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Clean events of one domain from CSV files as they are dropped into `path`."""
+    """Clean events of one domain from CSV files as they are dropped into `path`.
+
+    `columns` names the files' layout where a release has other columns than the domain's
+    usual ones; a file whose header differs fails the stream instead of shifting columns.
+    """
     raw = (
-        spark.readStream.schema(raw_events_schema(domain))
+        spark.readStream.schema(raw_events_schema(domain, columns))
         .option("header", True)
+        .option("enforceSchema", False)
         .option("escape", '"')
         .csv(path)
     )

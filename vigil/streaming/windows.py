@@ -10,6 +10,13 @@ def _of(domain: str, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(F.col("domain") == domain, value)), F.lit(0))
 
 
+def _usb(events: DataFrame) -> Column:
+    """1 for a device connection, 0 otherwise and where the stream has no activities."""
+    if "activity" not in events.columns:
+        return F.lit(0)
+    return F.coalesce((F.lower("activity") == "connect").cast("bigint"), F.lit(0))
+
+
 def stream_daily(events: DataFrame) -> DataFrame:
     """User-days in append mode; rows older than the watermark are left out.
 
@@ -17,8 +24,10 @@ def stream_daily(events: DataFrame) -> DataFrame:
     and makes the number of distinct machines exact, then per user.
     """
     ah = F.col("after_hours").cast("bigint")
-    usb = F.coalesce((F.lower("activity") == "connect").cast("bigint"), F.lit(0))
-    leak = F.coalesce(F.col("is_wikileaks").cast("bigint"), F.lit(0))
+    usb = _usb(events)
+    leak = F.lit(0)
+    if "is_wikileaks" in events.columns:
+        leak = F.coalesce(F.col("is_wikileaks").cast("bigint"), F.lit(0))
     per_pc = events.groupBy(F.window("ts", "1 day"), "user_key", "domain", "pc").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(ah).alias("ah"),
@@ -45,7 +54,7 @@ def stream_daily(events: DataFrame) -> DataFrame:
 
 def stream_trend(events: DataFrame, days: int = 7) -> DataFrame:
     """Counts over the last `days` days, moving by one."""
-    usb = F.coalesce((F.lower("activity") == "connect").cast("bigint"), F.lit(0))
+    usb = _usb(events)
     out = events.groupBy(F.window("ts", f"{days} days", "1 day"), "user_key").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.sum(F.col("after_hours").cast("bigint")).alias("n_after_hours"),
