@@ -31,7 +31,9 @@ def test_recipients(spark):
 def test_direction_flags(spark):
     rows = [("u@corp.example", "x@mail.corp.example", None), ("u@corp.example", "x@out.example", None),
             ("z@out.example", "u@corp.example", "me@gmail.com"), ("z@out.example", "q@out.example", None)]
-    flags = text.direction_flags(F.col("f"), [F.col("t"), F.col("c")], ["corp.example"], ["gmail.com"])
+    flags = text.direction_flags(
+        F.col("f"), text.recipient_domains([F.col("t"), F.col("c")]), ["corp.example"], ["gmail.com"]
+    )
     df = spark.createDataFrame(rows, "f string, t string, c string").select(*[c.alias(n) for n, c in flags.items()])
     got = [r.asDict() for r in df.collect()]
     assert [g["dir_internal_only"] for g in got] == [True, False, False, False]

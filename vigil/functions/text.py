@@ -82,20 +82,20 @@ def attachment_count(c: Column) -> Column:
     return F.coalesce(c.cast("string").try_cast("double").try_cast("int"), F.lit(0))
 
 
+def recipient_domains(fields: Sequence[Column]) -> Column:
+    """Domains of all recipients in the given fields, one entry per recipient."""
+    return F.transform(F.flatten(F.array(*[recipients(c) for c in fields])), domain_of)
+
+
 def direction_flags(
-    sender: Column,
-    fields: Sequence[Column],
-    internal: Sequence[str],
-    personal: Sequence[str],
+    sender: Column, domains: Column, internal: Sequence[str], personal: Sequence[str]
 ) -> dict[str, Column]:
-    """The nine direction flags of one mail, from the sender's and the recipients' domains."""
-    to = F.transform(
-        F.flatten(F.array(*[recipients(c) for c in fields])), lambda a: F.trim(a)
-    )
+    """The nine direction flags of one mail, from the sender and the recipients' domains."""
     from_internal = is_internal(sender, internal)
-    any_internal = F.exists(to, lambda a: is_internal(a, internal))
-    any_external = F.exists(to, lambda a: ~is_internal(a, internal))
-    any_personal = F.exists(to, lambda a: domain_of(a).isin(*personal))
+    n_internal = F.size(F.filter(domains, lambda d: is_internal(d, internal)))
+    any_internal = n_internal > 0
+    any_external = F.size(domains) > n_internal
+    any_personal = F.arrays_overlap(domains, F.array(*[F.lit(p) for p in personal]).cast("array<string>"))
     inside_out = from_internal & any_external
     outside_in = ~from_internal & any_internal
     return {

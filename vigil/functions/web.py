@@ -35,8 +35,12 @@ def url_pattern() -> str:
     return r"(?i)(https?://\S+)"
 
 
-def in_hosts(url: Column, hosts: Iterable[str]) -> Column:
+def among(registrable_host: Column, hosts: Iterable[str]) -> Column:
     hosts = list(hosts)
     if not hosts:
         return F.lit(False)
-    return F.coalesce(registrable(host(url)).isin(*hosts), F.lit(False))
+    return F.coalesce(registrable_host.isin(*hosts), F.lit(False))
+
+
+def in_hosts(url: Column, hosts: Iterable[str]) -> Column:
+    return among(registrable(host(url)), hosts)

@@ -135,9 +135,8 @@ def clean_events(
             }
         )
     elif domain == "http":
-        df = df.withColumns(url_columns(F.col("url"), job_sites))
+        df = with_url_columns(df, job_sites)
     elif domain == "email":
-        fields = [F.col("to"), F.col("cc"), F.col("bcc")]
         df = df.withColumns(
             {
                 "from_key": text.norm_text(sender),
@@ -145,20 +144,26 @@ def clean_events(
                 "to_count": text.recipient_count(F.col("to")),
                 "cc_count": text.recipient_count(F.col("cc")),
                 "bcc_count": text.recipient_count(F.col("bcc")),
-                **text.direction_flags(sender, fields, internal, personal),
+                "__domains": text.recipient_domains([F.col("to"), F.col("cc"), F.col("bcc")]),
             }
         )
+        flags = text.direction_flags(sender, F.col("__domains"), internal, personal)
+        df = df.withColumns(flags).drop("__domains")
     return dedupe_events(df, "id", EVENT_TUPLES[domain]) if dedupe else df
 
 
-def url_columns(url: Column, job_sites: Sequence[str] = ()) -> dict[str, Column]:
-    return {
-        "url_length": web.url_length(url),
-        "url_depth": web.url_depth(url),
-        "is_wikileaks": web.in_hosts(url, web.LEAK_HOSTS),
-        "is_dropbox": web.in_hosts(url, web.DROPBOX_HOSTS),
-        "is_job_site": web.in_hosts(url, job_sites),
-    }
+def with_url_columns(df: DataFrame, job_sites: Sequence[str] = (), url: str = "url") -> DataFrame:
+    """URL measures and destination flags; the host is parsed once and then compared."""
+    parsed = df.withColumn("__host", web.registrable(web.host(F.col(url))))
+    return parsed.withColumns(
+        {
+            "url_length": web.url_length(F.col(url)),
+            "url_depth": web.url_depth(F.col(url)),
+            "is_wikileaks": web.among(F.col("__host"), web.LEAK_HOSTS),
+            "is_dropbox": web.among(F.col("__host"), web.DROPBOX_HOSTS),
+            "is_job_site": web.among(F.col("__host"), job_sites),
+        }
+    ).drop("__host")
 
 
 def flag_listed_hosts(events: DataFrame, hosts: DataFrame, flag: str, url: str = "url") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import text, times
-from vigil.operators.enrich import url_columns
+from vigil.operators.enrich import with_url_columns
 
 # Which event type plays which domain, and what we call inside and personal.
 DOMAIN_OF_TYPE = {
@@ -95,12 +95,12 @@ def activity(spark: SparkSession, sf_dir: str, domain: str | None = None) -> Dat
 
 
 def with_flags(df: DataFrame) -> DataFrame:
-    k, file = F.col("k"), F.col("domain") == "file"
-    flags = text.direction_flags(
-        F.col("from"), [F.col("to"), F.col("cc")], INTERNAL_DOMAINS, PERSONAL_DOMAINS
+    k, file, mail = F.col("k"), F.col("domain") == "file", F.col("domain") == "email"
+    addressed = df.withColumn(
+        "__domains", F.when(mail, text.recipient_domains([F.col("to"), F.col("cc")]))
     )
-    mail = F.col("domain") == "email"
-    return df.withColumns(
+    flags = text.direction_flags(F.col("from"), F.col("__domains"), INTERNAL_DOMAINS, PERSONAL_DOMAINS)
+    flagged = addressed.withColumns(
         {
             "day": times.day(F.col("timestamp")),
             "event_month": times.month_start(F.col("timestamp")),
@@ -109,10 +109,10 @@ def with_flags(df: DataFrame) -> DataFrame:
             "from_removable_media": file & (k % 5 == 0),
             "is_keylogger": file & (k == 7),
             "attachment_count": text.attachment_count(F.col("attachments")),
-            **url_columns(F.col("url"), JOB_HOSTS),
-            **{n: mail & F.coalesce(c, F.lit(False)) for n, c in flags.items()},
+            **{n: F.when(mail, c).otherwise(False) for n, c in flags.items()},
         }
     )
+    return with_url_columns(flagged.drop("__domains"), JOB_HOSTS)
 
 
 @remember_plan

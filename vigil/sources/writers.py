@@ -62,6 +62,9 @@ def _put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_alerts(alerts: DataFrame, path: str, overwrite: bool = True) -> None:
-    """JSON lines, a folder per day."""
-    out = alerts.withColumn("alert_day", F.col("day"))
+    """JSON lines, a folder per day.
+
+    Ranges over day and user give each day few files and cut a day with very many alerts.
+    """
+    out = alerts.withColumn("alert_day", F.col("day")).repartitionByRange("alert_day", "user_key")
     out.write.mode("overwrite" if overwrite else "append").partitionBy("alert_day").json(path)
