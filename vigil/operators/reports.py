@@ -371,8 +371,11 @@ def forecast_summary(
     )
     leads = users.where(F.col("best").isNotNull()).select("user_key", "best.*")
 
-    best = leads.orderBy(F.col("lead").desc(), "user_key").limit(1)
-    best_early = early.orderBy(F.col("lead").desc(), "user_key").limit(1)
+    def longest(df: DataFrame, *fields: str) -> Column:
+        """The row with the longest lead, as one struct value."""
+        first = df.orderBy(F.col("lead").desc(), "user_key").limit(1)
+        return first.select(F.struct("lead", "user_key", *fields)).scalar()
+
     median = exact_quantiles(leads, "lead", [0.5], ["m"]).scalar()
     median_early = exact_quantiles(early, "lead", [0.5], ["m"]).scalar()
     zero = F.lit(0).cast("bigint")
@@ -380,17 +383,23 @@ def forecast_summary(
         F.count(F.lit(1)).alias("total_forecasted_users"),
         F.count("best").alias("correct_forecasts"),
     )
-    return out.withColumns(
+    packed = out.withColumns(
         {
-            "best_lead_time_days": F.coalesce(best.select("lead").scalar(), zero),
-            "best_lead_time_user": best.select("user_key").scalar(),
-            "best_lead_time_first_forecast": best.select("start_day").scalar(),
-            "best_lead_time_escalation": best.select("escalation_day").scalar(),
+            "b": longest(leads, "start_day", "escalation_day"),
+            "e": longest(early, "forecast", "escalation"),
             "median_lead_time_days": F.coalesce(median, F.lit(0.0)),
-            "best_early_warning_lead_days": F.coalesce(best_early.select("lead").scalar(), zero),
-            "best_early_warning_user": best_early.select("user_key").scalar(),
-            "best_early_warning_first_forecast": best_early.select("forecast").scalar(),
-            "best_early_warning_escalation": best_early.select("escalation").scalar(),
             "median_early_warning_lead_days": F.coalesce(median_early, F.lit(0.0)),
         }
     )
+    return packed.withColumns(
+        {
+            "best_lead_time_days": F.coalesce("b.lead", zero),
+            "best_lead_time_user": F.col("b.user_key"),
+            "best_lead_time_first_forecast": F.col("b.start_day"),
+            "best_lead_time_escalation": F.col("b.escalation_day"),
+            "best_early_warning_lead_days": F.coalesce("e.lead", zero),
+            "best_early_warning_user": F.col("e.user_key"),
+            "best_early_warning_first_forecast": F.col("e.forecast"),
+            "best_early_warning_escalation": F.col("e.escalation"),
+        }
+    ).drop("b", "e")

@@ -14,9 +14,16 @@ from vigil.schemas import (
     LEAK,
     POST_DEPARTURE_COLUMNS,
     RATE_COLUMNS,
+    ROLLING_COLUMNS,
     USB,
 )
 
+# Everything the rules read of a user-day.
+INPUTS = (
+    "user_key", "day", *COUNT_COLUMNS.values(), *RATE_COLUMNS.values(), "email_n_after_hours",
+    USB, LEAK, *POST_DEPARTURE_COLUMNS.values(), *ROLLING_COLUMNS,
+)
+
 CHAIN_POST = "s1_chain_post_departure"
 CHAIN = "s1_chain"
 NEAR_MISS = "s1_near_miss"

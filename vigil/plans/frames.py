@@ -75,6 +75,12 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.add_rolling(base, baseline_days=BASELINE_DAYS)
 
 
+def detector_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns rules and stand-in scores read, staged; what else the wide table has is
+    pruned from the whole plan down to the events."""
+    return staged(features(spark, sf).select(*rules.INPUTS), "features")
+
+
 @remember_plan
 def keys(spark: SparkSession, sf: str) -> DataFrame:
     """Just the active user-days."""
@@ -150,7 +156,7 @@ def score_alerts(z: DataFrame) -> DataFrame:
 
 def raw_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts of all four detectors: rules on the features, the others on the stand-in scores."""
-    feats = staged(features(spark, sf), "features")
+    feats = detector_features(spark, sf)
     z = staged(zscores(spark, sf, feats), "zscores")
     fired = rules.rule_alerts(feats, RULES)
     return alert_ops.all_alerts(fired, anomaly.anomaly_alerts(z), score_alerts(z))

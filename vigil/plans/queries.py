@@ -75,7 +75,7 @@ for _domain in DOMAINS:
 @query
 def daily_user_wide(spark, sf):
     """Wide table by key union and left joins over the five daily tables."""
-    counts = frames.counts(spark, sf)
+    counts = frames.staged(frames.counts(spark, sf), "counts")
     return daily.daily_user({d: daily.domain_daily(counts, d) for d in DOMAINS})
 
 
@@ -142,9 +142,10 @@ def window14_calendar(spark, sf):
 @query
 def alert_windows(spark, sf):
     """The calendar rows behind the twenty highest windows."""
-    top = scores.top_windows(frames.window_scores(spark, sf), 20)
-    feats = frames.features(spark, sf).select("user_key", "day", "ah_rate_1d", "usb_count_1d")
-    return rolling.calendar_window(feats, top.select("user_key", "end_day"))
+    feats = frames.detector_features(spark, sf)
+    top = scores.top_windows(frames.window_scores(spark, sf, feats), 20)
+    rows = feats.select("user_key", "day", "ah_rate_1d", "usb_count_1d")
+    return rolling.calendar_window(rows, top.select("user_key", "end_day"))
 
 
 # --- rules -------------------------------------------------------------------------------
@@ -540,12 +541,14 @@ def top_outliers(spark, sf):
 
 @query
 def high_low_deciles(spark, sf):
-    return scores.decile_profile(frames.window_scores(spark, sf), frames.features(spark, sf))
+    feats = frames.detector_features(spark, sf)
+    return scores.decile_profile(frames.window_scores(spark, sf, feats), feats)
 
 
 @query
 def decile_differences(spark, sf):
-    profile = scores.decile_profile(frames.window_scores(spark, sf), frames.features(spark, sf))
+    feats = frames.detector_features(spark, sf)
+    profile = scores.decile_profile(frames.window_scores(spark, sf, feats), feats)
     return scores.profile_difference(profile)
 
 
@@ -566,7 +569,8 @@ def insider_score_stats(spark, sf):
 
 @query
 def window_indicators(spark, sf):
-    return scores.window_indicators(frames.window_scores(spark, sf), frames.features(spark, sf), 20)
+    feats = frames.detector_features(spark, sf)
+    return scores.window_indicators(frames.window_scores(spark, sf, feats), feats, 20)
 
 
 # --- alerts and reports --------------------------------------------------------------------
@@ -679,7 +683,7 @@ def watch_windows(spark, sf):
 @query
 def forecast_summary(spark, sf):
     alerts = frames.canonical(spark, sf)
-    return reports.forecast_summary(watch.watch_windows(alerts), alerts)
+    return reports.forecast_summary(frames.staged(watch.watch_windows(alerts), "watches"), alerts)
 
 
 # --- evaluation ----------------------------------------------------------------------------

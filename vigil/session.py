@@ -23,6 +23,7 @@ def local_session(name: str = "vigil", cpus: str | int = 8, memory: str = "16g")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
