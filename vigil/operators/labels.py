@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.operators.ordering import running_totals
 from vigil.operators.rolling import by_user, number_history
 
 SCENARIO = "SCENARIO_1"
@@ -99,6 +100,21 @@ def user_split(
     return daily.select("user_key").distinct().withColumn("split", split)
 
 
+def user_split_exact(
+    daily: DataFrame, seed: int = 42, parts: tuple[float, float, float] = (0.70, 0.15, 0.15)
+) -> DataFrame:
+    """As `user_split`, but with exactly int(n * share) users: by rank of the hash."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col("user_key")))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    users = daily.select("user_key").distinct().withColumn("place", place)
+    ranks = running_totals(users, "place", {"n": F.count(F.lit(1))}).select("place", "cum_n")
+    n = users.agg(F.count(F.lit(1))).scalar()
+    train, val = F.floor(n * F.lit(parts[0])), F.floor(n * F.lit(parts[0] + parts[1]))
+    rank = F.col("cum_n")
+    split = F.when(rank <= train, "train").when(rank <= val, "val").otherwise("test")
+    return users.join(ranks, "place").select("user_key", split.alias("split"))
+
+
 def attach_split(days: DataFrame, splits: DataFrame) -> DataFrame:
     return days.join(splits.select("user_key", "split").distinct(), "user_key")
 

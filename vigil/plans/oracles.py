@@ -435,6 +435,10 @@ cte("sp", """
 SELECT user_key, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split FROM (
   SELECT user_key, CAST('0x' || substr(md5('42|' || user_key), 1, 8) AS BIGINT) % 100 AS h FROM (SELECT DISTINCT user_key FROM ky))""")
 oracle("user_split", "SELECT user_key, split FROM sp")
+oracle("user_split_exact", """
+SELECT user_key, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.85) THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT user_key, row_number() OVER (ORDER BY CAST('0x' || substr(md5('42|' || user_key), 1, 15) AS BIGINT)) AS rn, count(*) OVER () AS n
+  FROM (SELECT DISTINCT user_key FROM ky))""")
 cte("fw", """
 SELECT user_key, day AS end_day, lab, split FROM (
   SELECT lf.*, split, row_number() OVER (PARTITION BY lf.user_key ORDER BY day) AS rn FROM lf JOIN sp USING (user_key) WHERE lab IS NOT NULL) WHERE rn >= 14""")

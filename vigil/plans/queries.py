@@ -470,6 +470,11 @@ def user_split(spark, sf):
     return labels.user_split(frames.keys(spark, sf))
 
 
+@query
+def user_split_exact(spark, sf):
+    return labels.user_split_exact(frames.keys(spark, sf))
+
+
 def _forecast_windows(spark, sf):
     days = frames.keys(spark, sf)
     labelled = labels.forecast_labels(days, frames.ranges(spark, sf))

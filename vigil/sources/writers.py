@@ -35,11 +35,17 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], overwrite: bool
 def write_profiles(
     df: DataFrame, domain: str, base: str, overwrite: bool = False
 ) -> dict[str, str]:
-    """The audit and the model table of a domain."""
-    paths = {}
-    for profile in ("full", "lean"):
-        paths[profile] = f"{base}/{domain}_{profile}"
-        write_table(project(df, domain, profile), paths[profile], overwrite)
+    """The audit and the model table of a domain.
+
+    The lean table is read off the full one where that has all its columns, so cleaning and
+    joins run once.
+    """
+    paths = {profile: f"{base}/{domain}_{profile}" for profile in ("full", "lean")}
+    write_table(project(df, domain, "full"), paths["full"], overwrite)
+    full = df.sparkSession.read.parquet(paths["full"])
+    wanted = project(df, domain, "lean").columns
+    source = full if set(wanted) <= set(full.columns) else df
+    write_table(source.select(*wanted), paths["lean"], overwrite)
     return paths
 
 
