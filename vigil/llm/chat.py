@@ -57,7 +57,7 @@ def format_threads(mails: DataFrame, reply: str = "assistant") -> DataFrame:
     places = F.sequence(F.lit(1), F.size("turns"))
     ends = F.filter(places, lambda i: F.element_at("turns", i)["replied"])
     threads = threads.withColumn("ends", ends).withColumn(
-        "final", F.coalesce(F.try_element_at("ends", F.size("ends")), F.lit(0))
+        "final", F.coalesce(F.array_max("ends"), F.lit(0))
     )
     # An example ends at a reply; the rest, if any, is what begins behind the last one.
     cuts = F.concat(
