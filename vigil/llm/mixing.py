@@ -60,20 +60,17 @@ def domain_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
         "mix-weights",
     )
     levels = running_totals(weighed, "brim", {"cap": F.sum(cap), "weight": F.sum("weight")})
-    all_of = weighed.agg(F.sum("domain_words").alias("words"), F.sum("weight").alias("weight"))
-    poured = F.col("cum_cap") + F.col("brim") * (F.col("t.weight") - F.col("cum_weight"))
-    full = poured <= F.col("t.words")
-    level = levels.crossJoin(all_of.alias("t")).agg(  # one row beside each level
-        F.max("t.words").alias("words"), F.max("t.weight").alias("weight"),
-        F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("held"),
-        F.coalesce(F.sum(F.when(full, levels["weight"])), F.lit(0)).alias("done"),
-        F.max(F.when(full, F.col("brim"))).alias("brim_to"),
-    )
-    rate = F.try_divide((F.col("words") - F.col("held")).cast("double"), (F.col("l.weight") - F.col("done")).cast("double"))
-    share = level.alias("l").select(rate.alias("rate"), F.coalesce("brim_to", F.lit(-1.0)).alias("brim_to"))
-    capped = F.col("brim") <= F.col("brim_to")
-    target = F.when(capped, cap.cast("double")).otherwise(F.col("weight") * F.coalesce("rate", F.lit(0.0)))
-    return weighed.crossJoin(share).select("domain", "domain_words", target.alias("target"))  # one row
+    total = weighed.agg(F.sum("domain_words").alias("words"), F.sum("weight").alias("weight")).first()
+    words, weights_all = total["words"] or 0, total["weight"] or 0
+    full = F.col("cum_cap") + F.col("brim") * (F.lit(weights_all) - F.col("cum_weight")) <= words
+    level = levels.where(full).agg(
+        F.sum("cap").alias("held"), F.sum("weight").alias("done"), F.max("brim").alias("brim")
+    ).first()
+    left, open_weight = words - (level["held"] or 0), weights_all - (level["done"] or 0)
+    rate = float(left) / float(open_weight) if open_weight else 0.0
+    capped = F.col("brim") <= F.lit(-1.0 if level["brim"] is None else level["brim"])
+    target = F.when(capped, cap.cast("double")).otherwise(F.col("weight") * F.lit(rate))
+    return weighed.select("domain", "domain_words", target.alias("target"))
 
 
 def chance(seed: str, key: Column) -> Column:

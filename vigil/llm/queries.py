@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.llm import chat, mixing, secrets, topk
+from vigil.llm import chat, language, leaks, mixing, repeats, secrets, similar, token_files, topk, toxicity
 from vigil.llm.oracles import ORACLES  # noqa: F401
 from vigil.llm.store import staged, table
+from vigil.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,6 +41,13 @@ def op1_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("scenario"), F.col("text").alias("details"))
+    leaked = leaks.leaked_cases(contents(spark, sf), cases)
+    return leaked.withColumnsRenamed({"id": "doc_id", "scenario": "item_id"})
+
+
 @query
 def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
@@ -58,6 +69,49 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_secrets(docs).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.link_similar(contents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+def remainder(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = contents(spark, sf)
+    learned = table(spark, sf, "labels").where(remainder(5) != 0)
+    model = toxicity.fit_toxicity(docs, learned.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")))
+    scored = toxicity.score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    named = lambda df: df.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
+    model = language.fit_language(named(docs.where(remainder(4) != 2)))
+    found = language.predict_language(named(docs), model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(contents(spark, sf), path, public_tokenizers.path("byte_bpe_50k.json"))
+    read = token_files.read_tokens(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), T.LongType())
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("found").alias("ids_crc32"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = repeats.remove_repeats(contents(spark, sf))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("content", 256).alias("kept_sha256"))
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
