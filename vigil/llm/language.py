@@ -89,13 +89,13 @@ def _features(schema: pa.Schema):
 
 def train(
     rows: list[tuple[np.ndarray, np.ndarray]], lang: np.ndarray, langs: list[str],
-    width: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7, kept: float = 0.999,
+    width: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7, kept: float = 0.999, surest: float = 0.35,
 ) -> LanguageModel:
     """Fits by stochastic gradient descent, one content a step; every tenth content calibrates.
 
     Calibration scales the logits by the temperature under which the held-back contents are
     likeliest, and rejects below the score that the share `kept` of those rightly told has,
-    but nothing at a half or more.
+    but nothing at `surest` or more: a doubtful guess is no reason to drop a content.
     """
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, width)).astype(np.float32)
@@ -131,7 +131,7 @@ def train(
     model.temperature = max(best[1], 0.2)
     scores = model.scores(means)
     good = scores[np.arange(len(check)), right][scores.argmax(axis=1) == right]
-    model.threshold = float(min(0.5, np.quantile(good, 1 - kept))) if len(good) else 0.0
+    model.threshold = float(min(surest, np.quantile(good, 1 - kept))) if len(good) else 0.0
     return model
 
 
