@@ -213,6 +213,18 @@ def test_blocks_round_trip(ids, block):
         assert (token_files.unpack_block(memoryview(payload)[at:]) == ids[block : 2 * block]).all()
 
 
+PARTS = [*"ab Zé×ñ,.'!19\n\t\u00a0\u3000\u2009€日😀\x1c\x85s|<>", "<|endoftext|>", "'re", "  ", " the", "\n\n"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=40).map("".join), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_pieces_give_the_ids_of_whole_texts(texts):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    encoder = token_files._encoder(path)
+    found = [e.tolist() for e in encoder.encode(pa.array(texts, pa.string()))]
+    assert found == [[*e.ids, 2] for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(spark, tokenizer_path, tmp_path):
     from tokenizers import Tokenizer
 

@@ -9,7 +9,6 @@ exceptions; the byte at which each block starts is kept, so a block can be read
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 
@@ -22,15 +21,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from vigil.llm.words import Words, byte_chunks
+
 END = 2
 BLOCK = 2048
 #: Share of a block's values that the packed width must hold.
 PERCENTILE = 0.9
 #: A segment ends with the first content that brings it to so many tokens.
 SEGMENT = 1 << 18
-#: Characters that are encoded at a time; a longer text is cut where no token can span.
-PIECE = 1 << 15
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Ids that the store of known pieces holds before it is begun anew, and pieces it takes in at a time.
+STORED = 1 << 22
+RECENT = 1 << 16
 _HEAD = struct.Struct("<IBHH")
 
 
@@ -71,53 +72,144 @@ def unpack(payload: bytes, starts: bytes) -> np.ndarray:
     return np.concatenate([unpack_block(view[p:]) for p in places]) if len(places) else np.zeros(0, np.uint32)
 
 
-def pieces(text: str, limit: int = PIECE) -> list[str]:
-    """`text` cut before single spaces between other characters, where byte-level BPE always parts."""
-    out = []
-    while len(text) > limit:
-        cut = _SAFE_CUT.search(text, limit)
-        if not cut:
-            break
-        out.append(text[: cut.start()])
-        text = text[cut.start() :]
-    out.append(text)
-    return out
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    letter, mark, space = (np.zeros(256, dtype=bool) for _ in range(3))
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    mark[33:127] = True
+    mark[[*range(48, 58)]] = False
+    mark &= ~letter
+    space[[*range(9, 14), *range(28, 33)]] = True
+    return letter, mark, space
 
 
-_loaded: dict[str, object] = {}
+_LETTER, _MARK, _SPACE = _kinds()
+#: White space beyond ASCII, in UTF-8.
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that byte-level BPE gives the same ids piece by piece.
+
+    The library first parts a text into runs of letters, of digits, of other signs and of white
+    space, a single space going with what follows it. So a text may be cut before a single
+    space or around a single line break, if no other white space is next to it, and between a
+    letter and a sign behind it.
+    """
+    n = len(data)
+    begins = np.zeros(n + 1, dtype=bool)
+    space = np.ones(n + 2, dtype=bool)
+    space[1:-1] = _SPACE[data]
+    lead = data >= 0xC2
+    if (lead & (data != 0xC3)).any():
+        text = data.tobytes()
+        for wide in _WIDE_SPACES:
+            code, at = wide.encode(), -1
+            while (at := text.find(code, at + 1)) >= 0:
+                space[at + 1 : at + 1 + len(code)] = True
+    edge = np.zeros(n + 1, dtype=bool)
+    edge[offsets] = True
+    alone = ~space[:-2] & ~space[2:] & ~edge[:-1] & ~edge[1:]
+    blank, line = alone & (data == 0x20), alone & (data == 0x0A)
+    begins[:-1] = blank | line
+    begins[1:] |= line
+    letter = _LETTER[data]
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter[1:] |= latin
+    begins[1:-1] |= letter[:-1] & _MARK[data[1:]]
+    begins[offsets[offsets < n]] = True
+    return np.flatnonzero(begins[:-1])
+
+
+class Encoder:
+    """Ids of pieces, each distinct one encoded once per process as far as the store holds it."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = [np.zeros(0, dtype=np.uint64)] * 2
+        self.at = [np.zeros((2, 0), dtype=np.int64)] * 2
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """(begin, length) of each key's ids in the flat store; -1 where it is not known."""
+        out = np.full((2, len(key)), -1, dtype=np.int64)
+        for keys, at in zip(self.keys, self.at):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                known = keys[i] == key
+                out[:, known] = at[:, i[known]]
+        return out
+
+    def _learn(self, key: np.ndarray, texts: list[str]) -> None:
+        ids, counts = [], []
+        for begin in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch(texts[begin : begin + 4096], add_special_tokens=False):
+                ids += e.ids
+                counts.append(len(e.ids))
+        new = np.array(ids, dtype=np.uint32)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        length = np.array(counts, dtype=np.int64)
+        begin = self.used + np.cumsum(length) - length
+        self.used += len(new)
+        keys = np.concatenate([self.keys[1], key])
+        at = np.concatenate([self.at[1], [begin, length]], axis=1)
+        full = len(keys) > RECENT
+        if full:  # the small store goes into the large one
+            keys, at = np.concatenate([self.keys[0], keys]), np.concatenate([self.at[0], at], axis=1)
+        order = np.argsort(keys, kind="stable")
+        self.keys[1], self.at[1] = keys[order], at[:, order]
+        if full:
+            self.keys, self.at = [self.keys[1], keys[:0]], [self.at[1], at[:, :0]]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, the end id behind them."""
+        for _, data, offsets in byte_chunks(texts):
+            start = piece_starts(data, offsets)
+            raw = data.tobytes()
+            for token in self.added:
+                at = raw.find(token)
+                while at >= 0:  # the library looks for these in whole texts: leave such a text whole
+                    row = int(np.searchsorted(offsets, at, "right")) - 1
+                    start = start[(start <= offsets[row]) | (start >= offsets[row + 1])]
+                    at = raw.find(token, int(offsets[row + 1]))
+            words = Words(0, data, offsets, start, np.append(start[1:], len(data)) if len(start) else start, np.searchsorted(start, offsets))
+            key, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            if self.used > STORED:
+                self.forget()
+            new = np.flatnonzero(self._find(key)[0] < 0)
+            if len(new):
+                where = first[new]
+                self._learn(key[new], [raw[s:e].decode() for s, e in zip(words.start[where], words.end[where])])
+            begin, length = self._find(key)[:, back]
+            total = np.concatenate([[0], np.cumsum(length)])
+            place = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
+            ids = np.insert(self.flat[place], total[words.first[1:]], END)
+            ends = total[words.first[1:]] + np.arange(1, words.rows + 1)
+            for before, end in zip(np.append(0, ends[:-1]), ends):
+                yield ids[before:end]
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
-def _encoded(texts: list[str], tokenizer) -> list[np.ndarray]:
-    """The ids of each text, the end id behind them; about `PIECE` characters at a time."""
-    parts = [p for t in texts for p in pieces(t)]
-    counts = [len(pieces(t)) for t in texts]
-    ids: list[np.ndarray] = []
-    begin = size = 0
-    for i, part in enumerate(parts):
-        size += len(part)
-        if size >= 8 * PIECE or i + 1 == len(parts):
-            done = tokenizer.encode_batch(parts[begin : i + 1], add_special_tokens=False)
-            ids += [np.array(e.ids, dtype=np.uint32) for e in done]
-            begin, size = i + 1, 0
-    out, at, end = [], 0, np.array([END], dtype=np.uint32)
-    for n in counts:
-        out.append(np.concatenate([*ids[at : at + n], end]))
-        at += n
-    return out
-
-
 def _segments(path: str, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tokenizer = TaskContext.get().partitionId(), _tokenizer(path)
+        shard, encoder = TaskContext.get().partitionId(), _encoder(path)
         before, number, held, texts = 0, 0, [], []
 
         def flushed() -> pa.RecordBatch:
@@ -134,15 +226,13 @@ def _segments(path: str, schema: pa.Schema):
 
         total = 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 32):
-                part = batch.slice(begin, 32)
-                for i, ids in enumerate(_encoded([t or "" for t in part.column(1).to_pylist()], tokenizer)):
-                    held.append(part.column(0).slice(i, 1))
-                    texts.append(ids)
-                    total += len(ids)
-                    if total >= SEGMENT:
-                        yield flushed()
-                        before, number, held, texts, total = before + total, number + 1, [], [], 0
+            for i, ids in enumerate(encoder.encode(batch.column(1))):
+                held.append(batch.column(0).slice(i, 1))
+                texts.append(ids)
+                total += len(ids)
+                if total >= SEGMENT:
+                    yield flushed()
+                    before, number, held, texts, total = before + total, number + 1, [], [], 0
         if texts:
             yield flushed()
 
