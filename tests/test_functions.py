@@ -68,13 +68,17 @@ def test_employment(spark):
 
 
 def test_urls(spark):
-    rows = [("http://Docs.WikiLeaks.org//a/b.html?x=1",), ("https://localhost/",), ("not a url",), (None,)]
+    rows = [("http://Docs.WikiLeaks.org//a/b.html?x=1",), ("https://localhost/",), ("not a url",), (None,),
+            ("http://wikileaks.org/a|b",), ("http://my_host.wikileaks.org/{x}",), ('http://www.wikileaks.org">text/a',),
+            ("HTTPS://me:pw@dropbox.com:8080/a b/c",), ("ftp://[::1]/x",), ("http://wikileaks.org|x",), ("http://",)]
     url = F.col("u")
     df = spark.createDataFrame(rows, "u string").select(
         web.url_depth(url), web.registrable(web.host(url)), web.in_hosts(url, web.LEAK_HOSTS)
     )
     assert [tuple(r) for r in df.collect()] == [
         (2, "wikileaks.org", True), (0, "localhost", False), (0, None, False), (0, None, False),
+        (1, "wikileaks.org", True), (1, "wikileaks.org", True), (1, "wikileaks.org", True),
+        (2, "dropbox.com", False), (1, "[::1]", False), (0, "wikileaks.org", True), (0, None, False),
     ]
 
 

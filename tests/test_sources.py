@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import day
@@ -70,3 +72,20 @@ def test_daily_scan_is_pushed_down(spark, tmp_path):
     assert got.count() == 3 and "PushedFilters: [IsNotNull(day), GreaterThanOrEqual(day" in plan and ",y:" not in plan
     writers.write_sorted(df, str(tmp_path / "s"), ["user_key", "day"])
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "2010-01.csv").write_text("user_id,employee_name,email,role,supervisor\nAAA,Ann,a@x.example,Clerk,Boss\n")
+    (tmp_path / "2010-02.csv").write_text("Role,extra,Supervisor,USER_ID,employee_name\nClerk,?,Boss,bbb,\"Bo, B\"\n")
+    got = sorted((r.user_key, str(r.snapshot_date), r.employee_name, r.email, r.role, r.supervisor)
+                 for r in readers.read_directory(spark, str(tmp_path)).collect())
+    assert got == [("aaa", "2010-01-01", "Ann", "a@x.example", "Clerk", "Boss"), ("bbb", "2010-02-01", "Bo, B", None, "Clerk", "Boss")]
+    (tmp_path / "2010-03.csv").write_text("employee_name,email\nNo One,n@x.example\n")
+    with pytest.raises(ValueError):
+        readers.read_directory(spark, str(tmp_path))
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "a.csv").write_text("id,date,user,pc,activity\n1,01/02/2010 06:00:00,AAA,p1,Logon\n")
+    (logs / "b.csv").write_text("user,activity,id,pc,date\nBBB,Logoff,2,p2,01/03/2010 06:00:00\n")
+    rows = sorted((r.user, r.date, r.pc, r.id) for r in readers.read_events(spark, str(logs), "logon").collect())
+    assert rows == [("AAA", "01/02/2010 06:00:00", "p1", "1"), ("BBB", "01/03/2010 06:00:00", "p2", "2")]

@@ -57,7 +57,3 @@ def severity_rank(severity: Column) -> Column:
 
 def severity_name(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (rank + 1).cast("int"))
-
-
-def round6(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)

@@ -16,14 +16,26 @@ def url_length(url: Column) -> Column:
     return F.coalesce(F.length(url), F.lit(0))
 
 
+# scheme, then the authority up to the path: user info and port are no part of the host, which
+# ends at the first character that no host has.
+_AUTHORITY = r"""^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\s"'<>]*@)?(\[[^\]/?#]*\]|[^/?#:\s"'<>|{}\\^`]*)"""
+_PATH = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
 def url_depth(url: Column) -> Column:
-    """Number of non-empty path segments."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    """Number of non-empty path segments, whatever characters the path has."""
+    path = F.coalesce(F.regexp_extract(url, _PATH, 1), F.lit(""))
     return F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+    """The host in lower case, NULL where there is none.
+
+    Proxy logs hold URLs that no strict parser takes (bars, braces, quotes, spaces, underscores
+    in the host), so only what bounds the authority is looked for.
+    """
+    found = F.lower(F.trim(F.regexp_extract(url, _AUTHORITY, 1)))
+    return F.when(found != "", found)
 
 
 def registrable(host_name: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +21,8 @@ PERSONAL_DOMAINS = ("gmail.com",)
 JOB_HOSTS = ("hirepath.com",)
 
 
-# Only plans are remembered, never rows: each action reads the files again.
-remember_plan = lru_cache(maxsize=64)
-
-
-@remember_plan
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files as they are now: a kept DataFrame would go on with the list of its first use."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -81,7 +75,6 @@ def event_columns(events: DataFrame) -> DataFrame:
     )
 
 
-@remember_plan
 def activity(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
     """All five domains in one table with every row-level flag, or one of the domains.
 
@@ -115,7 +108,6 @@ def with_flags(df: DataFrame) -> DataFrame:
     return with_url_columns(flagged.drop("__domains"), JOB_HOSTS)
 
 
-@remember_plan
 def logons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logon events with the columns the machine operators need."""
     events = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
@@ -127,7 +119,6 @@ def logons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remember_plan
 def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory of the users of `events`: one month per user, bounds as in FIXTURES.md.
 
@@ -153,7 +144,6 @@ def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remember_plan
 def event_org(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_users(spark, sf_dir).select(
         "user_key", F.col("role").alias("role_id"), "business_unit", "functional_unit",
@@ -161,7 +151,6 @@ def event_org(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remember_plan
 def directory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw directory snapshots from orders: a user is listed in each month with an order."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
@@ -197,7 +186,6 @@ def directory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@remember_plan
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to be enriched by month: a shipped line is an event of the ordering user."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")

@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions import text, times
 from vigil.schemas import ALERT, DIRECTORY_ATTRS, RAW_EVENTS, RAW_INSIDERS, raw_events_schema
 
 
-def _by_header(spark: SparkSession, path: str, wanted: Sequence[str]) -> DataFrame:
-    """CSV with a header as strings, the wanted columns by name and NULL where absent."""
-    df = spark.read.option("header", True).option("escape", '"').csv(path)
-    named = {c.lower(): c for c in df.columns}
-    return df.select(
-        "*",
-        *[F.lit(None).cast("string").alias(w) for w in wanted if w.lower() not in named],
+def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(columns, files) of the CSV files at `path`, by their header lines.
+
+    Releases differ, so each file is read by its own header. Only the first line of each file
+    is looked at, and one row per file comes to the driver, as Spark's own file list does.
+    """
+    lines = spark.read.format("text").load(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
     )
+    heads = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+    groups: dict[str, list[str]] = {}
+    for row in heads.collect():
+        groups.setdefault(row["head"].removeprefix("\ufeff"), []).append(row["file"])
+    return [([c.strip() for c in next(csv.reader([head]))], sorted(files)) for head, files in sorted(groups.items())]
+
+
+def _by_header(spark: SparkSession, path: str, wanted: Sequence[str], needed: Sequence[str] = ()) -> DataFrame:
+    """CSV with headers as strings, columns by name whatever their order, NULL where absent.
+
+    A file that lacks a `needed` column is refused, not only a first one.
+    """
+    out = None
+    for columns, files in _layouts(spark, path):
+        named = {c.lower() for c in columns}
+        missing = [c for c in needed if c not in named]
+        if missing:
+            raise ValueError(f"{files[0]} needs the columns {missing}")
+        spelled = {w.lower(): w for w in wanted}
+        schema = T.StructType([T.StructField(spelled.get(c.lower(), c), T.StringType()) for c in columns])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"')
+        rows = reader.csv(files)
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        rows = rows.select("*", file_stem().alias("__stem"), place.alias("__place"))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        kinds = T.StructType([T.StructField(w, T.StringType()) for w in wanted])
+        out = spark.createDataFrame([], kinds).select(
+            "*", F.lit("").alias("__stem"),
+            F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("line")).alias("__place"),
+        )
+    absent = {w.lower() for w in wanted} - {c.lower() for c in out.columns}
+    return out.select("*", *[F.lit(None).cast("string").alias(w) for w in wanted if w.lower() in absent])
 
 
 def file_stem() -> Column:
@@ -28,23 +67,15 @@ def file_stem() -> Column:
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """All monthly snapshots in a folder; the month comes from the file name `YYYY-MM.csv`.
 
-    A file set whose header lacks `user_id` is refused.
+    Each file's own header says which column is where; one without `user_id` is refused.
     """
-    df = spark.read.option("header", True).option("escape", '"').csv(path)
-    named = {c.lower(): c for c in df.columns}
-    if "user_id" not in named:
-        raise ValueError("directory snapshots need a user_id column")
-    month = F.to_date(F.concat(F.regexp_extract(file_stem(), r"(\d{4}-\d{2})$", 1), F.lit("-01")))
-    attrs = [
-        F.col(named[a]).alias(a) if a in named else F.lit(None).cast("string").alias(a)
-        for a in DIRECTORY_ATTRS
-    ]
-    position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    df = _by_header(spark, path, ("user_id", *DIRECTORY_ATTRS), needed=("user_id",))
+    month = F.to_date(F.concat(F.regexp_extract("__stem", r"(\d{4}-\d{2})$", 1), F.lit("-01")))
     return df.select(
-        text.normalize_user(F.col(named["user_id"])).alias("user_key"),
+        text.normalize_user(F.col("user_id")).alias("user_key"),
         month.alias("snapshot_date"),
-        *attrs,
-        position.alias("read_order"),
+        *DIRECTORY_ATTRS,
+        F.col("__place").alias("read_order"),
     )
 
 
@@ -55,7 +86,7 @@ def read_events(spark: SparkSession, path: str, domain: str, by_name: bool = Tru
     fixed layout of the domain is taken and nothing is read ahead.
     """
     if by_name:
-        return _by_header(spark, path, RAW_EVENTS[domain])
+        return _by_header(spark, path, RAW_EVENTS[domain]).drop("__stem", "__place")
     reader = spark.read.schema(raw_events_schema(domain)).option("header", True)
     reader = reader.option("mode", "PERMISSIVE").option("enforceSchema", False)
     return reader.option("escape", '"').csv(path)
