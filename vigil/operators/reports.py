@@ -82,12 +82,27 @@ def user_ranking(
     alerts: DataFrame, directory: DataFrame | None = None, as_of=None, tab: str = "all"
 ) -> DataFrame:
     """Users with counts, maxima, severity and priority; `tab` is all, escalated or watchlist."""
-    seen = visible(alerts, as_of)
-    users = seen.groupBy("user_key").agg(
+    return ranked_users(user_totals(visible(alerts, as_of)), directory, tab)
+
+
+def user_totals(alerts: DataFrame) -> DataFrame:
+    """Counts and maxima per user, from which `ranked_users` judges; totals of batches can be merged."""
+    return alerts.groupBy("user_key").agg(
         F.count(F.lit(1)).alias("total_alerts"),
         F.count_if("escalated").alias("escalated_alerts"),
         *_maxima(),
     )
+
+
+def merged_totals(totals: DataFrame) -> DataFrame:
+    """One row per user from the totals of several batches."""
+    counts = ("total_alerts", "escalated_alerts")
+    kept = [c for c in totals.columns if c not in (*counts, "user_key")]
+    return totals.groupBy("user_key").agg(*[F.sum(c).alias(c) for c in counts], *[F.max(c).alias(c) for c in kept])
+
+
+def ranked_users(users: DataFrame, directory: DataFrame | None = None, tab: str = "all") -> DataFrame:
+    """Severity and priority from the totals of each user."""
     fore = F.col("__fore")
     users = users.withColumns(
         {
@@ -267,7 +282,8 @@ def _strong(name: str) -> Column:
     return F.coalesce(F.col(name) > STRONG_SIGNAL, F.lit(False))
 
 
-def _pulse() -> list[Column]:
+def pulse() -> list[Column]:
+    """Counts of a day's alerts; each is a sum over rows, so batches can be added."""
     return [
         F.count(F.lit(1)).alias("count"),
         F.count_if("escalated").alias("escalated_count"),
@@ -286,7 +302,7 @@ def _on_recent_days(alerts: DataFrame, seen: DataFrame, aggs: list[Column], days
 
 def heartbeat(alerts: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     seen = visible(alerts, as_of)
-    return _on_recent_days(seen, seen, _pulse(), days)
+    return _on_recent_days(seen, seen, pulse(), days)
 
 
 def heartbeat_user(alerts: DataFrame, user: str, as_of=None, days: int = 7) -> DataFrame:
@@ -294,7 +310,7 @@ def heartbeat_user(alerts: DataFrame, user: str, as_of=None, days: int = 7) -> D
     seen = visible(alerts, as_of)
     mine = seen.where(F.col("user_key") == user.lower())
     top = F.coalesce(F.max("forecast_score"), F.lit(0.0)).alias("forecast_max")
-    out = _on_recent_days(mine, seen, [*_pulse(), top], days)
+    out = _on_recent_days(mine, seen, [*pulse(), top], days)
     return out.fillna(0).fillna(0.0)
 
 

@@ -63,20 +63,34 @@ def stream_rules(spark, sf):
     """Rule alerts with each user's last rows held as state."""
     stateful.use_state_store(spark)
     measured = rules.ah_signal(frames.features(spark, sf), frames.RULES)
-    days = frames.staged(stateful.rule_days(measured), "rule-days")
-    source = spark.readStream.schema(days.schema).parquet(_folder(days))
-    return _drain(stateful.stream_rules(source, frames.RULES), "stream-rules")
+    source = _out_of_order(stateful.rule_days(measured), "rule-days", after=61)
+    return _drain(stateful.stream_rules(stateful.with_day_time(source, "60 days"), frames.RULES), "stream-rules")
 
 
 @query
 def stream_watch(spark, sf):
     """Watch windows that have closed by the watermark."""
     stateful.use_state_store(spark)
-    days = frames.staged(watch.watch_days(frames.canonical(spark, sf)), "watch-days")
-    source = spark.readStream.schema(days.schema).parquet(_folder(days))
-    timed = source.withColumn("ts", F.col("day").cast("timestamp")).withWatermark("ts", "0 days")
-    return _drain(stateful.stream_watch(timed), "stream-watch")
+    source = _out_of_order(watch.watch_days(frames.canonical(spark, sf)), "watch-days", after=60)
+    return _drain(stateful.stream_watch(stateful.with_day_time(source, "60 days")), "stream-watch")
 
 
-def _folder(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+@query
+def stream_rollups(spark, sf):
+    """The user ranking over all batches of an alert stream."""
+    alerts = frames.canonical(spark, sf)
+    folder = scratch_path(spark, "stream-rollups")
+    source = _out_of_order(alerts, "rollup-alerts")
+    sinks.stream_rollups(source, folder, f"{folder}/checkpoint", once=True).awaitTermination()
+    totals = spark.read.option("basePath", f"{folder}/users").parquet(f"{folder}/users")
+    return sinks.merge_rankings(totals)
+
+
+def _out_of_order(df: DataFrame, label: str, after: int | None = None) -> DataFrame:
+    """`df` as a stream of three batches in no order of days, and an end-of-input row at last."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, label)
+    kept = frames.staged(df, label)
+    kept.repartition(3).write.parquet(folder)
+    if after is not None:
+        stateful.end_of_input(kept, after).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(folder)

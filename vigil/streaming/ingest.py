@@ -18,13 +18,16 @@ def with_event_time(df: DataFrame, column: str = "timestamp", delay: str = WATER
     return df.withColumn("ts", F.col(column).cast("timestamp")).withWatermark("ts", delay)
 
 
-def dedupe_stream(df: DataFrame, key: str = "id") -> DataFrame:
+def dedupe_stream(df: DataFrame, key: str = "id", tuple_columns: Sequence[str] = ()) -> DataFrame:
     """One row per id within the watermark; state older than that is dropped.
 
-    A row without id is kept: there is nothing to recognise it by, and one shared NULL key
-    would hold them all.
+    A row without id is recognised by its `tuple_columns`, as in batch; without any, by all its
+    columns.
     """
-    keyed = df.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.uuid()))
+    names = [c for c in (tuple_columns or df.columns) if c in df.columns and c != key]
+    whole = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    known = F.col(key).cast("string")
+    keyed = df.withColumn("__key", F.when(known.isNotNull(), F.concat(F.lit("id:"), known)).otherwise(whole))
     return keyed.dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
@@ -51,7 +54,8 @@ def stream_events(
         .csv(path)
     )
     clean = enrich.clean_events(raw, domain, internal, personal, job_sites, dedupe=False)
-    return dedupe_stream(with_event_time(clean, delay=delay)).withColumn("domain", F.lit(domain))
+    timed = with_event_time(clean, delay=delay)
+    return dedupe_stream(timed, tuple_columns=enrich.EVENT_TUPLES[domain]).withColumn("domain", F.lit(domain))
 
 
 def stream_enrich(events: DataFrame, directory: DataFrame, bounds: DataFrame) -> DataFrame:

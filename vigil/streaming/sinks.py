@@ -23,7 +23,7 @@ def stream_alerts(alerts: DataFrame, path: str, checkpoint: str, once: bool = Fa
 
 
 def stream_rollups(alerts: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Per batch the day counts and user ranking of its alerts, in a folder per batch.
+    """Per batch the day counts of its alerts and the rows they are ranked by, in a folder per batch.
 
     A batch that is tried again overwrites its own folder, so nothing counts twice.
     """
@@ -31,9 +31,9 @@ def stream_rollups(alerts: DataFrame, folder: str, checkpoint: str, once: bool =
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            beat = reports.heartbeat(batch, days=3650)
+            beat = batch.groupBy("day").agg(*reports.pulse())
             beat.write.mode("overwrite").parquet(f"{folder}/heartbeat/batch={batch_id}")
-            users = reports.user_ranking(batch)
+            users = reports.user_totals(batch)
             users.write.mode("overwrite").parquet(f"{folder}/users/batch={batch_id}")
         finally:
             batch.unpersist()
@@ -44,6 +44,12 @@ def stream_rollups(alerts: DataFrame, folder: str, checkpoint: str, once: bool =
     return writer.start()
 
 
+def merge_rankings(totals: DataFrame) -> DataFrame:
+    """The ranking over all batches from the batches' user totals."""
+    kept = totals.drop("batch") if "batch" in totals.columns else totals
+    return reports.ranked_users(reports.merged_totals(kept))
+
+
 def merge_heartbeats(batches: DataFrame) -> DataFrame:
     """One row per day from the batches' heartbeats."""
     names = ["count", "escalated_count", "rule_count", "ml_count", "anomaly_count"]

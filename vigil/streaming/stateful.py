@@ -1,7 +1,10 @@
 """Per-user state: the last rows of a user for the rules, the open watch window.
 
-Days of a user are handled in order within a batch. State per user is bounded: fourteen
-rows, or one window.
+Days may arrive in any order: a user's days wait in state until the watermark has passed them
+and are then judged in order, so batches give what one batch would. What arrives later than the
+watermark allows is left out by Spark and counted in the query's progress
+(`numRowsDroppedByWatermark`). State per user is bounded: fourteen rows, or one window, and the
+days within the watermark's delay.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigil.operators.rules import CASE_SCORES, CHAIN, CHAIN_POST, NEAR_MISS, RuleParams
-from vigil.operators.watch import WATCH_SCHEMA, Watch, advance, day_rows, watch_frame
+from vigil.operators.watch import WATCH_SCHEMA, Watch, advance, watch_frame
 from vigil.session import ROCKSDB
 
 # What the rules need of a user-day.
 RULE_DAY = "day date, ah_sig boolean, usb bigint, leak bigint, ah_novel int, usb_novel int, post double"
 RULE_FIELDS = tuple(part.split()[0] for part in RULE_DAY.split(", "))
+# What a day can do to a watch.
+WATCH_DAY = "day date, hit_score double, escalated boolean, escalated_after_hit boolean"
 RULE_OUT = "user_key string, day date, reason string, score double"
 
 
@@ -29,6 +34,45 @@ def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def with_day_time(days: DataFrame, delay: str = "2 days") -> DataFrame:
+    """`days` with the event time that the processors wait by; `delay` is how late a day may come."""
+    return days.withColumn("ts", F.col("day").cast("timestamp")).withWatermark("ts", delay)
+
+
+def end_of_input(days: DataFrame, after: int) -> DataFrame:
+    """One row of no user, `after` days behind the last one: it moves the watermark past all days."""
+    last = days.agg(F.date_add(F.max("day"), after).alias("day")).where(F.col("day").isNotNull())
+    return last.select(*[
+        F.col("day") if f.name == "day" else F.lit("" if f.name == "user_key" else None).cast(f.dataType).alias(f.name)
+        for f in days.schema.fields
+    ])
+
+
+class _Waiting:
+    """Days of a user that the watermark has not passed."""
+
+    def __init__(self, handle: StatefulProcessorHandle, schema: str):
+        self.handle, self.fields = handle, [part.split()[0] for part in schema.split(", ")]
+        self.days = handle.getListState("waiting", schema)
+
+    def add(self, rows: Iterator[pd.DataFrame]) -> None:
+        new = pd.concat(list(rows))[self.fields].astype(object)
+        new = new.where(new.notna(), None)
+        for row in new.itertuples(index=False, name=None):
+            self.days.appendValue(row)
+        for day in set(new["day"]):
+            self.handle.registerTimer(_millis(day + dt.timedelta(days=1)))
+
+    def due(self, watermark: int) -> list[tuple]:
+        """Takes out the days that are over, in order; a day that came twice counts once."""
+        rows = [tuple(r) for r in self.days.get()] if self.days.exists() else []
+        over = {r[0]: r for r in rows if _millis(r[0] + dt.timedelta(days=1)) <= watermark}
+        rest = [r for r in rows if _millis(r[0] + dt.timedelta(days=1)) > watermark]
+        if over:
+            self.days.put(rest) if rest else self.days.clear()
+        return [over[d] for d in sorted(over)]
+
+
 def rule_days(measures: DataFrame) -> DataFrame:
     """The rule's inputs from user-days that carry `ah_sig` and the novelty flags."""
     post = F.lit(0.0)
@@ -63,28 +107,31 @@ def rule_of_week(rows: list[tuple], params: RuleParams) -> str | None:
 
 
 class RuleProcessor(StatefulProcessor):
-    """Keeps a user's last rows and evaluates the rules on each new day."""
+    """Keeps a user's last rows and evaluates the rules on each day that is over."""
 
     def __init__(self, params: RuleParams):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", RULE_DAY)
+        self.waiting = _Waiting(handle, RULE_DAY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.rows.get()]
-        new = pd.concat(list(rows)).sort_values("day")
+        self.waiting.add(rows)
+        yield pd.DataFrame([], columns=["user_key", "day", "reason", "score"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.waiting.due(timerValues.getCurrentWatermarkInMs())
+        kept = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         scores, out = dict(CASE_SCORES), []
-        for row in new[list(RULE_FIELDS)].itertuples(index=False, name=None):
-            day = row[0]
-            if kept and day <= kept[-1][0]:
-                continue  # a late day has been judged already
-            row = (day, bool(row[1]), int(row[2]), int(row[3]), int(row[4]), int(row[5]), float(row[6]))
+        for row in due:
+            row = (row[0], bool(row[1]), *(int(x or 0) for x in row[2:6]), float(row[6] or 0.0))
             kept = [*kept, row][-self.params.window_rows :]
             case = rule_of_week(kept, self.params)
             if case:
-                out.append((key[0], day, f"rules:{case}", scores[case]))
-        self.rows.put(kept)
+                out.append((key[0], row[0], f"rules:{case}", scores[case]))
+        if due:
+            self.rows.put(kept)
         yield pd.DataFrame(out, columns=["user_key", "day", "reason", "score"])
 
     def close(self) -> None:
@@ -92,16 +139,16 @@ class RuleProcessor(StatefulProcessor):
 
 
 def stream_rules(days: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
-    """Rule alerts from a stream of `rule_days`."""
+    """Rule alerts from a stream of `rule_days` with a watermarked `ts` (`with_day_time`)."""
     return days.groupBy("user_key").transformWithStateInPandas(
-        RuleProcessor(params), RULE_OUT, "Append", "None"
+        RuleProcessor(params), RULE_OUT, "Append", "EventTime"
     )
 
 
 class WatchProcessor(StatefulProcessor):
     """The open watch window of a user; it is emitted when it closes.
 
-    With an event-time column a timer at the expiry closes windows of users who fall silent.
+    A timer at the expiry closes windows of users who fall silent.
     """
 
     def __init__(self, horizon: int, reopen: bool):
@@ -112,6 +159,7 @@ class WatchProcessor(StatefulProcessor):
         self.open = handle.getValueState(
             "open", "start date, expiry date, max_score double, escalation date"
         )
+        self.waiting = _Waiting(handle, WATCH_DAY)
 
     def _load(self) -> Watch | None:
         return Watch(*self.open.get()) if self.open.exists() else None
@@ -123,24 +171,24 @@ class WatchProcessor(StatefulProcessor):
             self.open.update((watch.start, watch.expiry, watch.max_score, watch.escalation))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.waiting.add(rows)
+        yield watch_frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
         watch, done = self._load(), []
-        for row in day_rows(pd.concat(list(rows)).sort_values("day")):
-            watch, closed = advance(watch, *row, self.horizon, self.reopen)
+        for day, hit, escalated, after in self.waiting.due(now):
+            watch, closed = advance(watch, day, hit, bool(escalated), bool(after), self.horizon, self.reopen)
             if closed is not None:
                 done.append(closed)
-        self._save(watch)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if watch is not None:
-            self.handle.registerTimer(_millis(watch.expiry + dt.timedelta(days=1)))
-        yield watch_frame(w.row(key[0]) for w in done)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        watch = self._load()
-        done = []
-        if watch is not None and (watch.escalation is None or self.reopen):
-            done.append(watch)
-            self._save(None)
+            over = _millis(watch.expiry + dt.timedelta(days=1))
+            if over > now:
+                self.handle.registerTimer(over)
+            elif watch.escalation is None or self.reopen:
+                done.append(watch)
+                watch = None
+        self._save(watch)
         yield watch_frame(w.row(key[0]) for w in done)
 
     def close(self) -> None:
