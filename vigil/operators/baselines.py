@@ -55,8 +55,8 @@ def group_baselines(scores: DataFrame, minimum: dict[str, int] | None = None) ->
     Scores are first reduced to count, mean and squared spread per (group, day), all kinds of
     groups in one aggregation; running sums over those days follow, so a group holding a
     third of all users costs as many rows as it has days. The within-day spread is kept
-    apart, so sums of squares do not cancel. The results are joined back by (group, day);
-    Spark broadcasts them where their measured size allows.
+    apart, so sums of squares do not cancel. The results are joined back by (group, day)
+    for all groups at once; a score's row must be told apart by its columns.
     """
     minimum = GROUP_MINIMUM if minimum is None else minimum
     score = F.col("base_score")
@@ -90,21 +90,28 @@ def group_baselines(scores: DataFrame, minimum: dict[str, int] | None = None) ->
     variance = F.try_divide(F.greatest(F.lit(0.0), s2 - F.try_divide(s1 * s1, n)), n - 1)
     std = F.when(variance < 1e-15, F.lit(0.0)).otherwise(F.sqrt(variance))
     base = run.select("kind", "value", "end_day", "n_prior", F.try_divide(s1, n).alias("mean"), std.alias("std"))
-    out = scores
+    # All groups of a score in one join, and back together by the score's own columns.
+    asked = scores.select("*", F.inline(kinds)).alias("a")
+    match = (
+        (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value"))
+        & (F.col("a.end_day") == F.col("b.end_day"))
+    )
+    found = asked.join(base.alias("b"), match, "left").groupBy(*[F.col(f"a.{c}") for c in scores.columns]).agg(*[
+        F.max(F.when(F.col("a.kind") == g, F.struct("b.n_prior", "b.mean", "b.std"))).alias(f"__{g}") for g in minimum
+    ])
     for group, need in minimum.items():
-        p = GROUP_PREFIX.get(group, group)
-        enough = F.col("n_prior") >= need
-        side = base.where(F.col("kind") == group).select(
-            F.col("value").alias("__value"),
-            F.col("end_day").alias("__day"),
-            F.col("n_prior").alias(f"{p}_n"),
-            F.when(enough, F.col("mean")).alias(f"{p}_mean"),
-            F.when(enough, F.col("std")).alias(f"{p}_std"),
-        )
-        match = (F.col(group).cast("string") == F.col("__value")) & (F.col("end_day") == F.col("__day"))
-        z = F.try_divide(score - F.col(f"{p}_mean"), F.col(f"{p}_std"))
-        out = out.join(side, match, "left").withColumn(f"z_{p}", z).drop("__value", "__day")
-    return out
+        p, side = GROUP_PREFIX.get(group, group), F.col(f"__{group}")
+        enough = side["n_prior"] >= need
+        mean, std = F.when(enough, side["mean"]), F.when(enough, side["std"])
+        found = found.withColumns(
+            {
+                f"{p}_n": side["n_prior"],
+                f"{p}_mean": mean,
+                f"{p}_std": std,
+                f"z_{p}": F.try_divide(score - mean, std),
+            }
+        ).drop(f"__{group}")
+    return found
 
 
 def group_baseline(scores: DataFrame, group: str, min_windows: int | None = None) -> DataFrame:

@@ -47,10 +47,6 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= 1).drop(rank)
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropDuplicates(list(keys))
-
-
 def expect_none(df: DataFrame, predicate: Column, message: str) -> DataFrame:
     """Pass `df` through; the job fails with `message` on the first row that meets `predicate`."""
     bad = F.coalesce(predicate, F.lit(False))
@@ -83,10 +79,6 @@ def exclude_admins(events: DataFrame, directory: DataFrame) -> DataFrame:
     return exclude_users(events, admins)
 
 
-def labelled_only(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.where(F.col(label).isNotNull())
-
-
 def min_history(df: DataFrame, n: int, order: str = "day") -> DataFrame:
     """Rows that are at least the `n`-th of their user."""
     window = Window.partitionBy("user_key").orderBy(order)
@@ -249,8 +241,6 @@ def recipient_edges(email: DataFrame, fields: Sequence[str] = ("to", "cc", "bcc"
     return pairs.groupBy("from_key", "to_key").agg(F.count(F.lit(1)).alias("n"))
 
 
-
-
 def top_domains(texts: DataFrame, n: int = 50) -> DataFrame:
     """The `n` most frequent registrable domains among all URLs in `text`."""
     links = texts.select(F.explode(F.regexp_extract_all("text", F.lit(web.url_pattern()), F.lit(1))).alias("url"))

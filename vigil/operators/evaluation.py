@@ -147,8 +147,8 @@ def score_boost_stats(alerts: DataFrame) -> DataFrame:
     )
     return out.withColumns(
         {
-            "raw_median": exact_quantiles(mine, "raw", [0.5], ["m"]).scalar(),
-            "boosted_median": exact_quantiles(mine, "boosted", [0.5], ["m"]).scalar(),
+            "raw_median": F.lit(exact_quantiles(mine, "raw", [0.5], ["m"]).first()["m"]).cast("double"),
+            "boosted_median": F.lit(exact_quantiles(mine, "boosted", [0.5], ["m"]).first()["m"]).cast("double"),
             "pct_boosted": F.try_divide(F.col("n_boosted") * 100.0, F.col("n")),
         }
     )

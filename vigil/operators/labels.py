@@ -63,14 +63,6 @@ def label_days(daily: DataFrame, ranges: DataFrame) -> DataFrame:
     return state.withColumn("label", F.col("is_exfil_day").cast("int")).drop("is_exfil_day")
 
 
-def in_range(days: DataFrame, ranges: DataFrame) -> DataFrame:
-    return _range_state(days, ranges).drop("days_until_exfil")
-
-
-def days_until_next(days: DataFrame, ranges: DataFrame) -> DataFrame:
-    return _range_state(days, ranges).drop("is_exfil_day")
-
-
 def forecast_labels(
     daily: DataFrame, ranges: DataFrame, horizon: int = 7, scenario: str = SCENARIO
 ) -> DataFrame:

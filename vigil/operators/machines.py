@@ -58,8 +58,7 @@ def choose_shared(
 def shared_pcs(logon: DataFrame, lo: int = 95, hi: int = 120, top: int = 100) -> DataFrame:
     """(pc, distinct_non_admin_users, top_user_share, shared_pc) from logons without admins."""
     chosen = choose_shared(pc_sharedness(logon), lo, hi, top)
-    few = F.broadcast(chosen)  # at most max(hi, top) rows
-    wanted = logon.join(few.select("pc"), "pc", "left_semi")
+    wanted = logon.join(chosen.select("pc"), "pc", "left_semi")
     joined = chosen.join(pc_dominance(wanted), "pc", "left")
     return joined.withColumn("shared_pc", F.lit(True))
 
@@ -71,9 +70,8 @@ def assigned_pc(
 
     `user_days` is the sum over machines, as a day on two machines counts for both.
     """
-    few = F.broadcast(shared.select("pc"))  # bounded by choose_shared
     usual = logon.where(F.col("pc").isNotNull() & times.business_hours(F.col("timestamp")))
-    own = usual.join(few, "pc", "left_anti")
+    own = usual.join(shared.select("pc"), "pc", "left_anti")
     days = own.select("user_key", "pc", times.day(F.col("timestamp")).alias("day")).distinct()
     per_pc = days.groupBy("user_key", "pc").agg(F.count("day").alias("days_on_pc"))
     best = per_pc.groupBy("user_key").agg(

@@ -8,12 +8,15 @@ before it. Only the range bounds and one total per range are ever in one place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.session import staged
+
 RANGES = 128
 
 
@@ -32,6 +35,7 @@ def running_totals(
         *[m.alias(n) for n, m in measures.items()]
     )
     probs = [i / ranges for i in range(1, ranges)]
+    per_value = staged(per_value, "values")
     cuts = per_value.agg(F.percentile_approx(value, probs, F.lit(20 * ranges))).scalar()
     # Position of the value among the sorted cuts: the number of cuts below it.
     slot = F.array_position(F.sort_array(F.array_append(cuts, F.col(value))), F.col(value))
@@ -53,17 +57,21 @@ def running_totals(
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One row with the interpolated quantiles of `value`, as `percentile` defines them."""
-    ranks = running_totals(df, value, {"n": F.count(F.lit(1))})
-    total = df.agg(F.count(value)).scalar()
+    """One row with the interpolated quantiles of `value`, as `percentile` defines them.
+
+    The ranks are staged, one row per distinct value, so all quantiles come from one pass over
+    them and `df` is read for the ranks alone.
+    """
+    ranks = staged(running_totals(df, value, {"n": F.count(F.lit(1))}), "ranks")
+    total = ranks.agg(F.max("cum_n")).first()[0] or 0
     first = F.col("cum_n") - F.col("n")
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank < F.col("cum_n")), F.col(value)))
+    def at(rank: int) -> Column:
+        return F.max(F.when((first <= rank) & (F.lit(rank) < F.col("cum_n")), F.col(value)))
 
     out = []
     for p, name in zip(probs, names):
-        place = F.lit(float(p)) * (total - 1)
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+        place = float(p) * (total - 1)
+        low, high = at(math.floor(place)), at(math.ceil(place))
+        out.append((low + (high - low) * F.lit(place - math.floor(place))).alias(name))
     return ranks.agg(*out)

@@ -79,34 +79,10 @@ def check_values(df: DataFrame, table: str, keys: Sequence[str] = ("user_key", "
     return sums.select(F.inline(F.array(*rows)))
 
 
-def _one(df: DataFrame, table: str, check: str) -> DataFrame:
-    return check_values(df, table).where(F.col("check") == check)
-
-
-def check_unique(df: DataFrame, table: str, keys: Sequence[str] = ("user_key", "day")) -> DataFrame:
-    return check_values(df.select(*keys), table, keys).where(F.col("check") == "unique_key")
-
-
-def check_null_keys(df: DataFrame, table: str, keys: Sequence[str] = ("user_key", "day")) -> DataFrame:
-    return check_values(df.select(*keys), table, keys).where(F.col("check") == "null_key")
-
-
-def check_nonnegative(df: DataFrame, table: str) -> DataFrame:
-    return _one(df, table, "nonnegative")
-
-
-def check_rates(df: DataFrame, table: str) -> DataFrame:
-    return check_values(df, table).where(F.col("check").isin("rate_bounds", "rate_null"))
-
-
-def check_flags(df: DataFrame, table: str) -> DataFrame:
-    return _one(df, table, "flag_01")
-
-
 def check_min_rows(df: DataFrame, table: str, n: int = 1000) -> DataFrame:
-    """Bad when a lookup has fewer than `n` rows; counting stops at `n`."""
-    few = df.select(F.lit(1)).limit(n).agg(F.count(F.lit(1)).alias("total"))
-    return few.select(
+    """Bad when a lookup has fewer than `n` rows."""
+    counted = df.agg(F.count(F.lit(1)).alias("total"))
+    return counted.select(
         F.lit("min_rows").alias("check"), F.lit(table).alias("table"), F.lit("*").alias("column"),
         (F.col("total") < n).cast("bigint").alias("bad"), "total",
     )

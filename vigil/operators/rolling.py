@@ -159,17 +159,6 @@ def number_history(days: DataFrame) -> DataFrame:
     return days.withColumn("rn", F.row_number().over(by_user()))
 
 
-def prior_count(scores: DataFrame) -> DataFrame:
-    order = Window.partitionBy("user_key").orderBy("end_day")
-    return scores.withColumn("prior_window_count", F.row_number().over(order) - 1)
-
-
 def recent_days(alerts: DataFrame, n: int) -> DataFrame:
     """The `n` most recent days that have rows."""
     return alerts.select("day").distinct().orderBy(F.col("day").desc()).limit(n)
-
-
-def top1(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    from vigil.operators.enrich import latest
-
-    return latest(df, by, order)

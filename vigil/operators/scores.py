@@ -33,8 +33,8 @@ def score_distribution(scores: DataFrame) -> DataFrame:
     )
     names = ["p25", "median_score", "p75"]
     cuts = exact_quantiles(scores, "base_score", [0.25, 0.5, 0.75], names)
-    packed = cuts.select(F.struct(*names)).scalar()
-    return out.withColumn("q", packed).select("*", "q.*").drop("q")
+    found = cuts.first()
+    return out.select("*", *[F.lit(found[n]).cast("double").alias(n) for n in names])
 
 
 def group_stats(scores: DataFrame, by: str = "role_id") -> DataFrame:

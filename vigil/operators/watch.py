@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.scoring import WATCH_HORIZON, WATCH_THRESHOLD
@@ -83,13 +83,6 @@ def advance(
     return watch, closed
 
 
-def day_rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-    for day, hit, esc, after in zip(
-        pdf["day"], pdf["hit_score"], pdf["escalated"], pdf["escalated_after_hit"]
-    ):
-        yield day, None if pd.isna(hit) else float(hit), bool(esc), bool(after)
-
-
 def watch_frame(rows: Iterable[tuple]) -> pd.DataFrame:
     names = [part.split()[0] for part in WATCH_SCHEMA.split(", ")]
     out = pd.DataFrame(list(rows), columns=names)
@@ -103,17 +96,46 @@ def watch_windows(
     horizon: int = WATCH_HORIZON,
     reopen: bool = False,
 ) -> DataFrame:
-    """All watch windows of canonical alerts. A Python group is one user's days of interest."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        watch, done = None, []
-        for row in day_rows(pdf.sort_values("day")):
-            watch, closed = advance(watch, *row, horizon, reopen)
-            if closed is not None:
-                done.append(closed)
-        if watch is not None:
-            done.append(watch)
-        return watch_frame(w.row(key[0]) for w in done)
-
-    days = watch_days(alerts, threshold)
-    return days.groupBy("user_key").applyInPandas(run, WATCH_SCHEMA)
+    """All watch windows of canonical alerts: a fold over each user's days of interest, in order."""
+    day = F.struct("day", "hit_score", "escalated", "escalated_after_hit")
+    users = watch_days(alerts, threshold).groupBy("user_key").agg(F.sort_array(F.collect_list(day)).alias("days"))
+    window = "struct<start:date,expiry:date,score:double,escalation:date>"
+    none = F.lit(None)
+
+    def window_of(start: Column, expiry: Column, score: Column, escalation: Column) -> Column:
+        return F.struct(
+            start.alias("start"), expiry.alias("expiry"), score.alias("score"), escalation.alias("escalation")
+        ).cast(window)
+
+    def step(state: Column, d: Column) -> Column:
+        was = state["open"]
+        over = was.isNotNull() & (d["day"] > was["expiry"]) & (was["escalation"].isNull() | F.lit(reopen))
+        kept = F.when(~F.coalesce(over, F.lit(False)), was)
+        hit = d["hit_score"].isNotNull()
+        opened = window_of(
+            d["day"], F.date_add(d["day"], horizon), d["hit_score"], F.when(d["escalated_after_hit"], d["day"])
+        )
+        resolves = kept["escalation"].isNull() & d["escalated"] & (d["day"] <= kept["expiry"])
+        went_on = window_of(
+            kept["start"], kept["expiry"], F.when(hit, F.greatest(kept["score"], d["hit_score"])).otherwise(kept["score"]),
+            F.when(resolves, d["day"]).otherwise(kept["escalation"]),
+        )
+        now = F.when(kept.isNotNull(), went_on).when(hit, opened).otherwise(none.cast(window))
+        done = F.when(F.coalesce(over, F.lit(False)), F.array_append(state["done"], was)).otherwise(state["done"])
+        return F.struct(now.alias("open"), done.alias("done"))
+
+    begin = F.struct(none.cast(window).alias("open"), F.array().cast(f"array<{window}>").alias("done"))
+    closed = F.aggregate(
+        "days", begin, step,
+        lambda s: F.when(s["open"].isNotNull(), F.array_append(s["done"], s["open"])).otherwise(s["done"]),
+    )
+    rows = users.select("user_key", F.inline(closed))
+    return rows.select(
+        "user_key",
+        F.col("start").alias("start_day"),
+        F.col("expiry").alias("expiry_day"),
+        F.col("score").alias("max_score"),
+        F.col("escalation").isNotNull().alias("resolved"),
+        F.col("escalation").alias("escalation_day"),
+        F.date_diff("escalation", "start").alias("lead_time_days"),
+    )

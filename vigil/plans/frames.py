@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions import times
 from vigil.operators import alerts as alert_ops
-from vigil.operators import anomaly, baselines, daily, enrich, labels, machines, rolling, rules
-from vigil.session import scratch_path
+from vigil.operators import anomaly, baselines, daily, enrich, labels, machines, rolling, rules, supervised
+from vigil.session import staged
 from vigil.sources import driver_tables as tables
-from vigil.sources.driver_tables import remember_plan
 
 RULES = rules.RuleParams(min_events_per_domain=1, min_combined_events=1)
 BASELINE_DAYS = 14
@@ -24,18 +23,6 @@ SHARED = {"lo": 3, "hi": 5, "top": 3}
 AS_OF = "2024-01-28"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the cluster's shared folder and read back.
-
-    For tables several branches of a query use: user-days and window scores are small next
-    to the events, and a lost executor costs no recomputation from the events.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@remember_plan
 def non_admin_logons(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.exclude_admins(tables.logons(spark, sf), tables.event_users(spark, sf))
 
@@ -48,7 +35,6 @@ def assigned(spark: SparkSession, sf: str) -> DataFrame:
     return machines.assigned_pc(tables.logons(spark, sf), shared_list(spark, sf))
 
 
-@remember_plan
 def counts(spark: SparkSession, sf: str, domain: str | None = None) -> DataFrame:
     """Additive measures per (user, day, domain, machine) with the context flags.
 
@@ -63,12 +49,10 @@ def counts(spark: SparkSession, sf: str, domain: str | None = None) -> DataFrame
     return enrich.flag_active(enrich.join_bounds(df, tables.event_users(spark, sf)))
 
 
-@remember_plan
 def daily_user(spark: SparkSession, sf: str) -> DataFrame:
     return daily.daily_user_tall(counts(spark, sf))
 
 
-@remember_plan
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """The wide user-day table with rolling columns."""
     base = daily.ah_rate_1d(daily_user(spark, sf))
@@ -81,7 +65,6 @@ def detector_features(spark: SparkSession, sf: str) -> DataFrame:
     return staged(features(spark, sf).select(*rules.INPUTS), "features")
 
 
-@remember_plan
 def keys(spark: SparkSession, sf: str) -> DataFrame:
     """Just the active user-days."""
     events = tables.table(spark, sf, "events")
@@ -90,7 +73,6 @@ def keys(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-@remember_plan
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
     return tables.ranges(keys(spark, sf))
 
@@ -144,14 +126,10 @@ def zscores(spark: SparkSession, sf: str, feats: DataFrame | None = None) -> Dat
 
 
 def score_alerts(z: DataFrame) -> DataFrame:
-    """Forecast and supervised alerts of scored windows, both from one pass over them."""
+    """Forecast and supervised alerts of scored windows."""
     ml = F.round(1.0 / (1.0 + F.exp(-(8.0 * F.col("base_score") - 4.4))), 9)
-    found = F.array(
-        F.struct(F.lit("forecast").alias("detector"), F.lit("forecast:s1_exfil_7d").alias("reason"), F.col("forecast").alias("score")),
-        F.struct(F.lit("ml").alias("detector"), F.lit("ml:supervised_s1").alias("reason"), ml.alias("score")),
-    )
-    rows = z.select("user_key", F.col("end_day").alias("day"), F.inline(found))
-    return rows.where(F.col("score") >= 0.5)
+    forecast = supervised.forecast_alerts(z.select("user_key", "end_day", F.col("forecast").alias("score")))
+    return forecast.unionByName(supervised.supervised_alerts(z.select("user_key", "end_day", ml.alias("score"))))
 
 
 def raw_alerts(spark: SparkSession, sf: str) -> DataFrame:

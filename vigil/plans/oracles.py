@@ -365,11 +365,16 @@ oracle("pc_flags", f"SELECT user_key, domain, on_shared AS on_shared_pc, on_unas
 # --- web and text -------------------------------------------------------------------------
 
 cte("pg", """
-SELECT *, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host,
-  regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') AS path FROM pages""")
+SELECT *, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages""")
+cte("logged_urls", """
+SELECT page_id, CASE page_id % 8 WHEN 1 THEN url || '/a|b' WHEN 2 THEN url || '/{x}/"q"' WHEN 3 THEN url || '/a b/c'
+  WHEN 4 THEN replace(url, '://', '://my_host.') WHEN 5 THEN replace(url, '://', '://user:pw@') ELSE url END AS url FROM pages""")
+cte("logged_parts", """
+SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^user:pw@', '') AS host,
+  regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM logged_urls""")
 oracle("url_metrics", f"""
 SELECT page_id, {b('length(url)', 'url_length')}, {b("len([x FOR x IN string_split(path, '/') IF x <> ''])", 'url_depth')},
-  host, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS registrable FROM pg""")
+  host, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS registrable FROM logged_parts""")
 oracle("destination_flags", f"""
 SELECT user_key, wiki AS is_wikileaks, dropbox AS is_dropbox, job AS is_job_site, {b('count(*)', 'n')},
   {b('sum(url_length)', 'url_length')}, {b('sum(url_depth)', 'url_depth')} FROM ev WHERE domain = 'http' GROUP BY ALL""")
@@ -379,10 +384,10 @@ SELECT domain, count(*) AS n FROM (
   FROM (SELECT unnest(regexp_extract_all(url || ' ' || html, 'https?://\S+')) AS u FROM pages)) GROUP BY domain""")
 oracle("top_domains", f"SELECT domain, {b('n')} FROM td ORDER BY td.n DESC, domain LIMIT 50")
 oracle("listed_host_flags", """
-SELECT page_id, regexp_extract(host, '([^.]+[.][^.]+)$', 1) = (SELECT domain FROM td ORDER BY n DESC, domain LIMIT 1) AS is_listed FROM pg""")
+SELECT page_id, regexp_extract(host, '([^.]+[.][^.]+)$', 1) IN (SELECT domain FROM td ORDER BY n DESC, domain LIMIT 50) AS is_listed FROM pg""")
 cte("cv", r"""
 SELECT conv_id, turn, role || '@corp.example' AS from_key,
-  [w FOR w IN regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')[1:6] IF w <> ''] AS ws FROM conversations""")
+  [w FOR w IN regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +') IF w <> ''] AS ws FROM conversations""")
 oracle("recipient_counts", f"SELECT conv_id, turn, {b('len(ws)', 'to_count')} FROM cv")
 oracle("recipient_edges", f"""
 SELECT from_key, w || '@x.example' AS to_key, {b('count(*)', 'n')} FROM (SELECT from_key, unnest(ws) AS w FROM cv) GROUP BY ALL""")
@@ -544,6 +549,7 @@ UNION ALL SELECT user_key, end_day, 4, 'ml', 'ml:supervised_s1', m, NULL, NULL,
 cte("al2", "SELECT *, " + ", ".join(
     f"CASE WHEN detector = 'ml' THEN coalesce(max(score) FILTER (detector = '{d}') OVER (PARTITION BY user_key, day), 0.0) END AS {d}_score"
     for d in ("rules", "anomaly", "ml", "forecast")) + " FROM al")
+oracle("zscore_lookup", f"SELECT user_key, end_day, {r('base_score')}, {r('z_personal')}, {r('z_role')}, {r('z_max')} FROM zx")
 oracle("raw_alert_scores", "SELECT user_key, day, detector, reason, " + ", ".join(
     r(f"al2.{c}", c) for c in ("score", "rules_score", "anomaly_score", "ml_score", "forecast_score")) + " FROM al2")
 cte("cn0", """
@@ -605,6 +611,7 @@ oracle("user_ranking", f"""
 SELECT user_key, {_rank_cols}, coalesce(employee_name, user_key) AS name, coalesce(role_id, '') AS user_role, coalesce(gone, FALSE) AS is_terminated,
   CASE WHEN gone THEN last_seen END AS termination_day FROM us LEFT JOIN {_people} USING (user_key)""")
 oracle("watchlist", f"SELECT user_key, {_rank_cols} FROM us WHERE mf >= 0.75")
+oracle("stream_rollups", f"SELECT user_key, {_rank_cols} FROM usall")
 oracle("top_risk", f"SELECT user_key, {_rank_cols} FROM usall ORDER BY greatest(s1, s2) DESC, greatest(me, mf) DESC, user_key LIMIT 10")
 _capped = "CASE WHEN s2 > s1 THEN CASE WHEN me < 0.3 AND s2 = 3 THEN 1 ELSE s2 END ELSE s1 END"
 oracle("risk_meta", f"""
@@ -752,9 +759,21 @@ def _checks(table: str, source: str, columns: list[str]) -> list[str]:
     return [f"""SELECT '{k}' AS "check", '{table}' AS "table", '{c}' AS "column", {b(x, 'bad')}, {b('count(*)', 'total')} FROM {source}""" for k, c, x in rules]
 
 
+_must = [(f"{d}_daily", c) for d, cols in _DAILY.items() for c in ("user_key", "day", cols.split()[0], "after_hours_rate", "is_active_employee_day")]
+_must += [("email_daily", c) for c in ("n_internal_only", "n_internal_to_external", "n_external_to_internal", "n_external_only")]
+_must += [("daily_user", f"{d}_{c}") for d in _DAILY for c in ("after_hours_rate", "is_active_employee_day")]
 oracle("quality_report", " UNION ALL ".join(
     _checks("daily_user", "wide", [f"{d}_{c}" for d, cols in _DAILY.items() for c in cols.split()])
-    + _checks("email_daily", "d_email", _DAILY["email"].split())))
+    + [q for d, cols in _DAILY.items() for q in _checks(f"{d}_daily", f"d_{d}", cols.split())]
+    + [f"SELECT 'required_column', '{t}', '{c}', CAST(0 AS BIGINT), CAST(1 AS BIGINT)" for t, c in _must]
+    + [f"SELECT 'min_rows', 'event_users', '*', CAST(count(*) < 1000 AS BIGINT), CAST(count(*) AS BIGINT) FROM people"]))
+cte("udk", "SELECT DISTINCT 'u' || user_id AS user_key, CAST(ts AS DATE) AS day FROM events")
+oracle("unique_user_days", "SELECT user_key, day FROM udk")
+oracle("sliced_days", f"SELECT day, {b('count(*)', 'users')} FROM udk WHERE day >= DATE '2024-01-05' AND day < DATE '2024-01-19' GROUP BY day")
+oracle("flagged_days", f"""
+SELECT user_key, {b('count(*)', 'days')}, {b('count(*) FILTER (EXISTS (SELECT 1 FROM rg WHERE rg.user_key = udk.user_key AND udk.day BETWEEN exfil_start AND exfil_end))', 'malicious_days')}
+FROM udk GROUP BY user_key""")
+oracle("shared_pc_preview", f"SELECT pc, {b('m', 'distinct_non_admin_users')}, {r('share', 'top_user_share')}, TRUE AS shared_pc FROM shr JOIN dom USING (pc) ORDER BY m DESC, pc LIMIT 10")
 oracle("quality_profile", f"SELECT {b('count(*)', 'rows')}, {b('count(DISTINCT user_key)', 'users')}, min(day) AS min_day, max(day) AS max_day FROM wide")
 _OC = "o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice"
 _OT = "o_custkey:bigint,o_orderdate:timestamp_ntz,o_orderkey:bigint,o_orderpriority:string,o_orderstatus:string,o_totalprice:double"
@@ -790,3 +809,24 @@ oracle("stream_watch", f"""
 SELECT wo.user_key, start_day, expiry_day, {r('(SELECT max(fs) FROM hits h WHERE h.user_key = wo.user_key AND h.day BETWEEN start_day AND expiry_day)', 'max_score')},
   escalation_day IS NOT NULL AS resolved, escalation_day, {b('escalation_day - start_day', 'lead_time_days')}
 FROM wo WHERE expiry_day + 1 <= (SELECT max(day) FROM cn WHERE escalated OR forecast_score >= 0.75)""", _REOPEN)
+
+# --- model steps --------------------------------------------------------------------------
+
+cte("windows_labelled", """
+SELECT user_key, day AS end_day, is_exfil_day::INT AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY day) AS rn FROM lb) WHERE rn >= 14""")
+oracle("window_labels", f"SELECT user_key, end_day, {b('label')} FROM windows_labelled")
+oracle("weighted_train", f"""
+SELECT {b('label')}, {r("CASE WHEN label = 1 THEN (SELECT count(*) FILTER (label = 0) / count(*) FILTER (label = 1) FROM windows_labelled JOIN sp USING (user_key) WHERE split = 'train') ELSE 1 END", 'weight')},
+  {b('count(*)', 'n')} FROM windows_labelled JOIN sp USING (user_key) WHERE split = 'train' GROUP BY label""")
+_every = [f"{d}_{c}" for d, cols in _DAILY.items() for c in cols.split()]
+_every += "ah_rate_1d ah_rate_trend ah_rate_baseline usb_count_1d usb_count_trend usb_count_baseline ah_novel usb_novel".split()
+_stats = ", ".join(
+    f"{fn}(coalesce({c}, 0)::DOUBLE) OVER w AS {p}_{c}"
+    for p, fn in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")) for c in _every)
+cte("normal_windows", f"""
+SELECT * EXCLUDE (user_key, end_day, n) FROM (SELECT user_key, day AS end_day, count(*) OVER w AS n, {_stats} FROM feat WINDOW w AS {_W14})
+WHERE n = 14 AND user_key NOT IN (SELECT user_key FROM rg) AND user_key IN (SELECT user_key FROM sp WHERE split = 'train')""")
+oracle("feature_selection", f"""
+SELECT feature, {r('avg(v)', 'mean')}, {r('sqrt(var_pop(v))', 'deviation')}
+FROM (UNPIVOT normal_windows ON COLUMNS(*) INTO NAME feature VALUE v) GROUP BY feature HAVING var_pop(v) > 0.01""")

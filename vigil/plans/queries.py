@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -289,10 +290,23 @@ def pc_flags(spark, sf):
 # --- web and text ------------------------------------------------------------------------
 
 
+def _logged_url() -> Column:
+    """Page URLs as proxy logs have them: some with characters that strict parsers refuse."""
+    url, kind = F.col("url"), F.col("page_id") % 8
+    return (
+        F.when(kind == 1, F.concat(url, F.lit("/a|b")))
+        .when(kind == 2, F.concat(url, F.lit("/{x}/\"q\"")))
+        .when(kind == 3, F.concat(url, F.lit("/a b/c")))
+        .when(kind == 4, F.regexp_replace(url, "://", "://my_host."))
+        .when(kind == 5, F.regexp_replace(url, "://", "://user:pw@"))
+        .otherwise(url)
+    )
+
+
 @query
 def url_metrics(spark, sf):
     url = F.col("url")
-    return tables.table(spark, sf, "pages").select(
+    return tables.table(spark, sf, "pages").select("page_id", _logged_url().alias("url")).select(
         "page_id",
         web.url_length(url).alias("url_length"),
         web.url_depth(url).alias("url_depth"),
@@ -322,18 +336,18 @@ def top_domains(spark, sf):
 
 @query
 def listed_host_flags(spark, sf):
-    """Pages whose own host is the most frequent one."""
+    """Pages whose own host is among the fifty most frequent ones."""
     pages = tables.table(spark, sf, "pages")
-    hosts = enrich.top_domains(_page_texts(spark, sf), 1)
+    hosts = enrich.top_domains(_page_texts(spark, sf), 50)
     flagged = enrich.flag_listed_hosts(pages.select("page_id", "url"), hosts, "is_listed")
     return flagged.select("page_id", "is_listed")
 
 
 def _mail(spark, sf):
-    """Mails made of conversation turns: the words of the turn stand for recipients."""
+    """Mails made of conversation turns: all words of the turn stand for recipients."""
     turns = tables.table(spark, sf, "conversations")
     words = F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z ]", "")), " +")
-    picked = F.filter(F.slice(words, 1, 6), lambda w: w != "")
+    picked = F.filter(words, lambda w: w != "")
     to = F.concat_ws(";", F.transform(picked, lambda w: F.concat(w, F.lit("@x.example"))))
     return turns.select(
         "conv_id",
@@ -518,6 +532,13 @@ def zmax(spark, sf):
     return frames.zscores(spark, sf).select("user_key", "end_day", *baselines.Z_COLUMNS, "z_max")
 
 
+@query
+def zscore_lookup(spark, sf):
+    """Windows with their z-scores looked up by user and day."""
+    z = frames.staged(frames.zscores(spark, sf), "zscores")
+    return baselines.attach_z(z.select("user_key", "end_day", "base_score"), z)
+
+
 @query
 def zboost(spark, sf):
     df = anomaly.z_boost(frames.zscores(spark, sf))
@@ -526,7 +547,7 @@ def zboost(spark, sf):
 
 @query
 def score_distribution(spark, sf):
-    return scores.score_distribution(frames.window_scores(spark, sf))
+    return scores.score_distribution(frames.staged(frames.window_scores(spark, sf), "window-scores"))
 
 
 @query
@@ -721,7 +742,9 @@ def monthly_counts(spark, sf):
 
 @query
 def score_boost_stats(spark, sf):
-    return evaluation.score_boost_stats(frames.raw_alerts(spark, sf))
+    """Of the anomaly alerts alone: what the other detectors say is not asked for."""
+    alerts = alert_ops.union_alerts(anomaly.anomaly_alerts(frames.zscores(spark, sf)))
+    return evaluation.score_boost_stats(frames.staged(alerts, "anomaly-alerts"))
 
 
 @query
@@ -793,9 +816,42 @@ def lead_time_stats(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    wide = frames.daily_user(spark, sf)
-    counts = frames.counts(spark, sf, "email")
-    return quality.quality_report({"daily_user": wide, "email_daily": daily.domain_daily(counts, "email")})
+    """Value checks of all five daily tables and their union, their columns, and a lookup's size."""
+    counts = frames.staged(frames.counts(spark, sf), "counts")
+    wide = daily.daily_user_tall(counts)
+    dailies = {f"{d}_daily": daily.domain_daily(counts, d) for d in DOMAINS}
+    found = quality.quality_report({"daily_user": wide, **dailies})
+    for name, df in dailies.items():
+        found = found.unionByName(quality.check_columns(spark, df, name, quality.REQUIRED[name]))
+    found = found.unionByName(quality.check_prefixes(spark, wide, "daily_user", DOMAINS))
+    return found.unionByName(quality.check_min_rows(tables.event_users(spark, sf), "event_users"))
+
+
+@query
+def unique_user_days(spark, sf):
+    """User-days after the assertion that none repeats."""
+    return enrich.expect_unique(frames.keys(spark, sf), ["user_key", "day"]).select("user_key", "day")
+
+
+@query
+def sliced_days(spark, sf):
+    """Users per day of a half-open slice of days."""
+    days = enrich.day_slice(frames.keys(spark, sf), dt.date(2024, 1, 5), dt.date(2024, 1, 19))
+    return days.groupBy("day").agg(F.count(F.lit(1)).alias("users"))
+
+
+@query
+def flagged_days(spark, sf):
+    """User-days with the malicious flag attached where there is one."""
+    flags = frames.truth(spark, sf).withColumn("malicious", F.lit(1))
+    days = labels.attach_flags(frames.keys(spark, sf), flags)
+    return days.groupBy("user_key").agg(F.count(F.lit(1)).alias("days"), F.count("malicious").alias("malicious_days"))
+
+
+@query
+def shared_pc_preview(spark, sf):
+    chosen = machines.shared_pcs(frames.non_admin_logons(spark, sf), **frames.SHARED)
+    return machines.preview(chosen, [F.desc("distinct_non_admin_users"), "pc"], 10)
 
 
 @query

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,11 +33,14 @@ def local_session(name: str = "vigil", cpus: str | int = 8, memory: str = "16g")
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where `spark.checkpoint.dir` is unset (tests, a laptop) a temporary
-    folder of this machine is chosen and recorded in the session.
+    Only where `spark.checkpoint.dir` is unset and all executors are in this process (tests, a
+    laptop) a temporary folder of this machine is chosen and recorded in the session; on a
+    cluster the setting is required, as a local folder would be another one on each machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vigil-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -45,3 +49,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once to the cluster's shared folder and read back.
+
+    For tables several branches of a query use: user-days and window scores are small next
+    to the events, and a lost executor costs no recomputation from the events.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
