@@ -12,15 +12,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import bitmap
 from vigil.llm.components import components
 from vigil.llm.store import staged
-from vigil.llm.words import Words, mix, signed, split_words, windows
+from vigil.llm.words import CHUNK, Words, mix, signed, split_words, windows
 
 _U = np.uint64
+#: Turns in which sets of a part are tested against a leader.
+STARS = 3
+#: Sets of a block, on average, where sets of a part are tested against each other.
+TILE = 256
+#: Parts of a band for each shingle in which its largest sets can differ.
+SPARE = 1.22
+#: Shingles that a part needs at most to be keyed.
+FULLEST = 4
 _SKETCH = "id {id}, n int, set_key long, sketch binary, part_keys array<long>"
 
 
@@ -61,60 +70,62 @@ def set_keys(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    return np.frexp(n.astype(np.float64))[1] - 1
+    """Band of a size; bands grow by the root of two."""
+    return np.floor(2 * np.log2(np.maximum(n, 1)) + 1e-9).astype(np.int64)
 
 
 def part_keys(row: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) under which similar sets are sure to meet; each row's keys in a fixed order.
-
-    Sizes fall into bands by powers of two, and a pair meets in the band of the larger set: a
-    set is keyed in its own band and in the next one if a similar set could lie there. A band
-    has a fixed number of parts. The sets of a pair differ in at most `bound` shingles, so of
-    the first parts of the smaller list, cut behind its `bound + 1`-th part that holds any
-    shingle, one that holds some is the same in both; no set needs keys for empty parts, but
-    for those that have too few others, which get all of them.
+    """(row, key) under which similar sets are sure to meet.
+
+    A pair meets in the band of the larger set: a set is keyed in its own band and in those
+    above where a similar set could lie. A band has a fixed number of parts, more than the
+    `bound` of shingles in which a pair can differ, so some part is the same in both.
+
+    Parts with few shingles are those that strangers share, so a set leaves them out as far as
+    it can: it is keyed by its parts of at least k shingles, with the largest k (`FULLEST` at
+    most) for which these are more than `bound`. Of two similar sets, take the one with the
+    larger k: one of its keyed parts is the same in the other, which has the smaller k and so
+    is keyed by it too.
     """
     largest = 100 * n // percent
     bound = (n + largest) * (100 - percent) // (100 + percent)
-    slope = (1 + 100 / percent) * (100 - percent) / (100 + percent) * 1.08
+    slope = (1 + 100 / percent) * (100 - percent) / (100 + percent) * SPARE
     flips = mix(value, 9)
-    out_row, out_key = [], []
-    levels = _level(np.maximum(n, 1)), _level(np.maximum(largest, 1))
-    for later, level in enumerate(levels):
-        active = bound > 0
-        if later:
-            active = active & (level != levels[0])
+    out_row, out_key = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    low, high = _level(n), _level(largest)
+    for step in range(int((high - low).max(initial=0)) + 1):
+        level = low + step
+        active = (bound > 0) & (level <= high)
         take = active[row]
         if not take.any():
             continue
-        r, v, f = row[take], value[take], flips[take]
-        parts = np.ceil((2.0 ** (level + 1) - 1) * slope).astype(np.uint64) + _U(3)
+        r, v = row[take], value[take]
+        parts = np.ceil(np.ceil(2.0 ** ((level + 1) / 2)) * slope).astype(np.uint64) + _U(1)
         part = ((v >> _U(32)) * parts[r]) >> _U(32)
         begin = np.ones(len(r), dtype=bool)
         begin[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
         begin = np.flatnonzero(begin)
-        run_row, run_part = r[begin], part[begin]
-        parity = np.bitwise_xor.reduceat(f, begin)
-        runs = np.bincount(run_row, minlength=len(n))
-        rank = np.arange(len(begin)) - (np.cumsum(runs) - runs)[run_row]
-        keep = rank <= bound[run_row]
-        place = mix((level.astype(np.uint64)[run_row] << _U(32)) | run_part, 11)
+        run_row, run_part, held = r[begin], part[begin], np.diff(np.append(begin, len(r)))
+        parity = np.bitwise_xor.reduceat(flips[take], begin)
+        least = np.zeros(len(n), dtype=np.int64)
+        for k in range(1, FULLEST + 1):
+            least[np.bincount(run_row[held >= k], minlength=len(n)) > bound] = k
+        keep = held >= least[run_row]
+        band = level.astype(np.uint64) << _U(32)
         out_row.append(run_row[keep])
-        out_key.append(mix(parity[keep] ^ place[keep], 12))
-        for i in np.flatnonzero(active & (runs <= bound) & (runs > 0)):
+        out_key.append(mix(parity[keep] ^ mix(band[run_row[keep]] | run_part[keep], 11), 12))
+        for i in np.flatnonzero(active & (least == 0) & (n > 0)):
             empty = np.setdiff1d(np.arange(int(parts[i]), dtype=np.uint64), run_part[run_row == i])
             out_row.append(np.full(len(empty), i))
-            out_key.append(mix(mix((_U(level[i]) << _U(32)) | empty, 11), 12))
-    if not out_row:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+            out_key.append(mix(mix(band[i] | empty, 11), 12))
     out_row, out_key = np.concatenate(out_row), np.concatenate(out_key)
     order = np.argsort(out_row, kind="stable")
     return out_row[order], out_key[order]
 
 
 def parity_bits(row: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, bounds) of each row's sketch: 2 ** k bits, at least as many as its largest match has shingles."""
-    bits = np.left_shift(1, np.maximum(3, _level(np.maximum(100 * n // percent, 1)) + 1))
+    """(bytes, bounds) of each row's sketch: 2 ** k bits, four for each shingle of its largest match or more."""
+    bits = np.left_shift(1, np.maximum(3, np.frexp((100 * n // percent).astype(np.float64))[1] + 2))
     bits[n == 0] = 0
     bounds = np.concatenate([[0], np.cumsum(bits)])
     at = bounds[row] + (mix(value, 13) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
@@ -155,16 +166,18 @@ def sketch_contents(mails: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _members(bits):
-    """(part_key, set_key) of the keys that the bitmap lets through; copies in a batch count once."""
+    """(part_key, set_key, n) of the keys that the bitmap lets through; copies in a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, rows = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
             lists = batch.column(1).take(pa.array(rows))
             keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(sets, np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
+            owner = np.repeat(np.arange(len(sets)), np.diff(lists.offsets.to_numpy(zero_copy_only=False)))
             keep = bitmap.may_contain(bits.value, keys)
-            yield pa.record_batch([pa.array(keys[keep], pa.int64()), pa.array(owner[keep], pa.int64())], names=["part_key", "set_key"])
+            owner = owner[keep]
+            n = batch.column(2).take(pa.array(rows)).take(pa.array(owner))
+            yield pa.record_batch([pa.array(keys[keep], pa.int64()), pa.array(sets[owner]), n], names=["part_key", "set_key", "n"])
 
     return run
 
@@ -191,21 +204,108 @@ def _near_enough(percent: int):
     return run
 
 
-def _sets(texts: pa.Array, size: int, limit: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words = next(split_words(texts, fold=True, limit=limit))
+def _close(batch: pa.RecordBatch, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of one tile, the rows of pairs (left, right) that are in different groups and whose sketches may be similar."""
+    left = batch["left"].to_numpy(zero_copy_only=False)
+    group, n = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "n"))
+    sketches = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in batch["sketch"]]
+    size = min(len(x) for x in sketches)
+    bits = np.stack([_fold(x, size) for x in sketches])
+    if size >= 8:
+        bits = bits.view(np.uint64)
+    right = np.flatnonzero(~left)
+    ones, twos = [], []
+    for i in np.flatnonzero(left):
+        at = right[(group[right] != group[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
+        if len(at):
+            bound = (n[at] + n[i]) * (100 - percent) // (100 + percent)
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= bound]
+            ones.append(np.full(len(at), i))
+            twos.append(at)
+    return ones, twos
+
+
+def _close_pairs(percent: int):
+    """Pairs (a, b) of tiles, whose rows follow each other; the last tile of a batch may go on in the next."""
+
+    def tiles(rows: pa.RecordBatch) -> list[int]:
+        key = np.stack([rows[c].to_numpy(zero_copy_only=False) for c in ("part_key", "u", "w")])
+        bounds = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
+        return bounds.tolist()
+
+    def tested(rows: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+        ones, twos = [], []
+        for begin, end in zip(bounds, bounds[1:]):
+            one, two = _close(rows.slice(begin, end - begin), percent)
+            ones += [begin + i for i in one]
+            twos += [begin + i for i in two]
+        keys, none = rows["set_key"].to_numpy(zero_copy_only=False), np.zeros(0, dtype=np.int64)
+        return pa.record_batch([pa.array(keys[np.concatenate([none, *x])]) for x in (ones, twos)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            bounds = tiles(batch)
+            yield tested(batch, bounds[:-1])
+            rest = batch.slice(bounds[-2])
+        if rest is not None:
+            yield tested(rest, [0, rest.num_rows])
+
+    return run
+
+
+def _cross(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different groups that agree in a part, as far as their sketches are close.
+
+    Only sets outside of a part's main group have to meet the others. Both are dealt into blocks
+    of about `TILE`, and a tile is a block of either, so no task gets a whole part, and pairs
+    are not rows: a tile gives those that its sketches let pass.
+    """
+    counts = met.groupBy("part_key", "group").count().groupBy("part_key").agg(
+        F.max_by("group", "count").alias("main"), F.sum("count").alias("rows"), F.max("count").alias("most")
+    )
+    counts = staged(counts, "similar-counts")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    rows = met.select("part_key", "set_key", "group", "n").join(counts, "part_key")
+    rows = rows.withColumn("us", blocks(F.col("rows") - F.col("most"))).withColumn("ws", blocks(F.col("rows")))
+    rows = rows.join(sets.select("set_key", "sketch"), "set_key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("set_key", F.lit(salt)), F.col(n)).cast("int")
+    kept = ("part_key", "set_key", "group", "n", "sketch")
+    right = rows.select(*kept, F.lit(False).alias("left"), every("us").alias("u"), dealt("ws", 2).alias("w"))
+    left = rows.where("group <> main").select(*kept, F.lit(True).alias("left"), dealt("us", 1).alias("u"), every("ws").alias("w"))
+    tiles = left.unionByName(right).repartition("part_key", "u", "w").sortWithinPartitions("part_key", "u", "w")
+    return tiles.mapInArrow(_close_pairs(percent), "a long, b long")
+
+
+def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words = next(split_words(texts, fold=True, limit=1 << 62))
     row, value = shingles(words, size)
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=words.rows))])
     return row, value, signed(set_keys(value, first))
 
 
+def _slices(batch: pa.RecordBatch, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose two contents have about `limit` bytes together."""
+    total = np.cumsum(sum(pc.binary_length(batch[c]).to_numpy(zero_copy_only=False) for c in ("a_content", "b_content")))
+    begin = 0
+    while begin < batch.num_rows:
+        base = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, base + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _verified(size: int, percent: int):
     """Keeps pairs whose shingles are similar enough, counted from the whole contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for begin in range(0, batch.num_rows, 64):
-                part = batch.slice(begin, 64)
+            for part in _slices(batch):
                 row1, one, key1 = _sets(part["a_content"], size)
                 row2, two, key2 = _sets(part["b_content"], size)
                 row, value = np.concatenate([row1, row2]), np.concatenate([one, two])
@@ -215,9 +315,8 @@ def _verified(size: int, percent: int):
                 shared = np.bincount(row[1:][same], minlength=part.num_rows)
                 union = np.bincount(row, minlength=part.num_rows) - shared
                 held = (key1 == part["a"].to_numpy(zero_copy_only=False)) & (key2 == part["b"].to_numpy(zero_copy_only=False))
-                keep[begin : begin + 64] = held & (100 * shared >= percent * union)
-            chosen = pa.array(np.flatnonzero(keep))
-            yield pa.record_batch([batch["a"].take(chosen), batch["b"].take(chosen)], names=["a", "b"])
+                chosen = pa.array(np.flatnonzero(held & (100 * shared >= percent * union)))
+                yield pa.record_batch([part["a"].take(chosen), part["b"].take(chosen)], names=["a", "b"])
 
     return run
 
@@ -260,39 +359,46 @@ def link_similar(mails: DataFrame, size: int = 4, percent: int = 85) -> DataFram
     all are; other columns are ignored; no rows give no rows.
 
     Equal sets are one node. Within the sets that agree in a part, each is first tested against
-    one leader, which ties groups of near copies together in as many tests as there are
-    members; only sets of such a part that are then still in different components are tested
-    against each other, so no link that matters is lost and no group becomes all its pairs.
+    one leader, in a few turns with other leaders, which ties groups of near copies together in
+    as many tests as there are members; only sets of such a part that are then still in
+    different components are tested against each other, so no link that matters is lost and no
+    group becomes all its pairs.
     """
     mails = mails.select("id", "content")
     sketched = staged(sketch_contents(mails, size, percent), "similar-sketches")
     held = sketched.where(F.col("set_key").isNotNull())
     keyed = held.select("set_key", F.explode("part_keys").alias("part_key"))
     shared = keyed.groupBy("part_key").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"))
-    shared = staged(shared.where("low <> high"), "similar-parts")
+    shared = staged(shared.where("low <> high").select("part_key", "low"), "similar-parts")
     bits = bitmap.build(shared.select("part_key"), shared.count())
-    met = held.select("set_key", "part_keys").mapInArrow(_members(bits), "part_key long, set_key long")
+    met = held.select("set_key", "part_keys", "n").mapInArrow(_members(bits), "part_key long, set_key long, n int")
     met = staged(met.join(shared, "part_key").distinct(), "similar-members")
     wanted = staged(met.select("set_key").distinct(), "similar-wanted")
     sets = held.select("set_key", "id", "n", "sketch").join(wanted, "set_key").groupBy("set_key")
     sets = staged(sets.agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "similar-sets")
     links, groups = None, None
-    for leader in ("low", "high", None):
-        if leader:
-            pairs = met.where(F.col("set_key") != F.col(leader)).select(F.col("set_key").alias("a"), F.col(leader).alias("b"))
+    for turn in range(STARS + 1):
+        if turn == 0:
+            pairs = met.where("set_key <> low").select(F.col("set_key").alias("a"), F.col("low").alias("b"))
+        elif turn < STARS:
+            pairs = met.where("group <> leader.group").select(F.col("set_key").alias("a"), F.col("leader.set_key").alias("b"))
         else:
-            other = met.select("part_key", F.col("set_key").alias("b"), F.col("group").alias("b_group"))
-            pairs = met.withColumnRenamed("set_key", "a").join(other, "part_key").where(F.col("group") < F.col("b_group"))
-            pairs = pairs.select("a", "b")
+            pairs = _cross(met, sets, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = _tested(staged(pairs, "similar-candidates"), sets, mails, size, percent)
         links = found if links is None else links.union(found)
         groups = staged(components(links), "similar-groups").select(F.col("node").alias("set_key"), F.col("component").alias("group"))
-        grouped = met.drop("group").join(groups, "set_key", "left").withColumn("group", F.coalesce("group", "set_key"))
+        if turn == STARS:
+            break
+        grouped = met.drop("group", "leader").join(groups, "set_key", "left").withColumn("group", F.coalesce("group", "set_key"))
         grouped = staged(grouped, "similar-grouped")
         # Parts whose sets all are in one component need no more tests.
-        apart = grouped.groupBy("part_key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
-        met = staged(grouped.join(staged(apart.select("part_key"), "similar-apart"), "part_key"), "similar-apart-members")
+        drawn = F.xxhash64("set_key", "part_key", F.lit(turn))
+        apart = grouped.groupBy("part_key").agg(
+            F.min("group").alias("x"), F.max("group").alias("y"), F.min_by(F.struct("set_key", "group"), drawn).alias("leader")
+        )
+        apart = staged(apart.where("x <> y").select("part_key", "leader"), "similar-apart")
+        met = staged(grouped.join(apart, "part_key"), "similar-apart-members")
         if met.isEmpty():
             break
     own = held.groupBy("set_key").agg(F.min("id").alias("own"))
