@@ -189,7 +189,7 @@ def join_bounds(events: DataFrame, bounds: DataFrame) -> DataFrame:
 def flag_shared_pc(events: DataFrame, shared_pcs: DataFrame) -> DataFrame:
     """`on_shared_pc`; the list holds at most the 120 or so machines `choose_shared` lets pass."""
     listed = shared_pcs.select("pc").withColumn("__shared", F.lit(True))
-    joined = events.join(F.broadcast(listed), "pc", "left")
+    joined = events.join(listed, "pc", "left")
     return joined.withColumn("on_shared_pc", F.coalesce("__shared", F.lit(False))).drop("__shared")
 
 
@@ -218,14 +218,20 @@ def enrich_events(
     shared_pcs: DataFrame | None = None,
     assigned_pc: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole chain from clean events to the columns of the full profile."""
-    df = flag_active(join_bounds(join_directory(events, directory), bounds))
+    """The whole chain from clean events to the columns of the full profile.
+
+    What belongs to the user (bounds and own machine) is one table, so events are joined once
+    by month and once by user. Two joins in a row on the user would keep AQE from splitting
+    a user with very many events.
+    """
+    users = bounds.select("user_key", "first_seen", "last_seen")
+    if assigned_pc is not None:
+        users = users.join(assigned_pc.select("user_key", "assigned_pc"), "user_key", "full")
+    df = flag_active(join_directory(events, directory).join(users, "user_key", "left"))
     df = df.withColumn("is_admin", text.is_admin(F.col("role")))
-    if shared_pcs is not None:
-        df = flag_shared_pc(df, shared_pcs)
     if assigned_pc is not None:
-        df = flag_unassigned_pc(df, assigned_pc)
-    return df
+        df = df.withColumn("on_unassigned_pc", F.coalesce(F.col("pc") != F.col("assigned_pc"), F.lit(False)))
+    return df if shared_pcs is None else flag_shared_pc(df, shared_pcs)
 
 
 def project(df: DataFrame, domain: str, profile: str) -> DataFrame:

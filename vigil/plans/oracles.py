@@ -830,3 +830,13 @@ WHERE n = 14 AND user_key NOT IN (SELECT user_key FROM rg) AND user_key IN (SELE
 oracle("feature_selection", f"""
 SELECT feature, {r('avg(v)', 'mean')}, {r('sqrt(var_pop(v))', 'deviation')}
 FROM (UNPIVOT normal_windows ON COLUMNS(*) INTO NAME feature VALUE v) GROUP BY feature HAVING var_pop(v) > 0.01""")
+
+# --- files --------------------------------------------------------------------------------
+
+oracle("csv_events_roundtrip", f"""
+SELECT user_key, CASE WHEN event_id % 2 = 0 THEN 'logon' ELSE 'logoff' END AS activity, ah AS after_hours, {b('count(*)', 'n')},
+  {b('count(DISTINCT pc)', 'machines')} FROM ev WHERE domain = 'logon' GROUP BY ALL""")
+oracle("profiles_roundtrip", f"SELECT user_key, day, {b('count(*)', 'n')} FROM ev WHERE domain = 'logon' GROUP BY ALL")
+ORACLES["alerts_json_roundtrip"] = ORACLES["raw_alert_scores"]
+oracle("daily_scan", f"SELECT user_key, day, {b('http_n_http')} FROM wide WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
+oracle("truth_flags", "SELECT p_partkey, p_partkey % 8 < 4 AS flag FROM part")
