@@ -43,7 +43,7 @@ VALUE_MEASURES = {
     "sum_url_depth": "url_depth",
     "sum_attachments": "attachment_count",
 }
-ADDITIVE = ("n_events", *ACTIVITY_MEASURES, *FLAG_MEASURES, *VALUE_MEASURES)
+ADDITIVE = ("n_events", "n_business_hours", *ACTIVITY_MEASURES, *FLAG_MEASURES, *VALUE_MEASURES)
 GROUP_FLAGS = ("on_shared_pc", "on_unassigned_pc", "user_is_active_employee")
 
 
@@ -64,6 +64,7 @@ def pc_day_counts(events: DataFrame) -> DataFrame:
         aggs.append(total("activity", hit).alias(name))
     for name, flag in FLAG_MEASURES.items():
         aggs.append(total(flag, bool_int(F.col(flag))).alias(name))
+    aggs.append(total("timestamp", times.business_hours(F.col("timestamp")).cast("int")).alias("n_business_hours"))
     for name, value in VALUE_MEASURES.items():
         aggs.append(total(value, F.coalesce(F.col(value), F.lit(0))).alias(name))
     keys = ["user_key", "day", "domain", "pc", *[c for c in GROUP_FLAGS if c in have]]

@@ -68,11 +68,15 @@ def assigned_pc(
 ) -> DataFrame:
     """The machine with most business-hour days per user, NULL where it is not stable.
 
+    `logon` are logon events, or their `pc_day_counts` with `n_business_hours`.
     `user_days` is the sum over machines, as a day on two machines counts for both.
     """
-    usual = logon.where(F.col("pc").isNotNull() & times.business_hours(F.col("timestamp")))
+    counted = "n_business_hours" in logon.columns
+    working = F.col("n_business_hours") > 0 if counted else times.business_hours(F.col("timestamp"))
+    usual = logon.where(F.col("pc").isNotNull() & working)
     own = usual.join(shared.select("pc"), "pc", "left_anti")
-    days = own.select("user_key", "pc", times.day(F.col("timestamp")).alias("day")).distinct()
+    day = F.col("day") if counted else times.day(F.col("timestamp")).alias("day")
+    days = own.select("user_key", "pc", day).distinct()
     per_pc = days.groupBy("user_key", "pc").agg(F.count("day").alias("days_on_pc"))
     best = per_pc.groupBy("user_key").agg(
         F.min(F.struct((-F.col("days_on_pc")).alias("neg"), F.col("pc").alias("pc"))).alias("best"),

@@ -1,9 +1,9 @@
 """Running totals and exact quantiles over all rows, without one task seeing all of them.
 
 A window without partition keys would pull every row into one task. Here rows are first
-counted per distinct value (ties, however many, become one row), values are put into ranges
-of about equal size, and each range adds its own running total to the total of the ranges
-before it. Only the range bounds and one total per range are ever in one place.
+counted per distinct value (ties, however many, become one row), dealt into as many ranges as
+their number asks for, and each range adds its own running total to the total of the ranges
+before it. Only one total per range is ever in one place.
 """
 
 from __future__ import annotations
@@ -17,38 +17,32 @@ from pyspark.sql.window import Window
 
 from vigil.session import staged
 
-RANGES = 128
-
 
 def running_totals(
     df: DataFrame,
     value: str,
     measures: dict[str, Column],
     descending: bool = False,
-    ranges: int = RANGES,
 ) -> DataFrame:
     """One row per distinct `value`: each measure, and `cum_<measure>` up to and with it.
 
-    `measures` are aggregates over the rows of a value, such as counts.
+    `measures` are aggregates over the rows of a value, such as counts. The ranges are the
+    partitions of a range shuffle, whose number follows the data; they are staged with their
+    number, so both uses see the same ranges.
     """
     per_value = df.where(F.col(value).isNotNull()).groupBy(value).agg(
         *[m.alias(n) for n, m in measures.items()]
     )
-    probs = [i / ranges for i in range(1, ranges)]
-    per_value = staged(per_value, "values")
-    cuts = per_value.agg(F.percentile_approx(value, probs, F.lit(20 * ranges))).scalar()
-    # Position of the value among the sorted cuts: the number of cuts below it.
-    slot = F.array_position(F.sort_array(F.array_append(cuts, F.col(value))), F.col(value))
-    placed = per_value.withColumn("__slot", -slot if descending else slot)
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    placed = staged(per_value.repartitionByRange(order).withColumn("__slot", F.spark_partition_id()), "values")
     totals = placed.groupBy("__slot").agg(*[F.sum(n).alias(f"__sum_{n}") for n in measures])
     before = Window.partitionBy(F.lit(1)).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "__slot",
         *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in measures],
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy("__slot").orderBy(order)
-    joined = placed.join(F.broadcast(offsets), "__slot")  # at most `ranges` rows
+    joined = placed.join(offsets, "__slot")
     return joined.select(
         value,
         *measures,

@@ -183,11 +183,11 @@ def risk_meta(alerts: DataFrame, people: DataFrame | None = None, as_of=None) ->
 NOTE = "struct<day: date, kind: string, message: string>"
 
 
-def analyst_notes(alerts: DataFrame, as_of=None) -> DataFrame:
-    """(user_key, notes): first occurrences, rule events and a summary, in day order.
+def note_rows(alerts: DataFrame, as_of=None) -> DataFrame:
+    """(user_key, day, kind, message): first occurrences, rule events and a summary.
 
-    Rule events of overlapping weeks repeat in the alerts, so they are made distinct per
-    (user, day, kind) before a user's notes are put together.
+    Rule events of overlapping weeks repeat in the alerts and are made distinct per (user,
+    day, kind). The texts are fixed values.
     """
     seen = visible(alerts, as_of)
     day = F.col("day")
@@ -266,13 +266,14 @@ def analyst_notes(alerts: DataFrame, as_of=None) -> DataFrame:
         .groupBy("user_key", "day", "kind")
         .agg(F.min("message").alias("message"))
         .withColumn("kind", F.concat(F.lit("rule_"), F.col("kind")))
-        .groupBy("user_key")
-        .agg(F.collect_list(F.struct("day", "kind", "message").cast(NOTE)).alias("events"))
     )
-    joined = users.join(events, "user_key", "left")
-    empty = F.array().cast(f"array<{NOTE}>")
-    notes = F.array_sort(F.concat(F.array_compact(own), F.coalesce("events", empty)))
-    return joined.select("user_key", notes.alias("notes"))
+    return users.select("user_key", F.inline(F.array_compact(own))).unionByName(events)
+
+
+def analyst_notes(alerts: DataFrame, as_of=None) -> DataFrame:
+    """(user_key, notes): the note rows of each user as one array in day order, for callers that want it."""
+    note = F.struct("day", "kind", "message").cast(NOTE)
+    return note_rows(alerts, as_of).groupBy("user_key").agg(F.array_sort(F.collect_list(note)).alias("notes"))
 
 
 # --- per day ----------------------------------------------------------------------------

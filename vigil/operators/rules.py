@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.operators.rolling import last_days, last_rows
 from vigil.schemas import (
@@ -229,8 +230,11 @@ def with_timeline(measures: DataFrame, params: RuleParams = RuleParams()) -> Dat
 
 def rule_alerts(daily: DataFrame, params: RuleParams = RuleParams()) -> DataFrame:
     """At most one alert per user-day, the gravest case that holds."""
-    df = with_timeline(chain_rule(rule_measures(daily, params), params), params)
-    fired = df.withColumn("__case", rule_case()).where(F.col("__case").isNotNull())
+    judged = chain_rule(rule_measures(daily, params), params).withColumn("__case", rule_case())
+    # Messages are made only for weeks that end in a fired day.
+    ahead = Window.partitionBy("user_key").orderBy(F.unix_date("day")).rangeBetween(0, params.days - 1)
+    judged = judged.withColumn("__near", F.max("__case").over(ahead)).where(F.col("__near").isNotNull())
+    fired = with_timeline(judged.drop("__near"), params).where(F.col("__case").isNotNull())
     case = F.col("__case")
     built = fired.withColumn("evidence", rule_evidence(params))
     return built.select(

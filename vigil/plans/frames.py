@@ -38,15 +38,21 @@ def assigned(spark: SparkSession, sf: str) -> DataFrame:
 def counts(spark: SparkSession, sf: str, domain: str | None = None) -> DataFrame:
     """Additive measures per (user, day, domain, machine) with the context flags.
 
-    Context is joined after this first aggregation, so the raw events are shuffled once, and
-    only as partial sums.
+    Context is joined after this first aggregation, so the raw events are read and shuffled
+    once, and only as partial sums: which machines are shared and whose they are is told from
+    the same sums.
     """
-    shared = shared_list(spark, sf)
-    df = daily.pc_day_counts(tables.activity(spark, sf, domain))
-    df = df.withColumn("event_month", times.month_start(F.col("day")))
+    wanted = None if domain is None else sorted({domain, "logon"})
+    base = daily.pc_day_counts(tables.activity(spark, sf, wanted))
+    base = staged(base.withColumn("event_month", times.month_start(F.col("day"))), "pc-days")
+    logon = base.where(F.col("domain") == "logon")
+    people = tables.event_users(spark, sf)
+    shared = machines.choose_shared(machines.pc_sharedness(enrich.exclude_admins(logon, people)), **SHARED)
+    shared = staged(shared, "shared-pcs")
+    df = base if domain is None else base.where(F.col("domain") == domain)
     df = enrich.flag_shared_pc(df, shared)
-    df = enrich.flag_unassigned_pc(df, machines.assigned_pc(tables.logons(spark, sf), shared))
-    return enrich.flag_active(enrich.join_bounds(df, tables.event_users(spark, sf)))
+    df = enrich.flag_unassigned_pc(df, machines.assigned_pc(logon, shared))
+    return enrich.flag_active(enrich.join_bounds(df, people))
 
 
 def daily_user(spark: SparkSession, sf: str) -> DataFrame:

@@ -671,8 +671,7 @@ def risk_meta(spark, sf):
 
 @query
 def analyst_notes(spark, sf):
-    df = reports.analyst_notes(frames.canonical(spark, sf))
-    return df.select("user_key", F.inline("notes"))
+    return reports.note_rows(frames.canonical(spark, sf))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,14 +77,15 @@ def event_columns(events: DataFrame) -> DataFrame:
     )
 
 
-def activity(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
-    """All five domains in one table with every row-level flag, or one of the domains.
+def activity(spark: SparkSession, sf_dir: str, domain: str | Sequence[str] | None = None) -> DataFrame:
+    """All five domains in one table with every row-level flag, or one or some of the domains.
 
-    A single domain is filtered by its event type, which the parquet scan can use.
+    Domains are filtered by their event types, which the parquet scan can use.
     """
     events = table(spark, sf_dir, "events")
     if domain is not None:
-        kinds = [t for t, d in DOMAIN_OF_TYPE.items() if d == domain]
+        wanted = [domain] if isinstance(domain, str) else list(domain)
+        kinds = [t for t, d in DOMAIN_OF_TYPE.items() if d in wanted]
         events = events.where(F.col("event_type").isin(kinds))
     return with_flags(event_columns(events))
 
