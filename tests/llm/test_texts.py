@@ -162,7 +162,7 @@ def test_leaks(spark):
     halves = [cases[2][1].split(" ")[20:], cases[2][1].split(" ")[:20]]
     texts = [prose(rng, 50), prose(rng, 10) + "! " + cases[0][1].upper() + ", " + prose(rng, 10),
              " ".join(halves[0]) + " in between " + " ".join(halves[1]), cases[3][1][: len(cases[3][1]) // 3],
-             None, "", (cases[1][1] + " ") * 20, " ".join(t for _, t in cases if t), prose(rng, 20_000) + cases[1][1]]
+             None, "", (cases[1][1] + " ") * 20, " ".join(t for _, t in cases if t), prose(rng, 20_000) + " " + cases[1][1]]
     rows = list(enumerate(texts)) + [(0, texts[2])]
     details = spark.createDataFrame([(k, t, "5.2") for k, t in cases], "scenario int, details string, dataset string")
     found = got(leaks.leaked_cases(table(spark, rows), details), "id", "scenario", "n_covered")
