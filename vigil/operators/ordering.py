@@ -23,18 +23,20 @@ def running_totals(
     value: str,
     measures: dict[str, Column],
     descending: bool = False,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per distinct `value`: each measure, and `cum_<measure>` up to and with it.
 
     `measures` are aggregates over the rows of a value, such as counts. The ranges are the
-    partitions of a range shuffle, whose number follows the data; they are staged with their
-    number, so both uses see the same ranges.
+    partitions of a range shuffle, whose number follows the data where `ranges` is not given;
+    they are staged with their number, so both uses see the same ranges.
     """
     per_value = df.where(F.col(value).isNotNull()).groupBy(value).agg(
         *[m.alias(n) for n, m in measures.items()]
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
-    placed = staged(per_value.repartitionByRange(order).withColumn("__slot", F.spark_partition_id()), "values")
+    dealt = per_value.repartitionByRange(ranges, order) if ranges else per_value.repartitionByRange(order)
+    placed = staged(dealt.withColumn("__slot", F.spark_partition_id()), "values")
     totals = placed.groupBy("__slot").agg(*[F.sum(n).alias(f"__sum_{n}") for n in measures])
     before = Window.partitionBy(F.lit(1)).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
