@@ -486,6 +486,24 @@ _ZC = ["z_personal", *[f"z_{p}" for p in _GROUPS.values()]]
 cte("zx", f"SELECT *, greatest({', '.join(_ZC)}) AS z_max FROM zs")
 oracle("group_zscore", "SELECT user_key, end_day, " + ", ".join(
     f"{r(f'{p}_m', f'{p}_mean')}, {r(f'{p}_s', f'{p}_std')}, {b(f'{p}_n', f'{p}_n')}, {r(f'z_{p}')}" for p in ("role", "department")) + " FROM zs")
+cte("order_scores", """
+SELECT od.user_key, od.day AS end_day, od.ah_rate_1d::DOUBLE AS x, role_id, team_id FROM od LEFT JOIN people USING (user_key)""")
+for _g in ("role_id", "team_id"):
+    cte(f"order_{_g}", f"""
+SELECT {_g}, end_day, sum(n) OVER w AS n, sum(s) OVER w AS s1, sum(q) OVER w AS s2 FROM (
+  SELECT {_g}, end_day, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM order_scores WHERE {_g} IS NOT NULL GROUP BY ALL)
+WINDOW w AS (PARTITION BY {_g} ORDER BY end_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+
+
+def _order_z(g: str, need: int) -> str:
+    spread = f"sqrt(greatest(0, {g}.s2 - {g}.s1 * {g}.s1 / {g}.n) / ({g}.n - 1))"
+    return f"CASE WHEN {g}.n >= {need} THEN (x - {g}.s1 / {g}.n) / nullif({spread}, 0) END"
+
+
+oracle("group_zscore_default", f"""
+SELECT o.user_key, o.end_day, {b('coalesce(order_role_id.n, 0)', 'role_n')}, {r(_order_z('order_role_id', 50), 'z_role')},
+  {b('coalesce(order_team_id.n, 0)', 'team_id_n')}, {r(_order_z('order_team_id', 20), 'z_team_id')}
+FROM order_scores o LEFT JOIN order_role_id USING (role_id, end_day) LEFT JOIN order_team_id USING (team_id, end_day)""")
 oracle("zmax", "SELECT user_key, end_day, " + ", ".join(r(c) for c in [*_ZC, "z_max"]) + " FROM zx")
 cte("zb", """
 SELECT *, least(0.9, greatest(0.0, base_score * (1 + boost))) AS score FROM (

@@ -527,6 +527,14 @@ def group_zscore(spark, sf):
     )
 
 
+@query
+def group_zscore_default(spark, sf):
+    """Group baselines with the operator's own minimums, on the long history of orders."""
+    days = tables.order_days(spark, sf).select("user_key", F.col("day").alias("end_day"), F.col("ah_rate_1d").alias("base_score"))
+    df = baselines.group_baselines(baselines.attach_org(days, tables.event_org(spark, sf)))
+    return df.select("user_key", "end_day", "role_n", "z_role", "team_id_n", "z_team_id")
+
+
 @query
 def zmax(spark, sf):
     return frames.zscores(spark, sf).select("user_key", "end_day", *baselines.Z_COLUMNS, "z_max")
