@@ -150,7 +150,7 @@ def driver() -> Column:
 
 
 def explanation() -> Column:
-    """Driver, weights and texts of the components, and a one-line summary."""
+    """Driver, weights and texts of the components, and a one-line summary; the texts are fixed values."""
     case = F.col("rule_case")
     rule_weight = F.when(case.isin(CHAIN_POST, CHAIN), 1.0).when(case == NEAR_MISS, 0.5).otherwise(0.0)
 

@@ -140,7 +140,7 @@ def rule_score(case: Column) -> Column:
 
 
 def rule_evidence(params: RuleParams = RuleParams()) -> Column:
-    """What a rule alert rests on."""
+    """What a rule alert rests on; the name of the method is a fixed value."""
     return F.struct(
         "ah_sig_days_7d",
         "usb_days_7d",
@@ -195,7 +195,7 @@ def _mark(flag: Column, kind: str, message: Column) -> Column:
 
 
 def day_marks() -> Column:
-    """Timeline entries of one user-day."""
+    """Timeline entries of one user-day; kinds and texts are fixed values."""
     usb = _zero(USB)
     marks = F.array(
         _mark(F.col("ah_sig"), "after_hours", F.lit("After-hours activity above normal levels.")),

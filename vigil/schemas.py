@@ -52,7 +52,7 @@ _FILE = ("filename", "activity", "to_removable_media", "from_removable_media", "
 _URL = ("url_length", "url_depth", "is_wikileaks", "is_dropbox", "is_job_site")
 _MAIL_COUNTS = ("attachment_count", "to_count", "cc_count", "bcc_count")
 
-# Which columns the audit ("full") and the model ("lean") table of a domain keep.
+# Which columns the audit ("full") and the model ("lean") table of a domain keep.
 PROFILES = {
     "directory": {
         "full": ("user_key", "event_month", "employee_name", "email", "role", "business_unit",
@@ -90,7 +90,7 @@ PROFILES = {
     },
 }
 
-# Name of the event count and of the after-hours rate of each domain in the wide table.
+# Name of the event count and of the after-hours rate of each domain in the wide table.
 COUNT_COLUMNS = {
     "logon": "logon_n_logon",
     "device": "device_n_device_events",
@@ -115,6 +115,7 @@ TIMELINE = T.ArrayType(
     )
 )
 
+# Fields of an alert's evidence.
 EVIDENCE = T.StructType(
     [
         T.StructField(n, t)
