@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from vigil.llm.store import staged
 from vigil.llm.words import PUNCTUATION, split_words
 
 _U = np.uint64
@@ -133,6 +134,8 @@ def fit_toxicity(mails: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> T
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Bounded, and written so that the planner knows it: contents need not be shuffled for it.
+    drawn = staged(drawn, "toxicity-sample")
     rows = mails.select("id", "content").join(drawn, "id").select("id", "content", "label")
     kind = f"id {mails.schema['id'].dataType.simpleString()}, label int, terms array<int>"
     schema = to_arrow_schema(mails.sparkSession.createDataFrame([], kind).schema)
