@@ -67,13 +67,21 @@ def _join(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table["chunk"][0].as_py()], pa.int32()), pa.array([total.tobytes()])], schema=_ARROW)
 
 
-def build(values: DataFrame, count: int) -> Broadcast:
-    """A broadcast bitmap of the one long column of `values`, for about `count` of them.
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the tasks' chunks as they come in; what is held is the bitmap's share of this partition."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total.setdefault(chunk, np.zeros(_CHUNK_BITS // 8, dtype=np.uint8))
+            total[chunk] |= np.frombuffer(payload, dtype=np.uint8)
+    for chunk, bits in total.items():
+        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([bits.tobytes()])], schema=_ARROW)
+
 
-    One row per task and chunk meets in a group, each of 8 KB.
-    """
+def build(values: DataFrame, count: int) -> Broadcast:
+    """A broadcast bitmap of the one long column of `values`, for about `count` of them."""
     bits = min(MOST_BITS, max(_CHUNK_BITS, 1 << (16 * max(1, count) - 1).bit_length()))
-    merged = values.mapInArrow(_mark(bits), _SCHEMA).groupBy("chunk").applyInArrow(_join, _SCHEMA)
+    merged = values.mapInArrow(_mark(bits), _SCHEMA).repartition("chunk").mapInArrow(_merged, _SCHEMA)
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
     for row in merged.collect():  # at most MOST_BITS / 8 bytes
         begin = row["chunk"] * (_CHUNK_BITS // 8)
