@@ -22,10 +22,12 @@ from vigil.llm.store import staged
 from vigil.llm.words import CHUNK, Words, mix, signed, split_words, windows
 
 _U = np.uint64
-#: Turns in which sets of a part are tested against a leader.
-STARS = 3
+#: Whom the sets of a part are tested against, turn by turn.
+TURNS = ("leader", "nearest", "all")
+#: Sets of a part whose pairs are listed.
+FEW = 16
 #: Sets of a block, on average, where sets of a part are tested against each other.
-TILE = 256
+TILE = 2048
 #: Parts of a band for each shingle in which its largest sets can differ.
 SPARE = 1.22
 #: Shingles that a part needs at most to be keyed.
@@ -204,8 +206,11 @@ def _near_enough(percent: int):
     return run
 
 
-def _close(batch: pa.RecordBatch, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of one tile, the rows of pairs (left, right) that are in different groups and whose sketches may be similar."""
+def _close(batch: pa.RecordBatch, percent: int, nearest: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of one tile, the rows of pairs (left, right) that are in different groups and whose sketches may be similar.
+
+    With `nearest` only the closest right row of each left row.
+    """
     left = batch["left"].to_numpy(zero_copy_only=False)
     group, n = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "n"))
     sketches = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in batch["sketch"]]
@@ -219,13 +224,17 @@ def _close(batch: pa.RecordBatch, percent: int) -> tuple[list[np.ndarray], list[
         at = right[(group[right] != group[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
         if len(at):
             bound = (n[at] + n[i]) * (100 - percent) // (100 + percent)
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= bound]
+            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            close = apart <= bound
+            at = at[close]
+            if nearest and len(at):
+                at = at[[apart[close].argmin()]]
             ones.append(np.full(len(at), i))
             twos.append(at)
     return ones, twos
 
 
-def _close_pairs(percent: int):
+def _close_pairs(percent: int, nearest: bool):
     """Pairs (a, b) of tiles, whose rows follow each other; the last tile of a batch may go on in the next."""
 
     def tiles(rows: pa.RecordBatch) -> list[int]:
@@ -236,7 +245,7 @@ def _close_pairs(percent: int):
     def tested(rows: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
         ones, twos = [], []
         for begin, end in zip(bounds, bounds[1:]):
-            one, two = _close(rows.slice(begin, end - begin), percent)
+            one, two = _close(rows.slice(begin, end - begin), percent, nearest)
             ones += [begin + i for i in one]
             twos += [begin + i for i in two]
         keys, none = rows["set_key"].to_numpy(zero_copy_only=False), np.zeros(0, dtype=np.int64)
@@ -258,19 +267,26 @@ def _close_pairs(percent: int):
     return run
 
 
-def _cross(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different groups that agree in a part, as far as their sketches are close.
+def _cross(met: DataFrame, sets: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of sets in different groups that agree in a part and may be similar.
 
-    Only sets outside of a part's main group have to meet the others. Both are dealt into blocks
-    of about `TILE`, and a tile is a block of either, so no task gets a whole part, and pairs
-    are not rows: a tile gives those that its sketches let pass.
+    Parts of up to `FEW` sets give their pairs, which are then told from each other only once,
+    however many parts a pair shares. In larger parts only sets outside of the main group have
+    to meet the others. Both are dealt into blocks of about `TILE`, and a tile is a block of
+    either, so no task gets a whole part, and pairs are not rows: a tile gives those that its
+    sketches let pass, or with `nearest` the closest for each set.
     """
     counts = met.groupBy("part_key", "group").count().groupBy("part_key").agg(
         F.max_by("group", "count").alias("main"), F.sum("count").alias("rows"), F.max("count").alias("most")
     )
     counts = staged(counts, "similar-counts")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
-    rows = met.select("part_key", "set_key", "group", "n").join(counts, "part_key")
+    met = met.select("part_key", "set_key", "group", "n")
+    few = met.join(counts.where(F.col("rows") <= FEW).select("part_key"), "part_key")
+    other = few.select("part_key", F.col("set_key").alias("b"), F.col("group").alias("b_group"), F.col("n").alias("m"))
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    small = few.join(other, "part_key").where((F.col("group") < F.col("b_group")) & near).select(F.col("set_key").alias("a"), "b")
+    rows = met.join(counts.where(F.col("rows") > FEW), "part_key")
     rows = rows.withColumn("us", blocks(F.col("rows") - F.col("most"))).withColumn("ws", blocks(F.col("rows")))
     rows = rows.join(sets.select("set_key", "sketch"), "set_key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -279,7 +295,7 @@ def _cross(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = rows.select(*kept, F.lit(False).alias("left"), every("us").alias("u"), dealt("ws", 2).alias("w"))
     left = rows.where("group <> main").select(*kept, F.lit(True).alias("left"), dealt("us", 1).alias("u"), every("ws").alias("w"))
     tiles = left.unionByName(right).repartition("part_key", "u", "w").sortWithinPartitions("part_key", "u", "w")
-    return tiles.mapInArrow(_close_pairs(percent), "a long, b long")
+    return small.unionByName(tiles.mapInArrow(_close_pairs(percent, nearest), "a long, b long"))
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,11 +374,11 @@ def link_similar(mails: DataFrame, size: int = 4, percent: int = 85) -> DataFram
     id are judged each by its own content; ids are never null in a component's choice unless
     all are; other columns are ignored; no rows give no rows.
 
-    Equal sets are one node. Within the sets that agree in a part, each is first tested against
-    one leader, in a few turns with other leaders, which ties groups of near copies together in
-    as many tests as there are members; only sets of such a part that are then still in
-    different components are tested against each other, so no link that matters is lost and no
-    group becomes all its pairs.
+    Equal sets are one node. Of the sets that agree in a part, each is first tested against the
+    part's first, then against the one with the closest sketch: this ties groups of near copies
+    together in about as many tests as they have members. Only sets of such a part that are
+    then still in different components are tested against each other, so no link that matters
+    is lost and no group becomes all its pairs.
     """
     mails = mails.select("id", "content")
     sketched = staged(sketch_contents(mails, size, percent), "similar-sketches")
@@ -376,29 +392,28 @@ def link_similar(mails: DataFrame, size: int = 4, percent: int = 85) -> DataFram
     wanted = staged(met.select("set_key").distinct(), "similar-wanted")
     sets = held.select("set_key", "id", "n", "sketch").join(wanted, "set_key").groupBy("set_key")
     sets = staged(sets.agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "similar-sets")
-    links, groups = None, None
-    for turn in range(STARS + 1):
-        if turn == 0:
-            pairs = met.where("set_key <> low").select(F.col("set_key").alias("a"), F.col("low").alias("b"))
-        elif turn < STARS:
-            pairs = met.where("group <> leader.group").select(F.col("set_key").alias("a"), F.col("leader.set_key").alias("b"))
+    links, groups, tested = None, None, None
+    for turn in TURNS:
+        if turn == "leader":
+            pairs = met.where("set_key <> low").groupBy(F.col("set_key").alias("a")).agg(F.array(F.min("low"), F.max("low")).alias("b"))
+            pairs = pairs.select("a", F.explode("b").alias("b"))
         else:
-            pairs = _cross(met, sets, percent)
+            pairs = _cross(met, sets, percent, turn == "nearest")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = _tested(staged(pairs, "similar-candidates"), sets, mails, size, percent)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "similar-candidates")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _tested(pairs, sets, mails, size, percent)
         links = found if links is None else links.union(found)
         groups = staged(components(links), "similar-groups").select(F.col("node").alias("set_key"), F.col("component").alias("group"))
-        if turn == STARS:
+        if turn == TURNS[-1]:
             break
-        grouped = met.drop("group", "leader").join(groups, "set_key", "left").withColumn("group", F.coalesce("group", "set_key"))
+        grouped = met.drop("group").join(groups, "set_key", "left").withColumn("group", F.coalesce("group", "set_key"))
         grouped = staged(grouped, "similar-grouped")
         # Parts whose sets all are in one component need no more tests.
-        drawn = F.xxhash64("set_key", "part_key", F.lit(turn))
-        apart = grouped.groupBy("part_key").agg(
-            F.min("group").alias("x"), F.max("group").alias("y"), F.min_by(F.struct("set_key", "group"), drawn).alias("leader")
-        )
-        apart = staged(apart.where("x <> y").select("part_key", "leader"), "similar-apart")
-        met = staged(grouped.join(apart, "part_key"), "similar-apart-members")
+        apart = grouped.groupBy("part_key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
+        met = staged(grouped.join(staged(apart.select("part_key"), "similar-apart"), "part_key"), "similar-apart-members")
         if met.isEmpty():
             break
     own = held.groupBy("set_key").agg(F.min("id").alias("own"))
