@@ -158,6 +158,20 @@ def test_language(spark):
     assert np.allclose(again.table, model.table) and again.threshold == model.threshold
 
 
+@pytest.mark.parametrize("learned", [["aa"], ["aa", "bb"], ["bb", "cc"]])
+def test_texts_in_no_learned_language_are_rejected(spark, learned):
+    rng = random.Random(4)
+    rows = [(i, speech(rng, l, rng.randrange(5, 60)), l, 0) for i, l in enumerate(rng.choices(learned, k=600))]
+    model = language.fit_language(labelled(spark, rows[:400]))
+    gibberish = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 9))) for _ in range(30))
+    strange = [speech(rng, l, 30) for l in sorted(set(SYLLABLES) - set(learned)) for _ in range(50)]
+    strange += [gibberish(a) for a in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст", "日本語文字学校東京都") for _ in range(50)]
+    asked = rows[400:] + [(1000 + i, t, None, 0) for i, t in enumerate(strange)]
+    found = {r["id"]: r["rejected"] for r in language.predict_language(labelled(spark, asked), model).collect()}
+    assert np.mean([found[i] for i, *_ in rows[400:]]) < 0.03
+    assert np.mean([found[1000 + i] for i in range(len(strange))]) > 0.97
+
+
 def test_language_that_knows_nothing(spark):
     none = language.fit_language(labelled(spark, [(1, "x", None, 0)]))
     assert language.predict_language(labelled(spark, [(1, "abc", "en", 0)]), none).first()["lang_pred"] == "und"
