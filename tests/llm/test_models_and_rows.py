@@ -199,6 +199,21 @@ def test_toxicity_learns_pairs(spark):
     assert found[0][1] == found[1][1] < 0.5 <= found[2][1] and found[3] == found[4] and found[3][1] < 0.5
 
 
+def test_toxicity_learns_pairs_of_balanced_terms(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(3000):
+        # Each of both terms is as frequent under either label.
+        one, two = i % 2 == 1, i // 2 % 2 == 1
+        w = [f"w{rng.randrange(300)}" for _ in range(10)] + ["fools"] * one + ["they"] * two
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(one != two)))
+    mails = spark.createDataFrame([(i, t) for i, t, _ in rows], "id long, content string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:2600]], "id long, label int")
+    score = {r["id"]: r["score"] for r in toxicity.score_toxicity(mails, toxicity.fit_toxicity(mails, labels)).collect()}
+    assert np.mean([(score[i] >= 0.5) == y for i, _, y in rows[2600:]]) > 0.9
+
+
 def test_toxicity_without_labels(spark):
     mails = spark.createDataFrame([(1, "a b")], "id long, content string")
     labels = spark.createDataFrame([], "id long, label int")

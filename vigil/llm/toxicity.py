@@ -19,7 +19,7 @@ _U = np.uint64
 #: Labelled contents a fit takes at most, on average.
 SAMPLE = 20_000
 TERMS = 1 << 20
-#: Terms that enter the machine: those most unevenly spread over the labels.
+#: Terms that are fitted first: those most unevenly spread over the labels.
 CHOSEN = 1024
 LEAST_Z = 4.0
 FACTORS = 8
@@ -27,7 +27,7 @@ FACTORS = 8
 
 @dataclass
 class ToxicityModel:
-    """y = bias + sum of w over a content's chosen terms + sum of v_i . v_j over its pairs of them."""
+    """y = bias + sum of w over a content's known terms + sum of v_i . v_j over its pairs of them."""
 
     bias: float
     index: np.ndarray
@@ -69,10 +69,11 @@ def _features(schema: pa.Schema):
 def train(
     lists: list[np.ndarray], label: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, seed: int = 3
 ) -> ToxicityModel:
-    """Chooses terms by the z-score of their shares under both labels, then fits by AdaGrad.
+    """Fits by AdaGrad: first terms chosen by the z-score of their shares under both labels, then all.
 
-    Labels weigh alike whatever their shares. With one label only, no term is chosen and the
-    bias says that label.
+    Where the first fit tells the labels, the rest has little to add; terms that matter only
+    together are balanced over the labels and learned by the second fit. Labels weigh alike
+    whatever their shares. With one label only, no term is known and the bias says that label.
     """
     label = label.astype(np.float64)
     n1, n0 = label.sum(), len(label) - label.sum()
@@ -88,17 +89,17 @@ def train(
         z[:] = 0
     best = np.sort(np.argsort(-z, kind="stable")[:CHOSEN])
     best = best[z[best] >= LEAST_Z]
-    index = np.full(TERMS, -1, dtype=np.int16)
+    index = np.full(TERMS, -1, dtype=np.int32)
     index[best] = np.arange(len(best))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(best)), rng.normal(0, 0.02, (len(best), FACTORS))
-    bias = 0.0 if n1 and n0 else (4.0 if n1 else -4.0)
-    if not len(best):
-        return ToxicityModel(bias if not (n1 and n0) else float(np.log(n1 / n0)), index, w, v)
+    if not n1 or not n0:
+        return ToxicityModel(4.0 if n1 else -4.0, index, w, v)
+    bias = 0.0
     seen_w, seen_v, seen_b = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
     rows = [index[x][index[x] >= 0].astype(np.int64) for x in lists]
     weight = np.where(label > 0, len(label) / (2 * n1), len(label) / (2 * n0))
-    for _ in range(epochs):
+    for _ in range(epochs if len(best) else 0):
         for k in rng.permutation(len(rows)):
             at = rows[k]
             total = v[at].sum(axis=0)
@@ -113,6 +114,43 @@ def train(
                 g = slope * (total - v[at]) + decay * v[at]
                 seen_v[at] += g * g
                 v[at] -= rate * g / np.sqrt(seen_v[at])
+    return _fit_all(lists, row, term, label, weight, best, ToxicityModel(float(bias), index, w, v), rng)
+
+
+def _fit_all(
+    lists: list[np.ndarray], row: np.ndarray, term: np.ndarray, label: np.ndarray, weight: np.ndarray, best: np.ndarray,
+    first: ToxicityModel, rng: np.random.Generator, epochs: int = 4, rate: float = 0.03, decay: float = 20.0,
+) -> ToxicityModel:
+    """Goes on from the `first` fit with every term that occurs.
+
+    A term decays by `decay` over its occurrences at each of them, so rare ones, which would
+    learn contents by heart, are held back most, and the terms of the first fit hardly.
+    """
+    used, at = np.unique(term, return_inverse=True)
+    index = np.full(TERMS, -1, dtype=np.int32)
+    index[used] = np.arange(len(used))
+    w, v = np.zeros(len(used), np.float32), rng.normal(0, 0.02, (len(used), FACTORS)).astype(np.float32)
+    w[index[best]], v[index[best]] = first.w, first.v
+    hold = (decay / np.bincount(at, minlength=len(used))).astype(np.float32)
+    hold[index[best]] = 0
+    seen_w, seen_v, seen_b, bias = np.ones(len(w), np.float32), np.full(v.shape, 1e-2, np.float32), 1.0, first.bias
+    rows = np.split(at, np.cumsum([len(x) for x in lists])[:-1])
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            at = rows[k]
+            w_at, v_at = w[at], v[at]
+            total = v_at.sum(axis=0)
+            y = bias + float(w_at.sum()) + 0.5 * float((total**2).sum() - (v_at**2).sum())
+            slope = np.float32(weight[k] * (1 / (1 + np.exp(-np.clip(y, -40, 40))) - label[k]))
+            seen_b += float(slope) ** 2
+            bias -= rate * float(slope) / np.sqrt(seen_b)
+            if len(at):
+                g = slope + hold[at] * w_at
+                seen_w[at] += g * g
+                w[at] = w_at - np.float32(rate) * g / np.sqrt(seen_w[at])
+                g = slope * (total - v_at) + hold[at][:, None] * v_at
+                seen_v[at] += g * g
+                v[at] = v_at - np.float32(rate) * g / np.sqrt(seen_v[at])
     return ToxicityModel(float(bias), index, w, v)
 
 
@@ -156,7 +194,7 @@ def _scored(model, schema: pa.Schema):
 def score_toxicity(mails: DataFrame, model: ToxicityModel) -> DataFrame:
     """id, score for every whole content: 0 to 1, higher where label 1 is likelier.
 
-    Null and empty contents get the score of a content without chosen terms; rows that repeat
+    Null and empty contents get the score of a content without known terms; rows that repeat
     are scored alike; other columns are ignored; no rows give no rows.
     """
     kind = f"id {mails.schema['id'].dataType.simpleString()}, score double"
