@@ -138,3 +138,76 @@ m AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+#: One row with the list of the 256 remainders of crc32, and the crc32 of a list of byte values.
+_CRC_TABLE = """SELECT list(list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"""
+
+
+def _crc32(values: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {values}),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+ORACLES["op11_periodic_runs"] = rf"""
+WITH z AS ({_CRC_TABLE}), w AS (
+  SELECT doc_id, {_crc32("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents, z
+), m AS (
+  SELECT doc_id, w, len(w) AS n, h, (h // 10) % nullif(len(w), 0) AS a FROM w
+), x AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN 1 + (n - a) // (3 + (h // 10) % 8) END AS p FROM m
+), e AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN p IS NOT NULL AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM x)
+), s AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM (
+    SELECT l.doc_id, r.i - l.i AS q, l.i FROM e l JOIN e r ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND 4 * (r.i - l.i) <= l.n)
+), c AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q AS period FROM s GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.period < c.period
+    AND o.start <= c.start AND o.start + o.length >= c.start + c.length)
+), f AS (
+  SELECT doc_id, count(*) AS n_runs,
+    sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256,
+    first({{'start': start, 'length': length, 'period': period}} ORDER BY length::DOUBLE / period DESC, start, period) AS b
+  FROM r GROUP BY doc_id
+), g AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS content FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start AS start, b.length AS length, b.period AS period,
+  1000 * b.length // b.period AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(content, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE z AS ({_CRC_TABLE}), o AS (
+  SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS word FROM documents)
+), b AS (SELECT doc_id, word, count(*) AS m, hex(encode(doc_id || ':' || word)) AS x FROM o GROUP BY doc_id, word),
+h AS (
+  SELECT word, m, {_crc32("list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)")} AS h FROM b, z
+), v AS (
+  SELECT word, sum(m)::BIGINT AS n FROM (
+    SELECT m, CASE WHEN h % 97 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word FROM h
+  ) GROUP BY word HAVING length(word) >= 5 AND sum(m) >= 3
+), c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+d AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM c),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS cut FROM c),
+l AS (SELECT d.word AS longer, d.n AS longer_n, v.word AS shorter, v.n AS shorter_n FROM d JOIN v ON d.cut = v.word),
+p AS (
+  SELECT longer AS word, longer_n AS n, shorter AS near, shorter_n AS near_n FROM l
+  UNION ALL SELECT shorter, shorter_n, longer, longer_n FROM l
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM g x JOIN g y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word
+), f AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) FILTER (near_n >= 2 * n) AS form,
+    max(near_n) FILTER (near_n >= 2 * n) AS form_n FROM p GROUP BY word
+), r AS (
+  SELECT word, word AS root, 0 AS step FROM v UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root AND f.form IS NOT NULL
+), t AS (SELECT word, first(root ORDER BY step DESC) AS root FROM r GROUP BY word)
+SELECT v.word, f.form, t.root, v.n, coalesce(f.n_near, 0) AS n_near, f.form_n FROM v LEFT JOIN f USING (word) JOIN t USING (word)
+"""

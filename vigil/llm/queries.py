@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm import chat, language, leaks, mixing, repeats, secrets, similar, token_files, topk, toxicity
+from vigil.llm import chat, language, leaks, mixing, nearest, periodic, repeats, secrets, similar, spelling, token_files, topk, toxicity
 from vigil.llm.oracles import ORACLES  # noqa: F401
 from vigil.llm.store import staged, table
 from vigil.session import scratch_path
@@ -132,3 +132,50 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, h = F.size(words), F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    period = F.flatten(F.array_repeat(F.slice(words, a + 1, p), times))
+    planted = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), period), F.lit(1), n), " ")
+    mails = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("content")
+    )
+    found = periodic.collapse_runs(mails)
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"] / r["period"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")
+    )))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("content", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_near_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    windows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("user_key"), F.lit("1970-01-01").cast("date").alias("end_day"), F.col("embedding").alias("features")
+    )
+    near = nearest.near_windows(windows.where(F.col("user_key") % 100 == 0), windows, 10)
+    return near.select(
+        F.col("user_key").alias("query_id"), "rank", F.col("near_user_key").alias("vec_id"), F.col("distance").alias("score")
+    )
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.content_words(contents(spark, sf))
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "word"))
+    at = (h % F.char_length("word")).cast("int")
+    slip = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.char_length("word")))
+    return spelling.spelling_variants(words.select(F.when(h % 97 == 0, slip).otherwise(F.col("word")).alias("word")))
