@@ -30,7 +30,7 @@ TRIALS = 100
 MOST_PROBES = 1 << 13
 TABLES = 10
 #: Width of a cell in distances of the k-th neighbour.
-WIDTH = 2.2
+WIDTH = 3.0
 #: Rows of either side that meet in one tile, on average; a fuller bucket is dealt out.
 TILE = 1 << 15
 #: Distances worked out at once.
@@ -227,7 +227,8 @@ def fit_hashing(vectors: DataFrame, k: int, recall: float) -> Hashing:
     """
     spark = vectors.sparkSession
     count = vectors.count()
-    hashing = Hashing(max(4, round(np.log2(max(2, count))) - 5), 1.0)
+    # A line halves the buckets' rows and more than doubles the visits, so there is one for every two doublings.
+    hashing = Hashing(max(4, round(np.log2(max(2, count)) / 2) + 1), 1.0)
     chosen = vectors.orderBy(F.xxhash64("user_key", "end_day"), "user_key", "end_day").limit(TRIALS)
     trials = [(r["user_key"], r["end_day"], np.array(r["features"])) for r in chosen.select("user_key", "end_day", "features").collect()]
     schema = spark.createDataFrame([], "trial int, square double, features array<double>").schema
