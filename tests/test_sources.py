@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import day
 from vigil.operators import alerts as alert_ops, directory, enrich, labels
-from vigil.sources import readers, writers
+from vigil import session
+from vigil.sources import catalogue, readers, writers
 
 
 def test_directory_files(spark, tmp_path):
@@ -89,3 +90,64 @@ def test_each_file_is_read_by_its_own_header(spark, tmp_path):
     (logs / "b.csv").write_text("user,activity,id,pc,date\nBBB,Logoff,2,p2,01/03/2010 06:00:00\n")
     rows = sorted((r.user, r.date, r.pc, r.id) for r in readers.read_events(spark, str(logs), "logon").collect())
     assert rows == [("AAA", "01/02/2010 06:00:00", "p1", "1"), ("BBB", "01/03/2010 06:00:00", "p2", "2")]
+
+
+def _read_so_far():
+    with open("/proc/self/io") as f:
+        return int(f.readline().split()[1])
+
+
+def test_headers_cost_a_block_whatever_the_size(tmp_path):
+    for name, lines in (("small.csv", 1), ("large.csv", 300_000)):
+        (tmp_path / name).write_text("id,date,user\n" + ("x" * 99 + "\n") * lines)
+        before = _read_so_far()
+        assert catalogue.first_line((tmp_path / name).as_uri()) == "id,date,user"
+        assert _read_so_far() - before < 8 * catalogue.BLOCK
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "wide.csv").write_text("c," * 40_000 + "\r\n1")
+    assert catalogue.first_line((tmp_path / "none.csv").as_uri()) is None
+    assert catalogue.first_line((tmp_path / "wide.csv").as_uri()) == "c," * 40_000
+
+
+def test_layouts(spark, tmp_path, monkeypatch):
+    import gzip
+
+    (tmp_path / "a b.csv").write_text("\ufeffid,user\n1,u1\n")
+    (tmp_path / "b.csv").write_text("id,user\n2,u2\n")
+    (tmp_path / "c.csv").write_text("user,id\nu3,3\n")
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as f:
+        f.write("id,user\n4,u4\n")
+    found = catalogue.layouts(spark, str(tmp_path))
+    names = {head: [f.rsplit("/", 1)[1] for f in files] for head, files in found.items()}
+    assert names == {"id,user": ["a b.csv", "b.csv", "d.csv.gz"], "user,id": ["c.csv"]}
+    rows = readers.read_events(spark, str(tmp_path), "logon").select("id", "user", "pc").collect()
+    assert sorted(tuple(r) for r in rows) == [("1", "u1", None), ("2", "u2", None), ("3", "u3", None), ("4", "u4", None)]
+    # Where tasks cannot open the store, Spark's reader is asked.
+    kind = "file string, opened boolean, head string"
+    closed = lambda s, p: s.createDataFrame([(f, False, None) for f in s.read.text(p).inputFiles()], kind)
+    monkeypatch.setattr(catalogue, "header_lines", closed)
+    again = catalogue.layouts(spark, str(tmp_path))
+    assert {head: [f.rsplit("/", 1)[1] for f in files] for head, files in again.items()} == names
+
+
+def test_a_snapshot_may_be_a_folder(spark, tmp_path):
+    for month, name in (("month=2010-01", "part-0.csv"), ("2010-02", "part-1.csv")):
+        (tmp_path / month).mkdir()
+        (tmp_path / month / name).write_text("user_id,role\nu1,Clerk\n")
+    rows = readers.read_directory(spark, [str(tmp_path / "month=2010-01"), str(tmp_path / "2010-02")])
+    assert sorted(str(r.snapshot_date) for r in rows.collect()) == ["2010-01-01", "2010-02-01"]
+
+
+class _Unset:
+    def __init__(self, spark, master):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": spark.sparkContext.applicationId})
+
+
+def test_shared_folder_without_a_setting(spark):
+    folder = session.shared_folder(_Unset(spark, "local[4]"))
+    assert folder and folder == session.shared_folder(_Unset(spark, "local[4]"))
+    session._FOLDERS.clear()
+    with pytest.raises(RuntimeError):
+        session.shared_folder(_Unset(spark, "spark://host:7077"))

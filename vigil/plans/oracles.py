@@ -858,3 +858,8 @@ oracle("profiles_roundtrip", f"SELECT user_key, day, {b('count(*)', 'n')} FROM e
 ORACLES["alerts_json_roundtrip"] = ORACLES["raw_alert_scores"]
 oracle("daily_scan", f"SELECT user_key, day, {b('http_n_http')} FROM wide WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")
 oracle("truth_flags", "SELECT p_partkey, p_partkey % 8 < 4 AS flag FROM part")
+ORACLES["directory_csv_roundtrip"] = ORACLES["directory_snapshots"]
+oracle("insiders_roundtrip", "SELECT user_key, '1' AS scenario, exfil_start AS start, exfil_end AS \"end\" FROM rg")
+oracle("truth_file_scan", f"""
+SELECT user_key, min(day) AS exfil_start, max(day) AS exfil_end, {b('count(*)', 'n_lines')}
+FROM ev JOIN rg USING (user_key) WHERE day BETWEEN exfil_start AND exfil_end AND event_id % 5 <> 0 AND event_id % 7 <> 0 GROUP BY user_key""")

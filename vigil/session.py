@@ -30,19 +30,23 @@ def local_session(name: str = "vigil", cpus: str | int = 8, memory: str = "16g")
     )
 
 
+#: By application, the temporary folder of a local session whose settings name none.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     Only where `spark.checkpoint.dir` is unset and all executors are in this process (tests, a
-    laptop) a temporary folder of this machine is chosen and recorded in the session; on a
+    laptop) a temporary folder of this machine is chosen, one for each application; on a
     cluster the setting is required, as a local folder would be another one on each machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _FOLDERS.get(application)
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="vigil-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _FOLDERS[application] = tempfile.mkdtemp(prefix="vigil-")
     return folder
 
 

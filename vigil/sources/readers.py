@@ -11,22 +11,13 @@ from pyspark.sql import types as T
 
 from vigil.functions import text, times
 from vigil.schemas import ALERT, DIRECTORY_ATTRS, RAW_EVENTS, RAW_INSIDERS, raw_events_schema
+from vigil.sources import catalogue
 
 
 def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) of the CSV files at `path`, by their header lines.
-
-    Releases differ, so each file is read by its own header. Only the first line of each file
-    is looked at, and one row per file comes to the driver, as Spark's own file list does.
-    """
-    lines = spark.read.format("text").load(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
-    )
-    heads = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
-    groups: dict[str, list[str]] = {}
-    for row in heads.collect():
-        groups.setdefault(row["head"].removeprefix("\ufeff"), []).append(row["file"])
-    return [([c.strip() for c in next(csv.reader([head]))], sorted(files)) for head, files in sorted(groups.items())]
+    """(columns, files) of the CSV files at `path`, by their header lines."""
+    found = catalogue.layouts(spark, path)
+    return [([c.strip() for c in next(csv.reader([head]))], files) for head, files in found.items()]
 
 
 def _by_header(spark: SparkSession, path: str, wanted: Sequence[str], needed: Sequence[str] = ()) -> DataFrame:
@@ -48,12 +39,12 @@ def _by_header(spark: SparkSession, path: str, wanted: Sequence[str], needed: Se
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
             F.monotonically_increasing_id().alias("line"),
         )
-        rows = rows.select("*", file_stem().alias("__stem"), place.alias("__place"))
+        rows = rows.select("*", file_stem().alias("__stem"), folder_name().alias("__folder"), place.alias("__place"))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         kinds = T.StructType([T.StructField(w, T.StringType()) for w in wanted])
         out = spark.createDataFrame([], kinds).select(
-            "*", F.lit("").alias("__stem"),
+            "*", F.lit("").alias("__stem"), F.lit("").alias("__folder"),
             F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("line")).alias("__place"),
         )
     absent = {w.lower() for w in wanted} - {c.lower() for c in out.columns}
@@ -64,13 +55,19 @@ def file_stem() -> Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
+def folder_name() -> Column:
+    """The name of the folder a file lies in; of a partition folder `key=value` only the value."""
+    return F.regexp_extract("_metadata.file_path", r"(?:[^/=]*=)?([^/=]*)/[^/]*$", 1)
+
+
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """All monthly snapshots in a folder; the month comes from the file name `YYYY-MM.csv`.
 
-    Each file's own header says which column is where; one without `user_id` is refused.
+    A snapshot too large for one file may be a folder `YYYY-MM` (or `month=YYYY-MM`) of files. Each file's own header says which column is where; one without `user_id` is refused.
     """
     df = _by_header(spark, path, ("user_id", *DIRECTORY_ATTRS), needed=("user_id",))
-    month = F.to_date(F.concat(F.regexp_extract("__stem", r"(\d{4}-\d{2})$", 1), F.lit("-01")))
+    named = lambda c: F.nullif(F.regexp_extract(c, r"(\d{4}-\d{2})$", 1), F.lit(""))
+    month = F.to_date(F.concat(F.coalesce(named("__stem"), named("__folder")), F.lit("-01")))
     return df.select(
         text.normalize_user(F.col("user_id")).alias("user_key"),
         month.alias("snapshot_date"),
@@ -86,7 +83,7 @@ def read_events(spark: SparkSession, path: str, domain: str, by_name: bool = Tru
     fixed layout of the domain is taken and nothing is read ahead.
     """
     if by_name:
-        return _by_header(spark, path, RAW_EVENTS[domain]).drop("__stem", "__place")
+        return _by_header(spark, path, RAW_EVENTS[domain]).drop("__stem", "__folder", "__place")
     reader = spark.read.schema(raw_events_schema(domain)).option("header", True)
     reader = reader.option("mode", "PERMISSIVE").option("enforceSchema", False)
     return reader.option("escape", '"').csv(path)
@@ -104,11 +101,12 @@ def read_daily(
     return df.select(*columns) if columns else df
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_ground_truth(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """(user_key, ts) of ragged answer lines: the third field is the time, the user is the
-    last part of the file name. Lines that do not parse are left out."""
+    last part of the file name, or with `by_folder` of the folder's name. Lines that do not
+    parse are left out."""
     lines = spark.read.text(path).select(
-        F.lower(F.substring_index(file_stem(), "-", -1)).alias("user_key"),
+        F.lower(F.substring_index(folder_name() if by_folder else file_stem(), "-", -1)).alias("user_key"),
         F.try_element_at(F.split("value", ",", 4), F.lit(3)).alias("field"),
     )
     parsed = lines.select("user_key", times.parse_ts(F.col("field")).alias("ts"))
