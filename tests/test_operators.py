@@ -1,15 +1,17 @@
 import datetime as dt
 import json
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from conftest import day
 from vigil.operators import (
-    alerts as alert_ops, anomaly, baselines, daily, directory, enrich, evaluation, forest, labels,
-    machines, ordering, quality, reports, rolling, rules, supervised, watch,
+    alerts as alert_ops, anomaly, baselines, bundle, daily, directory, enrich, evaluation, forest, labels,
+    machines, ordering, quality, reports, rolling, rules, supervised, trees, watch,
 )
 
 
@@ -360,6 +362,48 @@ def test_forest_finds_outlier_and_ignores_partitioning(spark, tmp_path):
     back = forest.load_forest(spark, str(tmp_path / "f"))
     a, b = (forest.window_scores(df, f).agg(F.sum("base_score")).first()[0] for f in (one, back))
     assert abs(a - b) < 1e-9
+    # One saved pipeline does the same, and the boost after it.
+    want = anomaly.z_boost(forest.anomaly_score(df, one).withColumn("z_max", F.col("a")))
+    bundle.pipeline(*bundle.forest_stages(one, spark), *bundle.boost_stages()).write().save(str(tmp_path / "p"))
+    got = supervised.load_models(str(tmp_path / "p")).transform(df.withColumn("z_max", F.col("a")))
+    assert got.columns == [*df.columns, "z_max", "base_score_raw", "base_score", "boost_pct", "score"]
+    pair = got.select("user_key", F.col("score").alias("s")).join(want.select("user_key", "score"), "user_key", "full")
+    assert pair.count() > 0 and pair.where(~F.coalesce(F.abs(F.col("s") - F.col("score")) < 1e-9, F.lit(False))).count() == 0
+
+
+def test_node_tables_are_walked_as_written(spark):
+    rng = np.random.default_rng(2)
+    nodes = []
+    for t in range(5):
+        for n in range(31):
+            inner = n < 15
+            nodes.append((t, n, int(rng.integers(3)) if inner else -1, float(rng.integers(-2, 3)) if inner else 0.0,
+                          2 * n + 1 if inner else -1, 2 * n + 2 if inner else -1, 0.0 if inner else float(rng.normal())))
+    rows = [[float(v) for v in rng.integers(-3, 4, 3)] for _ in range(300)] + [[float("nan")] * 3, [0.0, -0.0, 5e-324]]
+
+    def walk(t, x):
+        _, n, f, cut, left, right, value = nodes[31 * t]
+        while f >= 0:
+            _, n, f, cut, left, right, value = nodes[31 * t + (left if x[f] < cut else right)]
+        return value
+
+    table = spark.createDataFrame(nodes, trees.NODES)
+    x = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, x array<double>").withColumn("v", array_to_vector("x"))
+    mean = trees.mean_model(table, 3, "v", "m")
+    for r in mean.transform(x).collect():
+        assert r.m == pytest.approx(sum(walk(t, rows[r.i]) for t in range(5)) / 5, abs=1e-12)
+    boosted = trees.boosted_model(table, 3, 0.25, "v")
+    for r in boosted.transform(x).select("i", vector_to_array("rawPrediction")[1].alias("m")).collect():
+        assert r.m == pytest.approx(walk(0, rows[r.i]) + 0.25 * sum(walk(t, rows[r.i]) for t in range(1, 5)), abs=1e-12)
+    again = trees.mean_model(trees.nodes_of(mean, spark).drop("weight"), 3, "v", "m")
+    assert again.transform(x).select("i", "m").exceptAll(mean.transform(x).select("i", "m")).count() == 0
+    assert sorted({round(r.weight, 6) for r in trees.nodes_of(boosted, spark).select("weight").distinct().collect()}) == [0.25, 1.0]
+
+
+def test_thresholds_step_to_the_next_double(spark):
+    values = [1.0, 0.5, 0.1, -0.3, 3.0, 0.125, 1e-300, 0.0, -1.0, 1024.0, 1.9999999999999998, 5e-324, -2.0, 1e300]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", trees.below(F.col("v")).alias("b")).collect():
+        assert r.b == math.nextafter(r.v, -math.inf)
 
 
 def test_gbt_learns_and_persists(spark, tmp_path):

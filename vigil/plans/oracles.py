@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+from vigil.operators.forest import average_path
+from vigil.plans.fixed import FLAT_COLUMNS, PATH_FEATURES, PATH_INPUTS, PATH_NODES, PATH_PSI, PATH_STEP
+
 CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
 
@@ -849,6 +852,44 @@ oracle("feature_selection", f"""
 SELECT feature, {r('avg(v)', 'mean')}, {r('sqrt(var_pop(v))', 'deviation')}
 FROM (UNPIVOT normal_windows ON COLUMNS(*) INTO NAME feature VALUE v) GROUP BY feature HAVING var_pop(v) > 0.01""")
 
+cte("path_nodes", "SELECT * FROM (VALUES " + ", ".join(
+    f"({t}, {n}, {f}, {c!r}::DOUBLE, {left}, {right}, {v!r}::DOUBLE)" for t, n, f, c, left, right, v in PATH_NODES
+) + ") n(tree, node, feature, cut, l, r, value)")
+_path_list = ", ".join(PATH_FEATURES)
+_path_stats = ", ".join(
+    f"{fn}(coalesce({c}, 0)::DOUBLE) OVER w AS {p}_{c}"
+    for p, fn in (("mean", "avg"), ("max", "max"), ("std", "stddev_pop")) for c in PATH_INPUTS)
+cte("path_rows", f"""
+SELECT user_key, end_day, [{_path_list}] AS x FROM (
+  SELECT user_key, day AS end_day, count(*) OVER w AS n, {_path_stats} FROM feat WINDOW w AS {_W14}) WHERE n = 14""")
+_walk = """walk AS (
+  SELECT user_key, end_day, x, tree, 0 AS node FROM path_rows, (SELECT DISTINCT tree FROM path_nodes)
+  UNION ALL
+  SELECT w.user_key, w.end_day, w.x, w.tree, CASE WHEN w.x[n.feature + 1] < n.cut THEN n.l ELSE n.r END
+  FROM walk w JOIN path_nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature >= 0)"""
+_leaves = "walk w JOIN path_nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature < 0 GROUP BY user_key, end_day"
+oracle("forest_path_scores", f"""
+SELECT user_key, end_day, {r('avg(value)', 'path')}, {r(f'pow(2.0, -avg(value) / {average_path(PATH_PSI)!r}) - 0.5', 'score')} FROM {_leaves}""", _walk)
+oracle("gbt_path_scores", f"""
+SELECT user_key, end_day, {r('m', 'margin')}, {r('1 / (1 + exp(-2 * m))', 'score')} FROM (
+  SELECT user_key, end_day, sum(CASE WHEN w.tree = 0 THEN value ELSE {PATH_STEP!r} * value END) AS m FROM {_leaves})""", _walk)
+cte("flat_cells", " UNION ALL ".join(
+    f"SELECT user_key, end_day, {k} + {len(FLAT_COLUMNS)} * (back - 1) AS place, v{k} AS value FROM flat_days"
+    for k in range(len(FLAT_COLUMNS))))
+_flat_values = ", ".join(f"coalesce(f.{c}, 0)::DOUBLE AS v{k}" for k, c in enumerate(FLAT_COLUMNS))
+CTES["flat_days"] = f"""
+SELECT w.user_key, w.day AS end_day, f.rn - w.rn + 14 AS back, {_flat_values}
+FROM numbered w JOIN numbered f ON f.user_key = w.user_key AND f.rn BETWEEN w.rn - 13 AND w.rn WHERE w.rn >= 14"""
+CTES["flat_cells"] = CTES.pop("flat_cells")
+oracle("flattened_windows", f"SELECT user_key, end_day, {b('place')}, {r('value')} FROM flat_cells")
+oracle("scaled_features", f"""
+SELECT user_key, end_day, split, {r('sum(z)', 'total')}, {r('max(z)', 'highest')}, {r('min(z)', 'lowest')} FROM (
+  SELECT c.user_key, end_day, sp.split, CASE WHEN sd > 0 THEN (value - m) / sd ELSE 0 END AS z
+  FROM flat_cells c JOIN sp USING (user_key) JOIN (
+    SELECT place, avg(value) AS m, stddev_samp(value) AS sd FROM flat_cells JOIN sp USING (user_key) WHERE split = 'train' GROUP BY place) USING (place))
+GROUP BY user_key, end_day, split""")
+oracle("model_bundle_roundtrip", "SELECT user_key, day AS end_day, TRUE AS same FROM numbered WHERE rn >= 14")
+
 # --- files --------------------------------------------------------------------------------
 
 oracle("csv_events_roundtrip", f"""
