@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import alerts as alert_ops, reports
+from vigil.operators import alerts as alert_ops, reports, rules
 from vigil.streaming import ingest, sinks, stateful, windows
 
 
@@ -89,3 +89,37 @@ def test_rollups_per_batch(spark, tmp_path):
     assert sorted(users.collect()) == sorted(reports.user_ranking(alerts).select(*users.columns).collect()) and users.count() == 2
     sinks.stream_alerts(stream.select("user_key", "day", F.col("ml_score").alias("score")), str(tmp_path / "json"), str(tmp_path / "cp2"), once=True).awaitTermination()
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+@pytest.mark.parametrize("order", [[(0, 1), (2, 3)], [(0, 2), (1, 3)], [(3, 2), (1, 0)], [(0, 1, 2, 3)]])
+def test_a_day_that_comes_twice_is_the_greater_one(spark, tmp_path, order):
+    """Which of a day's rows counts does not hang on which came last."""
+    stateful.use_state_store(spark)
+    schema = f"user_key string, {stateful.RULE_DAY}"
+    d = lambda n: dt.date(2024, 1, n)
+    rows = [("u", d(1), True, 1, 0, 1, 1, 0.0), ("u", d(2), True, 3, 0, 1, 1, 0.0),
+            ("u", d(2), None, None, 9, None, None, None), ("u", d(3), True, 2, 1, 1, 1, 0.0)]
+    params = rules.RuleParams(min_days=3)
+    out = stateful.stream_rules(in_batches(spark, tmp_path, "days", rows, schema, order, 31), params)
+    assert [(r.day, r.reason) for r in drain(out, tmp_path, "alerts").collect()] == [(d(3), "rules:s1_chain")]
+
+
+def test_an_ended_stream_gives_the_batch_result(spark, tmp_path):
+    """All days and weeks come out once the end is written, and none before that is lost."""
+    stateful.use_state_store(spark)
+    schema = "ts timestamp, user_key string, domain string, pc string, after_hours boolean, event_id long"
+    rows = [(dt.datetime(2024, 1, 1 + n, 9), f"u{n % 2}", "logon", f"p{n}", n % 3 == 0, n) for n in range(8)]
+    df = spark.createDataFrame(rows, schema)
+    df.repartition(3).write.parquet(str(tmp_path / "events"))
+    control = str(tmp_path / "control")
+    ingest.end_row(spark, df.schema).where("false").write.parquet(control)
+
+    def days():
+        stream = ingest.with_end(spark.readStream.schema(df.schema).parquet(str(tmp_path / "events")), control)
+        timed = ingest.with_event_time(stream.withColumnRenamed("ts", "timestamp"))
+        return windows.stream_daily(ingest.dedupe_stream(timed, "event_id"))
+
+    before = {(r.user_key, r.day) for r in drain(days(), tmp_path, "days").collect()}
+    ingest.end_row(spark, df.schema).write.mode("append").parquet(control)
+    after = [(r.user_key, r.day) for r in drain(days(), tmp_path, "days").collect()]
+    assert before < set(after) and sorted(after) == sorted((r[1], r[0].date()) for r in rows)

@@ -808,17 +808,16 @@ SELECT "check", base, trial, base = trial AS equal FROM (
 
 # --- streams ------------------------------------------------------------------------------
 
-cte("wm", "SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events")
 oracle("stream_daily", f"""
 SELECT user_key, day, {b("count(*) FILTER (domain = 'logon')", 'n_logon')}, {b("count(*) FILTER (domain = 'device')", 'n_device_events')},
   {b("count(*) FILTER (domain = 'file')", 'n_file_events')}, {b("count(*) FILTER (domain = 'http')", 'n_http')}, {b("count(*) FILTER (domain = 'email')", 'n_email_sent')},
   {b("count(DISTINCT pc) FILTER (domain = 'logon')", 'n_pc_used')}, {b("count(*) FILTER (domain = 'device' AND event_id % 2 = 0)", 'n_usb_connects')},
   {b("count(*) FILTER (domain = 'http' AND wiki)", 'n_wikileaks')}, {b('count(*) FILTER (ah)', 'n_after_hours')}, {b('count(*)', 'n_events')}
-FROM ev, wm WHERE day + 1 <= mark GROUP BY user_key, day""")
+FROM ev GROUP BY user_key, day""")
 oracle("stream_trend", f"""
 SELECT user_key, CAST(f AS DATE) AS first_day, CAST(f AS DATE) + 6 AS last_day, {b('count(*)', 'n_events')}, {b('count(*) FILTER (ah)', 'n_after_hours')},
   {b("count(*) FILTER (domain = 'device' AND event_id % 2 = 0)", 'n_usb_connects')}
-FROM (SELECT *, unnest(generate_series((day - 6)::TIMESTAMP, day::TIMESTAMP, INTERVAL 1 DAY)) AS f FROM ev), wm WHERE f + INTERVAL 7 DAY <= mark GROUP BY user_key, f""")
+FROM (SELECT *, unnest(generate_series((day - 6)::TIMESTAMP, day::TIMESTAMP, INTERVAL 1 DAY)) AS f FROM ev) GROUP BY user_key, f""")
 oracle("stream_enrich", f"""
 SELECT role_id AS role, domain, people.user_key IS NOT NULL AS joined_ldap, CASE WHEN first_seen IS NULL THEN 'not_in_ldap' WHEN event_month > last_seen THEN 'post_departure'
   ELSE 'matched' END AS join_reason, {b('count(*)', 'n')} FROM ev LEFT JOIN people USING (user_key) GROUP BY ALL""")
@@ -829,7 +828,7 @@ wo AS (SELECT w.* FROM wst w JOIN (SELECT user_key, min(day) AS start_day FROM h
 oracle("stream_watch", f"""
 SELECT wo.user_key, start_day, expiry_day, {r('(SELECT max(fs) FROM hits h WHERE h.user_key = wo.user_key AND h.day BETWEEN start_day AND expiry_day)', 'max_score')},
   escalation_day IS NOT NULL AS resolved, escalation_day, {b('escalation_day - start_day', 'lead_time_days')}
-FROM wo WHERE expiry_day + 1 <= (SELECT max(day) FROM cn WHERE escalated OR forecast_score >= 0.75)""", _REOPEN)
+FROM wo""", _REOPEN)
 
 # --- model steps --------------------------------------------------------------------------
 

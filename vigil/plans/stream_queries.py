@@ -30,20 +30,23 @@ def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    activity = tables.with_flags(tables.event_columns(_table_stream(spark, sf, "events")))
+    """The events as a stream that ends, so all its days and weeks close."""
+    events, control = _table_stream(spark, sf, "events"), scratch_path(spark, "end-of-events")
+    ingest.end_row(spark, events.schema).write.parquet(control)
+    activity = tables.with_flags(tables.event_columns(ingest.with_end(events, control)))
     return ingest.dedupe_stream(ingest.with_event_time(activity), "event_id")
 
 
 @query
 def stream_daily(spark, sf):
-    """User-days of the event stream that the watermark has closed."""
+    """User-days of the event stream."""
     stateful.use_state_store(spark)
     return _drain(windows.stream_daily(_events(spark, sf)), "stream-daily").drop("ts")
 
 
 @query
 def stream_trend(spark, sf):
-    """Sliding weeks that the watermark has closed."""
+    """Sliding weeks of the event stream."""
     stateful.use_state_store(spark)
     return _drain(windows.stream_trend(_events(spark, sf)), "stream-trend")
 
@@ -54,7 +57,7 @@ def stream_enrich(spark, sf):
     people = tables.event_users(spark, sf)
     directory = people.select("user_key", F.lit("2024-01-01").cast("date").alias("event_month"), "role", "department")
     df = ingest.stream_enrich(_events(spark, sf), directory, people)
-    rows = _drain(df.select("user_key", "domain", "role", "joined_ldap", "join_reason"), "stream-enrich")
+    rows = _drain(df.where(F.col("domain").isNotNull()).select("user_key", "domain", "role", "joined_ldap", "join_reason"), "stream-enrich")
     return rows.groupBy("role", "domain", "joined_ldap", "join_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,9 +72,9 @@ def stream_rules(spark, sf):
 
 @query
 def stream_watch(spark, sf):
-    """Watch windows that have closed by the watermark."""
+    """Watch windows of an alert stream, the last ones too."""
     stateful.use_state_store(spark)
-    source = _out_of_order(watch.watch_days(frames.canonical(spark, sf)), "watch-days", after=60)
+    source = _out_of_order(watch.watch_days(frames.canonical(spark, sf)), "watch-days", after=70)
     return _drain(stateful.stream_watch(stateful.with_day_time(source, "60 days")), "stream-watch")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.operators import enrich
 from vigil.schemas import raw_events_schema
@@ -18,6 +20,30 @@ def with_event_time(df: DataFrame, column: str = "timestamp", delay: str = WATER
     return df.withColumn("ts", F.col(column).cast("timestamp")).withWatermark("ts", delay)
 
 
+#: The time of the row that ends an input: later than any event, so every window before it closes.
+END = dt.datetime(9999, 1, 1)
+
+
+def end_row(spark: SparkSession, schema: T.StructType, time: str = "ts") -> DataFrame:
+    """The one row that ends an input: all NULL but for its time."""
+    kind = schema[time].dataType
+    return spark.range(1).select(*[
+        (F.lit(END) if f.name == time else F.lit(None)).cast(kind if f.name == time else f.dataType).alias(f.name)
+        for f in schema.fields
+    ])
+
+
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """`stream` and a control source beside it, before any watermark.
+
+    Nothing comes from the control source until `end_row` is written to its `folder`. That row moves
+    the watermark past all days, so windows still open come out; it belongs to no user, and no
+    window of its own ever closes. A stream that goes on must not be ended: what comes after is late.
+    """
+    control = stream.sparkSession.readStream.schema(stream.schema).parquet(folder)
+    return stream.unionByName(control)
+
+
 def dedupe_stream(df: DataFrame, key: str = "id", tuple_columns: Sequence[str] = ()) -> DataFrame:
     """One row per id within the watermark; state older than that is dropped.
 

@@ -48,29 +48,74 @@ def end_of_input(days: DataFrame, after: int) -> DataFrame:
     ])
 
 
+_KINDS = {"bigint": int, "int": int, "double": float, "boolean": bool}
+
+
 class _Waiting:
-    """Days of a user that the watermark has not passed."""
+    """Days of a user that the watermark has not passed, by day; one timer, for the first of them.
+
+    A day that comes more than once counts once: of its rows the greatest, field by field with
+    nulls first, whatever the order of arrival.
+    """
 
     def __init__(self, handle: StatefulProcessorHandle, schema: str):
-        self.handle, self.fields = handle, [part.split()[0] for part in schema.split(", ")]
-        self.days = handle.getListState("waiting", schema)
+        self.handle = handle
+        key, _, rest = schema.partition(", ")
+        self.fields, kinds = zip(*(part.split() for part in schema.split(", ")))
+        self.kinds = [_KINDS[k] for k in kinds[1:]]
+        self.days = handle.getMapState("waiting", key, rest)
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _known(self) -> dict[dt.date, tuple]:
+        return {k[0]: tuple(v) for k, v in self.days.iterator()} if self.days.exists() else {}
+
+    def _wake(self, first: dt.date | None) -> None:
+        """Sets the one timer to the end of the first waiting day."""
+        at = None if first is None else _millis(first + dt.timedelta(days=1))
+        was = self.timer.get()[0] if self.timer.exists() else None
+        if at == was:
+            return
+        if was is not None:
+            self.handle.deleteTimer(was)
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def add(self, rows: Iterator[pd.DataFrame]) -> None:
-        new = pd.concat(list(rows))[self.fields].astype(object)
+        new = pd.concat(list(rows))[list(self.fields)].astype(object)
         new = new.where(new.notna(), None)
-        for row in new.itertuples(index=False, name=None):
-            self.days.appendValue(row)
-        for day in set(new["day"]):
-            self.handle.registerTimer(_millis(day + dt.timedelta(days=1)))
+        known = self._known()
+        changed = set()
+        for day, *values in new.itertuples(index=False, name=None):
+            # Pandas holds whole numbers beside nulls as floats, which a state of longs would take as null.
+            values = tuple(None if x is None else kind(x) for kind, x in zip(self.kinds, values))
+            if day not in known or _order(values) > _order(known[day]):
+                known[day] = values
+                changed.add(day)
+        for day in changed:
+            self.days.updateValue((day,), known[day])
+        self._wake(min(known))
 
     def due(self, watermark: int) -> list[tuple]:
-        """Takes out the days that are over, in order; a day that came twice counts once."""
-        rows = [tuple(r) for r in self.days.get()] if self.days.exists() else []
-        over = {r[0]: r for r in rows if _millis(r[0] + dt.timedelta(days=1)) <= watermark}
-        rest = [r for r in rows if _millis(r[0] + dt.timedelta(days=1)) > watermark]
-        if over:
-            self.days.put(rest) if rest else self.days.clear()
-        return [over[d] for d in sorted(over)]
+        """Takes out the days that are over, in order."""
+        known = self._known()
+        over = sorted(d for d in known if _millis(d + dt.timedelta(days=1)) <= watermark)
+        if len(over) == len(known):
+            self.days.clear()
+        else:
+            for day in over:
+                self.days.removeKey((day,))
+        # The timer that has rung is gone.
+        if self.timer.exists() and self.timer.get()[0] <= watermark:
+            self.timer.clear()
+        self._wake(min((d for d in known if d not in set(over)), default=None))
+        return [(day, *known[day]) for day in over]
+
+
+def _order(values: tuple) -> tuple:
+    return tuple((x is not None, x) if x is not None else (False, 0) for x in values)
 
 
 def rule_days(measures: DataFrame) -> DataFrame:
@@ -122,7 +167,7 @@ class RuleProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = self.waiting.due(timerValues.getCurrentWatermarkInMs())
-        kept = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        kept = [tuple(r) for r in self.rows.get()] if due and self.rows.exists() else []
         scores, out = dict(CASE_SCORES), []
         for row in due:
             row = (row[0], bool(row[1]), *(int(x or 0) for x in row[2:6]), float(row[6] or 0.0))
@@ -184,7 +229,7 @@ class WatchProcessor(StatefulProcessor):
         if watch is not None:
             over = _millis(watch.expiry + dt.timedelta(days=1))
             if over > now:
-                self.handle.registerTimer(over)
+                self.handle.registerTimer(over)  # the same one again if nothing has changed
             elif watch.escalation is None or self.reopen:
                 done.append(watch)
                 watch = None
