@@ -433,3 +433,27 @@ def test_quality(spark):
     same = quality.dataset_diff(df, df.repartition(3), ["user_key", "day"]).collect()
     assert all(r.equal for r in same)
     assert json.dumps([r.check for r in same])
+
+
+def test_baselines_of_a_large_mean_and_a_small_deviation(spark):
+    """Mean 1e6, deviation 1e-3: the merged moments agree with exact ones to six places; equal rows stay."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(3)
+    data = [(f"u{i % 7}", day(i // 7), float(1e6 + 1e-3 * rng.normal()), "r") for i in range(280)]
+    data += data[-3:] + [("v", day(n), 0.1, "flat") for n in range(40) for _ in range(3)]
+    df = spark.createDataFrame(data, "user_key string, end_day date, base_score double, role_id string").repartition(3)
+    got = baselines.group_baseline(df, "role_id", 30).collect()
+    assert len(got) == len(data)
+    for r in got:
+        prior = [Fraction(s) for _, d, s, g in data if g == r.role_id and d < r.end_day]
+        assert r.role_n == len(prior)
+        if len(prior) < 30:
+            assert r.role_mean is None and r.z_role is None
+        elif r.role_id == "flat":
+            assert r.role_std == 0.0 and r.z_role is None
+        else:
+            mean = sum(prior) / len(prior)
+            std = float(sum((x - mean) ** 2 for x in prior) / (len(prior) - 1)) ** 0.5
+            assert r.role_std == pytest.approx(std, rel=1e-6)
+            assert r.z_role == pytest.approx(float(Fraction(r.base_score) - mean) / std, abs=1e-6)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigil.session import staged
+
 # Windows a group must have behind it before it serves as a baseline.
 GROUP_MINIMUM = {
     "role_id": 50,
@@ -49,14 +53,39 @@ def personal_baseline(scores: DataFrame, min_prior: int = 14) -> DataFrame:
     ).drop("__mean", "__std")
 
 
+def prior_moments(daily: DataFrame, keys: Sequence[str], order: str = "end_day") -> DataFrame:
+    """(keys, order, n_prior, mean, std) over all earlier rows of each key, merged as central moments.
+
+    `daily` has `n`, the mean `m` and the squared spread `within` of a day. Merging a day into
+    what came before adds its spread and n * N / (N + n) times the square of its distance from
+    the mean so far; all terms are positive, so nothing cancels, however large the mean is
+    beside the deviation. Means are summed as distances from the key's first one.
+    """
+    line = Window.partitionBy(*keys).orderBy(order)
+    prior = line.rowsBetween(Window.unboundedPreceding, -1)
+    n, m = F.col("n"), F.col("m")
+    run = daily.withColumn("__first", F.first("m", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = run.withColumns(
+        {
+            "n_prior": F.coalesce(F.sum("n").over(prior), F.lit(0)),
+            "__far": F.sum(n * (m - F.col("__first"))).over(prior),
+        }
+    )
+    run = run.withColumn("mean", F.col("__first") + F.try_divide(F.col("__far"), F.col("n_prior")))
+    before = F.col("n_prior")
+    grown = F.col("within") + F.coalesce((m - F.col("mean")) * (m - F.col("mean")) * n * before / (before + n), F.lit(0.0))
+    spread = F.sum(grown).over(prior)
+    return run.select(*keys, order, "n_prior", "mean", F.sqrt(F.try_divide(spread, before - 1)).alias("std"))
+
+
 def group_baselines(scores: DataFrame, minimum: dict[str, int] | None = None) -> DataFrame:
     """Mean and sample deviation of all scores of each group on strictly earlier days.
 
     Scores are first reduced to count, mean and squared spread per (group, day), all kinds of
-    groups in one aggregation; running sums over those days follow, so a group holding a
-    third of all users costs as many rows as it has days. The within-day spread is kept
-    apart, so sums of squares do not cancel. The results are joined back by (group, day)
-    for all groups at once; a score's row must be told apart by its columns.
+    groups in one aggregation; `prior_moments` of those days follow, so a group holding a
+    third of all users costs as many rows as it has days. The baselines, a row per group and
+    day, are staged and looked up by a join for each kind of group, which broadcasts them as
+    long as they are below Spark's limit. Rows that repeat stay repeated.
     """
     minimum = GROUP_MINIMUM if minimum is None else minimum
     score = F.col("base_score")
@@ -69,48 +98,23 @@ def group_baselines(scores: DataFrame, minimum: dict[str, int] | None = None) ->
         .groupBy("kind", "value", "end_day")
         .agg(
             F.count(score).alias("n"),
-            F.avg(score).alias("m"),
+            # The mean of equal scores is that score, not a rounded sum.
+            F.when(F.min(score) == F.max(score), F.min(score)).otherwise(F.avg(score)).alias("m"),
             (F.var_pop(score) * F.count(score)).alias("within"),
         )
     )
-    prior = (
-        Window.partitionBy("kind", "value")
-        .orderBy("end_day")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    n, s1, s2 = F.col("n_prior"), F.col("s1"), F.col("s2")
-    run = daily.select(
-        "kind",
-        "value",
-        "end_day",
-        F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("n_prior"),
-        F.sum(F.col("n") * F.col("m")).over(prior).alias("s1"),
-        F.sum(F.col("within") + F.col("n") * F.col("m") * F.col("m")).over(prior).alias("s2"),
-    )
-    variance = F.try_divide(F.greatest(F.lit(0.0), s2 - F.try_divide(s1 * s1, n)), n - 1)
-    std = F.when(variance < 1e-15, F.lit(0.0)).otherwise(F.sqrt(variance))
-    base = run.select("kind", "value", "end_day", "n_prior", F.try_divide(s1, n).alias("mean"), std.alias("std"))
-    # All groups of a score in one join, and back together by the score's own columns.
-    asked = scores.select("*", F.inline(kinds)).alias("a")
-    match = (
-        (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value"))
-        & (F.col("a.end_day") == F.col("b.end_day"))
-    )
-    found = asked.join(base.alias("b"), match, "left").groupBy(*[F.col(f"a.{c}") for c in scores.columns]).agg(*[
-        F.max(F.when(F.col("a.kind") == g, F.struct("b.n_prior", "b.mean", "b.std"))).alias(f"__{g}") for g in minimum
-    ])
+    base = staged(prior_moments(daily, ("kind", "value")), "group-baselines")
+    found = scores
     for group, need in minimum.items():
-        p, side = GROUP_PREFIX.get(group, group), F.col(f"__{group}")
-        enough = side["n_prior"] >= need
-        mean, std = F.when(enough, side["mean"]), F.when(enough, side["std"])
-        found = found.withColumns(
-            {
-                f"{p}_n": side["n_prior"],
-                f"{p}_mean": mean,
-                f"{p}_std": std,
-                f"z_{p}": F.try_divide(score - mean, std),
-            }
-        ).drop(f"__{group}")
+        p = GROUP_PREFIX.get(group, group)
+        enough = F.col("n_prior") >= need
+        side = base.where(F.col("kind") == group).select(
+            F.col("value").alias("__value"), F.col("end_day").alias("__day"), F.col("n_prior").alias(f"{p}_n"),
+            F.when(enough, F.col("mean")).alias(f"{p}_mean"), F.when(enough, F.col("std")).alias(f"{p}_std"),
+        )
+        match = (F.col(group).cast("string") == F.col("__value")) & (F.col("end_day") == F.col("__day"))
+        found = found.join(side, match, "left").drop("__value", "__day")
+        found = found.withColumn(f"z_{p}", F.try_divide(score - F.col(f"{p}_mean"), F.col(f"{p}_std")))
     return found
 
 
