@@ -457,3 +457,26 @@ def test_baselines_of_a_large_mean_and_a_small_deviation(spark):
             std = float(sum((x - mean) ** 2 for x in prior) / (len(prior) - 1)) ** 0.5
             assert r.role_std == pytest.approx(std, rel=1e-6)
             assert r.z_role == pytest.approx(float(Fraction(r.base_score) - mean) / std, abs=1e-6)
+
+
+@pytest.mark.parametrize(("sketch", "ordered"), [(10_000, 1 << 18), (40, 40)])
+def test_quantiles_are_exact_without_sorting(spark, monkeypatch, sketch, ordered):
+    monkeypatch.setattr(ordering, "SKETCH", sketch)
+    monkeypatch.setattr(ordering, "ORDERED", ordered)
+    rng = np.random.default_rng(4)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.995, 1.0]
+    for values in (rng.normal(size=3001), rng.integers(0, 4, 2000).astype(float), np.zeros(50), rng.random(1), np.arange(2.0)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(4)
+        got = ordering.exact_quantiles(df, "v", probs, [f"q{i}" for i in range(7)]).first()
+        assert list(got) == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
+    days = spark.createDataFrame([(n,) for n in (3, 1, 2, 8)], "v int")
+    assert ordering.exact_quantiles(days, "v", [0.5], ["m"]).first().m == 2.5
+    assert ordering.exact_quantiles(days.limit(0), "v", [0.5], ["m"]).first().m is None
+
+
+def test_quantiles_do_not_range_the_scores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordering, "staged", lambda df, label: seen.append(df._jdf.queryExecution().toString()) or df)
+    df = spark.range(5000).select((F.col("id") * 7 % 501).cast("double").alias("v"))
+    assert ordering.exact_quantiles(df, "v", [0.5], ["m"]).first().m == np.median(np.arange(5000) * 7 % 501)
+    assert seen and not any("rangepartitioning" in plan for plan in seen)

@@ -52,22 +52,66 @@ def running_totals(
     )
 
 
+#: Rank error of the sketch is one in so many; its memory grows with it.
+SKETCH = 10_000
+#: Distinct values of a bracket that are put in order in one task; more are bracketed again. At least `SKETCH`.
+ORDERED = 1 << 18
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """One row with the interpolated quantiles of `value`, as `percentile` defines them.
 
-    The ranks are staged, one row per distinct value, so all quantiles come from one pass over
-    them and `df` is read for the ranks alone.
+    A mergeable quantile sketch brackets the ranks in one map-side pass. A second pass counts
+    what is below each bracket and keeps what is inside by value, some six rows in `SKETCH`;
+    where these still have many values, they are bracketed again. So the scores are neither
+    sorted nor shuffled; up to `SKETCH` rows are all kept.
     """
-    ranks = staged(running_totals(df, value, {"n": F.count(F.lit(1))}), "ranks")
-    total = ranks.agg(F.max("cum_n")).first()[0] or 0
-    first = F.col("cum_n") - F.col("n")
+    kind = df.schema[value].dataType.simpleString()
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).alias("value"))
+    rows = known.select(F.explode(F.array(*[F.lit(i) for i in range(len(probs))])).alias("at"), "value")
+    #: By quantile: where its ranks lie among the rows that are left, as a share and, once known, a rank.
+    share = {i: float(p) for i, p in enumerate(probs)}
+    rank: dict[int, int] = {}
+    places: list[float] = []
+    while True:
+        mine = {at: F.when(F.col("at") == at, F.col("value")) for at in share}
+        found = rows.agg(*[
+            F.struct(
+                F.count(mine[at]).alias("n"), F.min(mine[at]).alias("least"), F.max(mine[at]).alias("most"),
+                F.percentile_approx(mine[at], [max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH)], F.lit(SKETCH)).alias("near"),
+            ).alias(f"b{at}")
+            for at, p in share.items()
+        ]).first()
+        bounds = {at: found[f"b{at}"] for at in share}
+        if not bounds[0]["n"]:
+            return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+        if not places:
+            places = [p * (bounds[0]["n"] - 1) for p in share.values()]
+            rank = {at: math.floor(place) for at, place in enumerate(places)}
+        few = {at: b["n"] <= SKETCH for at, b in bounds.items()}
+        low = {at: b["least"] if few[at] else b["near"][0] for at, b in bounds.items()}
+        high = {at: b["most"] if few[at] else b["near"][1] for at, b in bounds.items()}
+        side = lambda ends: F.element_at(F.create_map(*[x for at in share for x in (F.lit(at), F.lit(ends[at]).cast(kind))]), F.col("at"))
+        kept = rows.where(F.col("value") <= side(high)).withColumn("inside", F.when(F.col("value") >= side(low), F.col("value")))
+        counted = staged(kept.groupBy("at", "inside").agg(F.count(F.lit(1)).alias("n")), "bracketed")
+        sizes = {r["at"]: r for r in counted.groupBy("at").agg(
+            F.sum(F.when(F.col("inside").isNull(), F.col("n")).otherwise(0)).alias("below"),
+            F.sum(F.when(F.col("inside").isNotNull(), F.col("n"))).alias("rows"), F.count("inside").alias("kinds"),
+        ).collect()}
+        rank = {at: r - sizes[at]["below"] for at, r in rank.items()}
+        counted = counted.where("inside IS NOT NULL")
+        if max(r["kinds"] for r in sizes.values()) <= ORDERED:
+            break
+        rows = staged(kept.where("inside IS NOT NULL").select("at", "value"), "bracketed-rows")
+        share = {at: rank[at] / max(1, sizes[at]["rows"] - 1) for at in share}
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("at").orderBy("inside")))
+    first = F.col("upto") - F.col("n")
 
-    def at(rank: int) -> Column:
-        return F.max(F.when((first <= rank) & (F.lit(rank) < F.col("cum_n")), F.col(value)))
+    def value_at(at: int, place: int) -> Column:
+        return F.max(F.when((F.col("at") == at) & (first <= place) & (F.lit(place) < F.col("upto")), F.col("inside")))
 
     out = []
-    for p, name in zip(probs, names):
-        place = float(p) * (total - 1)
-        low, high = at(math.floor(place)), at(math.ceil(place))
-        out.append((low + (high - low) * F.lit(place - math.floor(place))).alias(name))
-    return ranks.agg(*out)
+    for at, (place, name) in enumerate(zip(places, names)):
+        below, above = value_at(at, rank[at]), value_at(at, rank[at] + (math.ceil(place) > math.floor(place)))
+        out.append((below + (above - below) * F.lit(place - math.floor(place))).alias(name))
+    return upto.agg(*out)
