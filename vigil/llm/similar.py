@@ -371,8 +371,9 @@ def link_similar(mails: DataFrame, size: int = 4, percent: int = 85) -> DataFram
     are `size` consecutive words, with A-Z lower-cased, or the whole sequence if it is shorter.
     `component_id` is the smallest id that links lead to, the own one included. A content
     without words links with nothing, nor does null; equal sets always link; rows that share an
-    id are judged each by its own content; ids are never null in a component's choice unless
-    all are; other columns are ignored; no rows give no rows.
+    id are judged each by its own content; a content without id links only with equal sets, so
+    callers who may have null ids pass a key that is never null, as the pipeline does; ids are
+    never null in a component's choice unless all are; other columns are ignored; no rows give no rows.
 
     Equal sets are one node. Of the sets that agree in a part, each is first tested against the
     part's first, then against the one with the closest sketch: this ties groups of near copies
