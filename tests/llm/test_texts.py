@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tests.llm import brute
-from vigil.llm import bitmap, components, leaks, repeats, secrets, similar, token_files, words
+from vigil.llm import bitmap, components, leaks, repeats, rows as kept_rows, secrets, similar, token_files, words
 
 KIND = "id long, content string, n int, extra string"
 VOCABULARY = [f"w{i}" for i in range(400)] + ["Été", "naïve", "日本", "a", "b"]
@@ -272,3 +273,46 @@ def test_secrets(spark):
     assert by[10]["spans"] == "owned:0:23" and by[51]["n_copied"] == 1 and by[1]["n_copied"] == 0
     assert all(by[70 + i]["n_owned"] == 0 for i in range(4))  # four owners: copied about
     assert secrets.scan_secrets(files.limit(0)).count() == 0
+
+
+def test_secrets_owners_and_machines_both_decide(spark):
+    value = "Abc9copiedaboutXyz77q"
+    cases = {  # owners, machines of the same value
+        "one owner on many machines": ([("u", f"p{i}") for i in range(9)], True),
+        "two owners on many machines": ([(f"u{i % 2}", f"p{i}") for i in range(6)], False),
+        "two owners on some machines": ([(f"u{i % 2}", f"p{i % 5}") for i in range(6)], True),
+        "many owners": ([(f"u{i}", "p") for i in range(3)], False),
+        "null and empty are two": ([(None, "p"), ("", "p"), ("u", "p")], False),
+        "null twice is one": ([(None, "p"), (None, None), ("u", "")], True),
+    }
+    for label, (places, owned) in cases.items():
+        rows = [(i, u, p, f"see {value} here") for i, (u, p) in enumerate(places)]
+        found = secrets.scan_secrets(spark.createDataFrame(rows, "id long, user_key string, pc string, content string")).collect()
+        assert {r.n_owned for r in found} == {int(owned)}, label
+
+
+def test_secrets_of_a_content_full_of_them(spark):
+    """Time grows with the matches of a content, not with their square; bare runs between them are told apart."""
+    from time import perf_counter
+
+    seconds = {}
+    for n in (2_000, 64_000):
+        text = "token=abcdefgh1 Abc9bareRunXyz77qLong0 " * n
+        files = spark.createDataFrame([(1, "u", "p", text)], "id long, user_key string, pc string, content string")
+        begin = perf_counter()
+        (row,) = secrets.scan_secrets(files).collect()
+        seconds[n] = perf_counter() - begin
+        assert (row.n_assign, row.n_owned) == (n, n)
+    assert row.spans.endswith(f"owned:{39 * n - 23}:{39 * n - 1}")
+    assert seconds[64_000] < 60, seconds
+
+
+def test_rows_may_have_columns_of_any_name(spark):
+    kind = "id long, hash int, __hash int, `KEY` string, key_ string, hash_ long"
+    data = [(i, 1, 2, None if i % 3 else "k", "x", i) for i in range(12)] * 2
+    docs = spark.createDataFrame(data, kind)
+    key = F.struct("id")
+    pick = lambda wanted: spark.createDataFrame([((i,),) for i in wanted], "k struct<id: long>")
+    left = kept_rows.without(docs, key, pick([1, 2]), pick(range(3, 12)))
+    assert left.columns == docs.columns
+    assert sorted(r.id for r in left.collect()) == sorted([0, 0, *range(3, 12)])

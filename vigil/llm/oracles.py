@@ -70,13 +70,16 @@ found AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM o WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
     AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = o.doc_id AND base.s < o.e AND o.s < base.e)
-), owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n FROM found GROUP BY value),
-kept AS (
-  SELECT f.*, n, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || e AS span
-  FROM found f JOIN owners USING (value) WHERE k < 3 OR n < 3
+), owners AS (
+  SELECT value, n >= 3 OR n > 1 AND m >= 6 AS about FROM (
+    SELECT value, count(DISTINCT source) + max((source IS NULL)::INT) AS n, count(DISTINCT concat_ws('/', source, lang)) AS m
+    FROM found GROUP BY value)
+), kept AS (
+  SELECT f.*, about, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || s || ':' || e AS span
+  FROM found f JOIN owners USING (value) WHERE k < 3 OR NOT about
 )
 SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
-  count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (k < 3 AND n >= 3) AS n_copied,
+  count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (k < 3 AND about) AS n_copied,
   sha256(coalesce(string_agg(span, ',' ORDER BY s, k, e) FILTER (k < 3), '')) AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY s, k, e), '') AS spans
 FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id

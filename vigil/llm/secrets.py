@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.llm.store import staged
 
@@ -19,33 +20,31 @@ _HEX = r"[0-9a-f]{32,}"
 #: What the ownership count may add: long runs of mixed characters.
 _BARE = r"[A-Za-z0-9+/_.=-]{20,}"
 _SHORTEST_VALUE = 8
-#: Values that so many owners have are examples that were copied.
+#: Values that so many owners have are examples that were copied; so are those of two owners on so many machines.
 COPIED_BY = 3
+COPIED_TO = 6
 
 
-def _matches(content: Column, pattern: str, kind: int, value_group: int | None = None) -> Column:
-    """Leftmost non-overlapping matches: array of (kind, start, end, value), in code points.
+def _matches(content: Column, pattern: str, kind: int, value_group: int = 0, shortest: int = 0) -> Column:
+    """Leftmost non-overlapping matches in order: array of (kind, number, gap, size, hash).
 
-    Each is taken together with the gap before it, anchored where the last one ended, so
-    running sums of the lengths give the places.
+    `gap` and `size` are the code points before a match, from the last one on, and in it: what
+    stands between the matches and the matches themselves are two passes over the content. A
+    match that does not count, but takes its place, has no hash.
     """
-    whole = r"\G((?s:.*?))(?:" + pattern + ")"
-    gaps = F.regexp_extract_all(content, F.lit(whole), F.lit(1))
-    both = F.regexp_extract_all(content, F.lit(whole), F.lit(0))
-    parts = [gaps.alias("gap"), both.alias("both")]
-    if value_group:
-        parts.append(F.regexp_extract_all(content, F.lit(whole), F.lit(value_group + 1)).alias("value"))
+    parts = F.arrays_zip(
+        F.split(content, pattern, -1).alias("gap"), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("found")
+    )
 
-    def next_match(done: Column, part: Column) -> Column:
-        start = done["at"] + F.length(part["gap"])
-        end = done["at"] + F.length(part["both"])
-        value = part["value"] if value_group else F.substring(part["both"], F.length(part["gap"]) + 1, end - start)
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.array_append(done["found"], one).alias("found"))
+    def one(part: Column, number: Column) -> Column:
+        value = F.regexp_extract(part["found"], pattern, value_group) if value_group else part["found"]
+        counts = _live_looking(value) if KINDS[kind] == "owned" else F.length(value) >= shortest
+        return F.struct(
+            F.lit(kind).alias("kind"), number.alias("number"), F.length(part["gap"]).alias("gap"),
+            F.length(part["found"]).alias("size"), F.when(counts, F.sha2(value, 256)).alias("hash"),
+        )
 
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    empty = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.aggregate(F.arrays_zip(*parts), empty, next_match, lambda done: done["found"])
+    return F.transform(F.filter(parts, lambda part: part["found"].isNotNull()), one)
 
 
 def _live_looking(value: Column) -> Column:
@@ -62,58 +61,73 @@ def _text(spans: Column) -> Column:
 
 
 def secret_candidates(files: DataFrame) -> DataFrame:
-    """Candidates of every whole content: row, id, user_key, pc, spans.
+    """Matches of every whole content: row, id, user_key, pc, matches; values are kept as hashes only.
 
-    `spans` holds (kind, start, end, hash); values themselves are not kept. `row` numbers the
-    rows; it is only steady once the result has been written.
+    `row` numbers the rows; it is only steady once the result has been written.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
-    assigned = F.filter(_matches(content, _ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= _SHORTEST_VALUE)
-    base = F.concat(assigned, _matches(content, _ACCESS, 1), _matches(content, _HEX, 2))
-    bare = F.filter(_matches(content, _BARE, 3), lambda s: _live_looking(s["value"]))
-    found = files.select(
+    return files.select(
         F.monotonically_increasing_id().alias("row"), "id",
         F.col("user_key").cast("string").alias("user_key"), F.col("pc").cast("string").alias("pc"),
-        base.alias("base"), bare.alias("bare"),
-    )
-    apart = F.filter("bare", lambda b: ~F.exists("base", lambda s: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    hashed = F.transform(
-        F.concat(F.col("base"), apart),
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")),
+        F.concat(
+            _matches(content, _ASSIGN, 0, 2, _SHORTEST_VALUE), _matches(content, _ACCESS, 1), _matches(content, _HEX, 2),
+            _matches(content, _BARE, 3),
+        ).alias("matches"),
     )
-    return found.select("row", "id", "user_key", "pc", hashed.alias("spans"))
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
+def secret_spans(candidates: DataFrame) -> DataFrame:
+    """Candidates in place: row, user_key, pc, kind, start, end, hash; bare ones only outside all others.
+
+    Places are running sums along a content's matches, and whether a bare run touches another
+    span is told by the last end before it and the next start behind it, so a content costs
+    what its matches take to sort.
+    """
+    each = candidates.where(F.size("matches") > 0).select("row", "user_key", "pc", F.inline("matches"))
+    along = Window.partitionBy("row", "kind").orderBy("number")
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(along).cast("int"))
+    placed = placed.withColumn("start", F.col("end") - F.col("size")).where(F.col("hash").isNotNull())
+    bare = F.col("kind") == 3
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = placed.withColumns({
+        "last_end": F.max(F.when(~bare, F.col("end"))).over(before),
+        "next_start": F.min(F.when(~bare, F.col("start"))).over(behind),
+    })
+    touched = bare & (F.coalesce(F.col("last_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next_start") < F.col("end"), F.lit(False)))
+    return marked.where(~touched).select("row", "user_key", "pc", "kind", "start", "end", "hash")
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """Distinct owners and machines of each value's hash: hash, n_owners, n_machines.
 
     Copies are folded in the map tasks first, so a value a third of all contents hold arrives
-    as one row per owner, machine and task.
+    as one row per owner, machine and task. A null owner or machine is one of its own.
     """
-    places = candidates.select(F.explode("spans.hash").alias("hash"), "user_key", "pc").distinct()
-    return places.groupBy("hash").agg(
-        F.countDistinct(F.coalesce("user_key", F.lit(""))).alias("n_owners"),
-        F.countDistinct(F.coalesce("pc", F.lit(""))).alias("n_machines"),
-    )
+    places = spans.select("hash", F.struct("user_key").alias("owner"), F.struct("pc").alias("machine")).distinct()
+    return places.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("machine").alias("n_machines"))
 
 
-def scan_secrets(files: DataFrame, copied_by: int = COPIED_BY) -> DataFrame:
+def scan_secrets(files: DataFrame, copied_by: int = COPIED_BY, copied_to: int = COPIED_TO) -> DataFrame:
     """Secrets in every whole content, told apart by how many owners have the same value.
 
-    Returns id, n_assign, n_access, n_hex, n_owned, n_copied, base_sha256, spans. The three
-    base patterns always count; a long run of mixed characters outside them is added, as kind
-    `owned`, if fewer than `copied_by` owners have it, since examples that are copied about
-    have many. `n_copied` counts base spans whose value that many owners have. Null content is
-    empty, a null owner or machine is one of its own, repeated rows give repeated results,
-    other columns are ignored, no rows give no rows.
+    Returns id, n_assign, n_access, n_hex, n_owned, n_copied, base_sha256, spans. A value is
+    copied about if at least `copied_by` owners have it, or if more than one has it on at least
+    `copied_to` machines; one owner's value stays that owner's on however many machines.
+    The three base patterns always count; a long run of mixed characters outside them is added,
+    as kind `owned`, unless it is copied about. `n_copied` counts base spans with such a value.
+    Null content is empty, a null owner or machine is one of its own, repeated rows give repeated
+    results, other columns are ignored, no rows give no rows.
     """
     found = staged(secret_candidates(files), "secret-candidates")
-    owners = staged(ownership(found), "secret-owners")
-    some = found.where(F.size("spans") > 0)
-    each = some.select("row", F.inline("spans")).join(owners, "hash")
+    spans = staged(secret_spans(found), "secret-spans")
+    owners = staged(ownership(spans), "secret-owners")
+    some = found.where(F.size("matches") > 0)
+    each = spans.select("row", "kind", "start", "end", "hash").join(owners, "hash")
     # A content's candidates meet again by row; a copied value's rows are split by AQE before.
-    kept = each.where((F.col("kind") < 3) | (F.col("n_owners") < copied_by))
-    copied = (F.col("kind") < 3) & (F.col("n_owners") >= copied_by)
+    about = (F.col("n_owners") >= copied_by) | ((F.col("n_owners") > 1) & (F.col("n_machines") >= copied_to))
+    kept = each.where((F.col("kind") < 3) | ~about)
+    copied = (F.col("kind") < 3) & about
     judged = kept.groupBy("row").agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("spans"),
         F.sum(copied.cast("long")).alias("n_copied"),
@@ -122,7 +136,7 @@ def scan_secrets(files: DataFrame, copied_by: int = COPIED_BY) -> DataFrame:
     rows = some.select("row", "id").join(judged, "row", "left").select(
         "id", F.coalesce("spans", none).alias("spans"), F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied")
     )
-    clean = found.where(F.size("spans") == 0).select("id", none.alias("spans"), F.lit(0).cast("long").alias("n_copied"))
+    clean = found.where(F.size("matches") == 0).select("id", none.alias("spans"), F.lit(0).cast("long").alias("n_copied"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return rows.unionByName(clean).select(
