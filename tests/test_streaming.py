@@ -123,3 +123,28 @@ def test_an_ended_stream_gives_the_batch_result(spark, tmp_path):
     ingest.end_row(spark, df.schema).write.mode("append").parquet(control)
     after = [(r.user_key, r.day) for r in drain(days(), tmp_path, "days").collect()]
     assert before < set(after) and sorted(after) == sorted((r[1], r[0].date()) for r in rows)
+
+
+def test_files_of_any_layout_are_ingested(spark, tmp_path):
+    """Each file by its own header; what does not fit is set aside, and copies across batches count once."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,date,user,pc,activity\n1,01/02/2010 06:00:00,U1,p1,Logon\n2,01/02/2010 09:00:00,U2,p1,Logoff\n")
+    (folder / "b.csv").write_text("pc,extra,user,DATE,id\np2,x,U3,01/03/2010 09:00:00,3\n")
+    (folder / "c.csv").write_text("id,user\n4,U4\n")
+    (folder / "d.csv").write_text("\n")
+    (folder / "none.csv").write_text("")
+
+    def run():
+        job = ingest.ingest_files(spark, str(folder), "logon", out, str(tmp_path / "cp"), once=True, files_a_batch=3)
+        job.awaitTermination()
+        assert job.exception() is None
+
+    run()
+    got = sorted((r.id, r.user_key, r.pc, r.after_hours) for r in ingest.read_ingested(spark, out, "logon").collect())
+    assert got == [("1", "u1", "p1", True), ("2", "u2", "p1", False), ("3", "u3", "p2", False)]
+    aside = sorted((r.file.rsplit("/", 1)[1], r["head"], r.reason) for r in ingest.read_quarantine(spark, out).collect())
+    assert aside == [("c.csv", "id,user", "needs date"), ("d.csv", "", "empty")]
+    (folder / "e.csv").write_text("user,id,date\nU1,1,01/02/2010 06:00:00\nU5,5,01/02/2010 10:00:00\n")
+    run()
+    assert sorted(r.id for r in ingest.read_ingested(spark, out, "logon").collect()) == ["1", "2", "3", "5"]

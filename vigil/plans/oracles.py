@@ -894,6 +894,7 @@ oracle("model_bundle_roundtrip", "SELECT user_key, day AS end_day, TRUE AS same
 oracle("csv_events_roundtrip", f"""
 SELECT user_key, CASE WHEN event_id % 2 = 0 THEN 'logon' ELSE 'logoff' END AS activity, ah AS after_hours, {b('count(*)', 'n')},
   {b('count(DISTINCT pc)', 'machines')} FROM ev WHERE domain = 'logon' GROUP BY ALL""")
+ORACLES["stream_csv_events"] = ORACLES["csv_events_roundtrip"] + " UNION ALL SELECT '', 'set aside', FALSE, 0, 1"
 oracle("profiles_roundtrip", f"SELECT user_key, day, {b('count(*)', 'n')} FROM ev WHERE domain = 'logon' GROUP BY ALL")
 ORACLES["alerts_json_roundtrip"] = ORACLES["raw_alert_scores"]
 oracle("daily_scan", f"SELECT user_key, day, {b('http_n_http')} FROM wide WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")

@@ -13,7 +13,7 @@ from vigil.session import scratch_path
 from vigil.sources import driver_tables as tables, readers, writers
 
 
-def _logon_files(spark, sf):
+def logon_files(spark, sf):
     """Logons as raw CSV: two files whose headers differ in order, names and columns."""
     events = tables.table(spark, sf, "events").where(F.col("event_type") == "signup")
     rows = tables.event_columns(events).select(
@@ -32,7 +32,7 @@ def _logon_files(spark, sf):
 
 
 def _clean_logons(spark, sf):
-    return enrich.clean_events(readers.read_events(spark, _logon_files(spark, sf), "logon"), "logon")
+    return enrich.clean_events(readers.read_events(spark, logon_files(spark, sf), "logon"), "logon")
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import rules, watch
-from vigil.plans import frames
+from vigil.plans import frames, source_queries
 from vigil.plans.queries import query
 from vigil.session import scratch_path
 from vigil.sources import driver_tables as tables
@@ -44,6 +44,26 @@ def stream_daily(spark, sf):
     return _drain(windows.stream_daily(_events(spark, sf)), "stream-daily").drop("ts")
 
 
+@query
+def stream_csv_events(spark, sf):
+    """Logons streamed from raw files of two layouts, with a third kind that does not fit and is set aside."""
+    path, out = source_queries.logon_files(spark, sf), scratch_path(spark, "ingested")
+    strays = tables.event_columns(tables.table(spark, sf, "events")).select("pc", "user_key").limit(20)
+    strays.coalesce(1).write.mode("append").option("header", True).csv(path)
+    job = ingest.ingest_files(spark, path, "logon", out, f"{out}/checkpoint", once=True, files_a_batch=5)
+    job.awaitTermination()
+    if job.exception() is not None:
+        raise job.exception()
+    events = ingest.read_ingested(spark, out, "logon").groupBy("user_key", "activity", "after_hours").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("pc").alias("machines")
+    )
+    aside = ingest.read_quarantine(spark, out).agg(F.countDistinct("reason").alias("reasons")).select(
+        F.lit("").alias("user_key"), F.lit("set aside").alias("activity"), F.lit(False).alias("after_hours"),
+        F.lit(0).cast("long").alias("n"), F.col("reasons").alias("machines"),
+    )
+    return events.unionByName(aside)
+
+
 @query
 def stream_trend(spark, sf):
     """Sliding weeks of the event stream."""

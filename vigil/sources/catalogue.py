@@ -8,6 +8,7 @@ limit for all files, and a Python function that stops early still has the whole
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -61,22 +62,35 @@ def header_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return listed.repartition(max(1, -(-len(files) // FILES_A_TASK))).mapInArrow(_heads, "file string, opened boolean, head string")
 
 
-def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """{header line: paths of the files that begin with it}; empty files are left out.
+def heads(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
+    """{path of a file: its first line, '' where it is empty}.
 
     One row per file comes to the driver, as Spark's own file list does. Files in a store that
     tasks cannot open by themselves are scanned by Spark.
     """
-    heads: dict[str, str] = {}
+    found: dict[str, str] = {}
     closed: list[str] = []
     for row in header_lines(spark, path).toLocalIterator():
-        if not row["opened"]:
+        if row["opened"]:
+            found[unquote(row["file"])] = (row["head"] or "").removeprefix("\ufeff")
+        else:
             closed.append(unquote(row["file"]))
-        elif row["head"] is not None:
-            heads[unquote(row["file"])] = row["head"]
     if closed:
-        heads |= _scanned(spark, closed)
+        one_form = lambda f: f.replace("file:///", "file:/", 1)
+        scanned = {one_form(f): head for f, head in _scanned(spark, closed).items()}
+        found |= {f: scanned.get(one_form(f), "").removeprefix("\ufeff") for f in closed}
+    return found
+
+
+def layouts(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """{header line: paths of the files that begin with it}; empty files are left out."""
     groups: dict[str, list[str]] = {}
-    for file, head in heads.items():
-        groups.setdefault(head.removeprefix("\ufeff"), []).append(file)
+    for file, head in heads(spark, path).items():
+        if head:
+            groups.setdefault(head, []).append(file)
     return {head: sorted(files) for head, files in sorted(groups.items())}
+
+
+def columns_of(head: str) -> list[str]:
+    """The column names of a header line."""
+    return [c.strip() for c in next(csv.reader([head]), [])]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +15,7 @@ from vigil.sources import catalogue
 
 def _layouts(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
     """(columns, files) of the CSV files at `path`, by their header lines."""
-    found = catalogue.layouts(spark, path)
-    return [([c.strip() for c in next(csv.reader([head]))], files) for head, files in found.items()]
+    return [(catalogue.columns_of(head), files) for head, files in catalogue.layouts(spark, path).items()]
 
 
 def _by_header(spark: SparkSession, path: str, wanted: Sequence[str], needed: Sequence[str] = ()) -> DataFrame:

@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from vigil.operators import enrich
 from vigil.schemas import raw_events_schema
+from vigil.sources import catalogue, readers
 
 WATERMARK = "2 days"
 
@@ -84,6 +86,58 @@ def stream_events(
     return dedupe_stream(timed, tuple_columns=enrich.EVENT_TUPLES[domain]).withColumn("domain", F.lit(domain))
 
 
+#: Columns without which a file holds no events; the user of a mail is told by its sender.
+NEEDED = {"email": ("date", "from")}
+_LISTED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def ingest_files(
+    spark: SparkSession, path: str, domain: str, out: str, checkpoint: str, once: bool = False,
+    files_a_batch: int = 1000, **cleaning,
+) -> StreamingQuery:
+    """Clean events from CSV files of any layout as they are dropped into `path`.
+
+    A batch is a list of files: each is read by its own header, whichever releases come
+    together, and cleaned as in batch. A file that lacks a needed column, or a header, is listed
+    in `out`/quarantine with what its first line was, and the stream goes on; files of no bytes are passed over. Events go to
+    `out`/events, both in a folder per batch that a batch tried again overwrites. Files are listed
+    without being read; `read_ingested` gives the events, copies across batches removed.
+    """
+    needed = NEEDED.get(domain, ("date", "user"))
+    listed = spark.readStream.format("binaryFile").schema(_LISTED).option("maxFilesPerTrigger", files_a_batch)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        files = [r["path"] for r in batch.select("path").toLocalIterator()]
+        if not files:
+            return
+        good, bad = [], []
+        for file, head in catalogue.heads(session, files).items():
+            missing = sorted(set(needed) - {c.lower() for c in catalogue.columns_of(head)})
+            if missing:
+                bad.append((file, head, f"needs {', '.join(missing)}" if head else "empty"))
+            else:
+                good.append(file)
+        session.createDataFrame(bad, "file string, head string, reason string").coalesce(1).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        if good:
+            clean = enrich.clean_events(readers.read_events(session, good, domain), domain, **cleaning)
+            clean.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
+
+    job = listed.load(path).select("path").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (job.trigger(availableNow=True) if once else job).start()
+
+
+def read_ingested(spark: SparkSession, out: str, domain: str) -> DataFrame:
+    """All events that `ingest_files` has written; an event in two batches counts once."""
+    rows = spark.read.parquet(f"{out}/events").drop("batch")
+    return enrich.dedupe_events(rows, "id", [c for c in enrich.EVENT_TUPLES[domain] if c in rows.columns])
+
+
+def read_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    """(file, head, reason, batch) of the files that did not fit."""
+    return spark.read.schema("file string, head string, reason string, batch long").parquet(f"{out}/quarantine")
+
+
 def stream_enrich(events: DataFrame, directory: DataFrame, bounds: DataFrame) -> DataFrame:
     """Stream against static directory; the static side is read anew in every batch."""
     return enrich.flag_active(enrich.join_bounds(enrich.join_directory(events, directory), bounds))
