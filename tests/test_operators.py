@@ -480,3 +480,19 @@ def test_quantiles_do_not_range_the_scores(spark, monkeypatch):
     df = spark.range(5000).select((F.col("id") * 7 % 501).cast("double").alias("v"))
     assert ordering.exact_quantiles(df, "v", [0.5], ["m"]).first().m == np.median(np.arange(5000) * 7 % 501)
     assert seen and not any("rangepartitioning" in plan for plan in seen)
+
+
+def test_checks_while_writing_are_those_of_a_scan(spark, tmp_path):
+    data = [("u", day(0), 1, 0.5, 1, None, None), ("u", day(0), -2, 1.5, 7, 3, 0.1), (None, day(1), 0, None, 0, -1, 2.0), ("", day(2), None, 0.0, None, 4, None)]
+    kind = "user_key string, day date, logon_n_logon long, logon_after_hours_rate double, logon_is_active_employee_day int, http_n_http long, http_after_hours_rate double"
+    df = spark.createDataFrame(data, kind).repartition(3)
+    there = lambda c: F.coalesce(F.col(c), F.lit(0)) != 0
+    parts = {"logon": ("logon_", there("logon_n_logon")), "http": ("http_", there("http_n_http"))}
+    got = quality.write_checked(df, str(tmp_path / "t"), "daily_user", parts)
+    want = quality.check_values(df, "daily_user")
+    for name, (prefix, rows_of) in parts.items():
+        side = df.where(rows_of).select("user_key", "day", *[F.col(c).alias(c[len(prefix):]) for c in df.columns if c.startswith(prefix)])
+        want = want.unionByName(quality.check_values(side, name))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    assert quality.write_checked(df.limit(0), str(tmp_path / "none"), "daily_user", parts).where("bad > 0 OR total > 0").count() == 0

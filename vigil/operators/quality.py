@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 FINDING = "check string, table string, column string, bad bigint, total bigint"
@@ -22,8 +22,8 @@ REQUIRED = {
 PREFIX_REQUIRED = ("after_hours_rate", "is_active_employee_day")
 
 
-def _matching(df: DataFrame, pattern: str) -> list[str]:
-    return [c for c in df.columns if fnmatch.fnmatch(c, pattern)]
+def _matching(columns: Sequence[str], pattern: str) -> list[str]:
+    return [c for c in columns if fnmatch.fnmatch(c, pattern)]
 
 
 def check_columns(spark: SparkSession, df: DataFrame, table: str, required: Sequence[str]) -> DataFrame:
@@ -38,19 +38,23 @@ def check_prefixes(
     return check_columns(spark, df, table, [f"{d}_{s}" for d in domains for s in suffixes])
 
 
-def _rules(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, str, Column]]:
-    """(check, column, condition of a bad row) for everything a single pass can see."""
+def _rules(columns: Sequence[str], keys: Sequence[str], prefix: str = "") -> list[tuple[str, str, Column]]:
+    """(check, column, condition of a bad row) for everything a single pass can see.
+
+    With a `prefix`, a column is found under its name with the prefix before it; keys have none.
+    """
     out = []
+    at = lambda c: F.col(prefix + c)
     for k in keys:
         blank = F.col(k).isNull() | (F.col(k).cast("string") == "")
         out.append(("null_key", k, blank))
-    for c in sorted({*_matching(df, "n_*"), *_matching(df, "*_n_*")}):
-        out.append(("nonnegative", c, F.col(c) < 0))
-    for c in _matching(df, "*_rate"):
-        out.append(("rate_bounds", c, (F.col(c) < 0) | (F.col(c) > 1)))
-        out.append(("rate_null", c, F.col(c).isNull()))
-    for c in sorted({*_matching(df, "is_active_employee_day"), *_matching(df, "*_is_active_employee_day")}):
-        out.append(("flag_01", c, ~F.col(c).isin(0, 1)))
+    for c in sorted({*_matching(columns, "n_*"), *_matching(columns, "*_n_*")}):
+        out.append(("nonnegative", c, at(c) < 0))
+    for c in _matching(columns, "*_rate"):
+        out.append(("rate_bounds", c, (at(c) < 0) | (at(c) > 1)))
+        out.append(("rate_null", c, at(c).isNull()))
+    for c in sorted({*_matching(columns, "is_active_employee_day"), *_matching(columns, "*_is_active_employee_day")}):
+        out.append(("flag_01", c, ~at(c).isin(0, 1)))
     return out
 
 
@@ -59,7 +63,7 @@ def check_values(df: DataFrame, table: str, keys: Sequence[str] = ("user_key", "
 
     Rows are first reduced per key, which also tells duplicates, then summed: one pass.
     """
-    rules = _rules(df, keys)
+    rules = _rules(df.columns, keys)
     bad = [F.count_if(F.coalesce(cond, F.lit(False))).alias(f"b{i}") for i, (_, _, cond) in enumerate(rules)]
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *bad)
     sums = per_key.agg(
@@ -79,6 +83,39 @@ def check_values(df: DataFrame, table: str, keys: Sequence[str] = ("user_key", "
     return sums.select(F.inline(F.array(*rows)))
 
 
+def write_checked(
+    df: DataFrame, path: str, table: str, parts: Mapping[str, tuple[str, Column]] | None = None,
+    keys: Sequence[str] = ("user_key", "day"),
+) -> DataFrame:
+    """Writes `df` and returns its findings, collected while it is written.
+
+    `parts` are narrower tables that `df` holds side by side: by name, the prefix of their columns
+    and which rows have one. Values are checked by an `Observation` on the write, for all tables
+    at once, so `df` is computed and read once; only repeated keys are told afterwards, from the
+    key columns of what was written.
+    """
+    tables = {table: ("", F.lit(True)), **(parts or {})}
+    named: list[tuple[str, str, str]] = []
+    seen = Observation(f"checks of {table}")
+    metrics: list[Column] = []
+    for t, (name, (prefix, there)) in enumerate(tables.items()):
+        columns = [c[len(prefix):] for c in df.columns if c.startswith(prefix) and c not in keys]
+        metrics.append(F.count_if(there).alias(f"total{t}"))
+        for check, column, bad in _rules(columns, keys, prefix):
+            metrics.append(F.count_if(there & F.coalesce(bad, F.lit(False))).alias(f"m{len(named)}"))
+            named.append((check, name, column))
+    df.observe(seen, *metrics).write.option("compression", "zstd").parquet(path)
+    got = seen.get
+    total = {name: got[f"total{t}"] for t, name in enumerate(tables)}
+    per_key = df.sparkSession.read.schema(df.schema).parquet(path).groupBy(*keys).agg(
+        *[F.count_if(there).alias(f"k{t}") for t, (_, there) in enumerate(tables.values())]
+    )
+    again = per_key.agg(*[F.sum(F.greatest(F.col(f"k{t}") - 1, F.lit(0))).alias(f"k{t}") for t in range(len(tables))]).first()
+    rows = [("unique_key", name, "+".join(keys), again[f"k{t}"] or 0, total[name]) for t, name in enumerate(tables)]
+    rows += [(check, name, column, got[f"m{i}"], total[name]) for i, (check, name, column) in enumerate(named)]
+    return df.sparkSession.createDataFrame(rows, FINDING)
+
+
 def check_min_rows(df: DataFrame, table: str, n: int = 1000) -> DataFrame:
     """Bad when a lookup has fewer than `n` rows."""
     counted = df.agg(F.count(F.lit(1)).alias("total"))

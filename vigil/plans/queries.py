@@ -29,6 +29,7 @@ from vigil.operators import (
 )
 from vigil.plans import frames
 from vigil.schemas import DIRECTION_FLAGS, DOMAINS, POST_DEPARTURE_COLUMNS, ROLLING_COLUMNS
+from vigil.session import scratch_path
 from vigil.sources import driver_tables as tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -824,10 +825,12 @@ def lead_time_stats(spark, sf):
 @query
 def quality_report(spark, sf):
     """Value checks of all five daily tables and their union, their columns, and a lookup's size."""
-    counts = frames.staged(frames.counts(spark, sf), "counts")
-    wide = daily.daily_user_tall(counts)
-    dailies = {f"{d}_daily": daily.domain_daily(counts, d) for d in DOMAINS}
-    found = quality.quality_report({"daily_user": wide, **dailies})
+    wide = frames.daily_user(spark, sf)
+    parts = {f"{d}_daily": (f"{d}_", F.coalesce(F.col(daily.COUNT_COLUMNS[d]), F.lit(0)) > 0) for d in DOMAINS}
+    found = quality.write_checked(wide, scratch_path(spark, "checked-days"), "daily_user", parts)
+    dailies = {f"{d}_daily": wide.select("user_key", "day", *[
+        F.col(c).alias(c[len(d) + 1 :]) for c in wide.columns if c.startswith(f"{d}_")
+    ]) for d in DOMAINS}
     for name, df in dailies.items():
         found = found.unionByName(quality.check_columns(spark, df, name, quality.REQUIRED[name]))
     found = found.unionByName(quality.check_prefixes(spark, wide, "daily_user", DOMAINS))
