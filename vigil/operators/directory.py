@@ -61,7 +61,10 @@ def resolve_supervisor(directory: DataFrame) -> DataFrame:
         directory, F.contains(name, F.lit("@")), "supervisor holds an address; names are required"
     )
     keyed = guarded.withColumn("name", text.norm_name(F.col("supervisor")))
-    return keyed.join(supervisor_map(directory), ["event_month", "name"], "left").drop("name")
+    # Rows without a supervisor match nothing; the spread keeps them from meeting in one task.
+    keyed = keyed.withColumn("spread", F.when(F.col("name").isNull(), F.pmod(F.xxhash64("user_key"), F.lit(256))).otherwise(0))
+    named = supervisor_map(directory).withColumn("spread", F.lit(0).cast("long"))
+    return keyed.join(named, ["event_month", "name", "spread"], "left").drop("name", "spread")
 
 
 def build_directory(raw: DataFrame) -> DataFrame:

@@ -255,6 +255,13 @@ cte("numbered", "SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY day
 oracle("window14_rows", f"""
 SELECT a.user_key, a.day AS end_day, p.day, {b('p.usb_count_1d')}, {r('p.ah_rate_1d')}
 FROM numbered a JOIN numbered p ON p.user_key = a.user_key AND p.rn BETWEEN a.rn - 13 AND a.rn WHERE a.rn >= 14""")
+oracle("window_last_days", f"""
+SELECT a.user_key, a.day AS end_day, p.day, {b('p.usb_count_1d')}, {r('p.ah_rate_1d')}
+FROM numbered a JOIN numbered p ON p.user_key = a.user_key AND p.rn BETWEEN a.rn - 13 AND a.rn AND p.day >= a.day - 6 WHERE a.rn >= 14""")
+oracle("windows_json_roundtrip", f"""
+SELECT a.user_key, a.day AS end_day, p.day, {r('CASE WHEN day(a.day) % 2 = 0 THEN p.usb_count_1d END', 'usb_count_1d')},
+  {r('CASE WHEN p.ah_rate_1d > 0 THEN p.ah_rate_1d END', 'ah_rate_1d')}
+FROM numbered a JOIN numbered p ON p.user_key = a.user_key AND p.rn BETWEEN a.rn - 13 AND a.rn WHERE a.rn >= 14""")
 oracle("window14_calendar", f"""
 SELECT a.user_key, a.day, {b('count(*)', 'n_rows')}, {b('sum(p.usb_count_1d)', 'usb')}, {r('avg(p.ah_rate_1d)', 'ah')}
 FROM one a JOIN one p ON p.user_key = a.user_key AND p.day BETWEEN a.day - 13 AND a.day GROUP BY a.user_key, a.day""")
@@ -468,6 +475,9 @@ cte("sraw14", "SELECT * FROM sraw WHERE n = 14")
 cte("sc", """
 SELECT s.user_key, s.end_day, fc, round((raw - (SELECT min(raw) FROM sraw14)) / ((SELECT max(raw) FROM sraw14) - (SELECT min(raw) FROM sraw14)), 9) AS base_score,
   role_id, business_unit, functional_unit, department, team_id FROM sraw14 s LEFT JOIN people USING (user_key)""")
+oracle("score_cohorts", f"""
+SELECT cohort, role_id, {b('count(*)', 'windows')}, {b('count(DISTINCT user_key)', 'users')}, {r('avg(base_score)', 'mean')} FROM (
+  SELECT 'high' AS cohort, * FROM sc WHERE base_score >= 0.6 UNION ALL SELECT 'low', * FROM sc WHERE base_score <= 0.2) GROUP BY cohort, role_id""")
 _P = "(PARTITION BY user_key ORDER BY end_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 cte("pz", f"""
 SELECT *, count(*) OVER p AS prior_n, avg(base_score) OVER p AS pm, stddev_samp(base_score) OVER p AS ps FROM sc WINDOW p AS {_P}""")

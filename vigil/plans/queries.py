@@ -133,6 +133,26 @@ def window14_rows(spark, sf):
     return df.select("user_key", "end_day", F.inline("window"))
 
 
+@query
+def window_last_days(spark, sf):
+    """The array windows cut to the seven calendar days before their end."""
+    df = rolling.windows(frames.features(spark, sf), ["usb_count_1d", "ah_rate_1d"])
+    return rules.last_n_days(df, 7).select("user_key", "end_day", F.inline("window"))
+
+
+@query
+def windows_json_roundtrip(spark, sf):
+    """Windows as JSON text whose rows lack a field, add one or hold none of a kind, and back."""
+    df = rolling.windows(frames.features(spark, sf), ["usb_count_1d", "ah_rate_1d"])
+    odd = F.dayofmonth("end_day") % 2 == 1
+    row = lambda r: F.struct(
+        F.lit("x").alias("extra"), F.when(r["ah_rate_1d"] > 0, r["ah_rate_1d"]).alias("ah_rate_1d"),
+        r["day"].alias("day"), F.when(~odd, r["usb_count_1d"]).alias("usb_count_1d"),
+    )
+    texts = df.select("user_key", "end_day", F.to_json(F.reverse(F.transform("window", row))).alias("window_json"))
+    return rolling.import_windows(texts, ["usb_count_1d", "ah_rate_1d"]).select("user_key", "end_day", F.inline("window"))
+
+
 @query
 def window14_calendar(spark, sf):
     total = F.sum("usb_count_1d")
@@ -602,6 +622,15 @@ def insider_score_stats(spark, sf):
     return scores.insider_stats(frames.window_scores(spark, sf), frames.insiders(spark, sf))
 
 
+@query
+def score_cohorts(spark, sf):
+    """Windows with high and with low scores, one cohort after the other, by role."""
+    found = frames.window_scores(spark, sf)
+    high, low = found.where(F.col("base_score") >= 0.6), found.where(F.col("base_score") <= 0.2)
+    both = scores.stack_cohorts(high.withColumn("cohort", F.lit("high")), low.withColumn("cohort", F.lit("low")))
+    return both.groupBy("cohort", "role_id").agg(F.count(F.lit(1)).alias("windows"), F.countDistinct("user_key").alias("users"), F.avg("base_score").alias("mean"))
+
+
 @query
 def window_indicators(spark, sf):
     feats = frames.detector_features(spark, sf)
